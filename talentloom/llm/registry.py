@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from talentloom.llm.fingerprints import op1_fingerprints
+from talentloom.llm.lm_scoring import op9_lm_scoring
+from talentloom.llm.simhash import op4_simhash
 from talentloom.llm.substring_dedup import op10_substring_dedup
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
+    "op4_simhash": op4_simhash,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
