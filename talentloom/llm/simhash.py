@@ -193,12 +193,12 @@ def classes(fps: DataFrame, id_column: str = "doc_id", radius: int = RADIUS) ->
 def near_dedup(docs: DataFrame, id_column: str = "doc_id", column: str = "text") -> DataFrame:
     """One row of each class of docs: that with the smallest id (of repeated ids, one)."""
     kept = docs.columns
-    fps = materialize(with_fingerprints(docs.select(id_column, column), column), "simhash")
-    first = classes(fps, id_column).where(f"{id_column} <=> component_id").select(F.col(id_column).alias("_keep"), F.col("_fp")).distinct()
+    marked = materialize(with_fingerprints(docs, column, keep_text=True), "simhash_docs")
+    first = classes(marked.select(id_column, "_fp"), id_column).where(f"{id_column} <=> component_id")
+    first = first.select(F.col(id_column).alias("_keep"), F.col("_fp").alias("_keep_fp")).distinct()
     # texts of a repeated id may differ: the fingerprint tells which of them stays
-    marked = with_fingerprints(docs, column, keep_text=True)
-    out = marked.join(first, marked[id_column].eqNullSafe(first["_keep"]) & (marked["_fp"] == first["_fp"]), "left_semi")
-    one = Window.partitionBy(id_column, "_fp").orderBy(F.xxhash64(column))
+    out = marked.join(first, marked[id_column].eqNullSafe(first["_keep"]) & (marked["_fp"] == first["_keep_fp"]), "left_semi")
+    one = Window.partitionBy(id_column).orderBy("_fp", F.xxhash64(column))
     return out.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*kept)
 
 
