@@ -1,6 +1,6 @@
-"""Registry of the engine's queries and their SQL oracles."""
+"""All queries of the engine and their SQL oracles."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from talentloom.plans import analysis, documents, entities, graphs, ranking, scores, summaries  # noqa: F401
+from talentloom.plans.registry import ORACLES, QUERIES  # noqa: F401
