@@ -109,7 +109,7 @@ def test_ranking_metrics(spark):
 
 def test_auc_with_ties(spark):
     rows = spark.createDataFrame([(1, 0.9), (0, 0.9), (1, 0.4), (0, 0.1)], "y int, s double")
-    assert metrics.roc_auc(rows, "y", "s").first()[0] == pytest.approx(0.875)
+    assert metrics.roc_auc(rows, "y", "s").first()[0] == pytest.approx(0.625)
     assert metrics.roc_auc(rows.where("y = 1"), "y", "s").first()[0] is None
 
 
