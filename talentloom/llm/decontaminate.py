@@ -15,8 +15,7 @@ those that align with such a piece. Nothing within the edit bound is lost there.
 Items come in blocks of at most ``ITEMS_A_BLOCK``; each is scanned against all
 rows, so what a task receives is bounded whatever the benchmark's size.
 
-Defined cases: words are runs of ASCII letters, digits and non-ASCII bytes,
-lower-cased; null or empty texts and items match nothing; repeated rows are
+Defined cases: words are runs of letters and digits (beyond ASCII of anything but general punctuation), lower-cased; null or empty texts and items match nothing; repeated rows are
 reported each; of equal matches in a document the first with the fewest
 edits is reported; extra columns pass through; empty tables give no match.
 """
@@ -27,6 +26,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,10 +41,9 @@ REPEATS, SAMPLED = 24, 2
 ITEMS_A_BLOCK = 4096
 CHUNK = 1 << 20
 U = textnp.U
-#: Word bytes as themselves (A-Z lower-cased), everything else as a space.
+#: Word bytes as themselves, everything else as a space (texts are lower-cased before).
 _BYTES = np.full(256, 0x20, np.uint8)
 _BYTES[[*range(48, 58), *range(97, 123), *range(128, 256)]] = [*range(48, 58), *range(97, 123), *range(128, 256)]
-_BYTES[65:91] = np.arange(97, 123)
 
 
 def allowed(words: int, similarity: float = SIMILARITY) -> int:
@@ -168,9 +167,16 @@ class Items:
                 yield pair
 
 
-def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    data, offsets = textnp.buffers(column)
-    return textnp.word_hashes(_BYTES[data], offsets)
+def words_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    data, offsets = textnp.buffers(pc.utf8_lower(column))
+    out = _BYTES[data]
+    # signs beyond ASCII: U+00A0 to U+00BF, and U+2000 to U+207F
+    two = np.flatnonzero((data[:-1] == 0xC2) & (data[1:] < 0xC0)) if len(data) > 1 else np.zeros(0, np.int64)
+    three = np.flatnonzero((data[:-2] == 0xE2) & ((data[1:-1] == 0x80) | (data[1:-1] == 0x81))) if len(data) > 2 else two[:0]
+    for at, width in ((two, 2), (three, 3)):
+        for k in range(width):
+            out[at + k] = 0x20
+    return textnp.word_hashes(out, offsets)
 
 
 def item_blocks(benchmark: DataFrame, similarity: float, most: int = ITEMS_A_BLOCK):
