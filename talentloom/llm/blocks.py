@@ -54,11 +54,11 @@ def slices(batches, column: str, most: int):
         yield pa.Table.from_batches(held).combine_chunks(), size
 
 
-def write_blocks(docs: DataFrame, name: str, column: str = "text", most: int = BLOCK_BYTES) -> DataFrame:
-    """Pack all rows (all columns) into a table of blocks bucketed by block."""
+def write_blocks(docs: DataFrame, name: str, column: str = "text", most: int = BLOCK_BYTES, batch: int = 0) -> DataFrame:
+    """Pack all rows (all columns) into a table of blocks bucketed by block; batch tells apart blocks of later writes."""
 
     def run(batches):
-        first, k = TaskContext.get().partitionId() << 32, 0
+        first, k = (batch << 48) | (TaskContext.get().partitionId() << 24), 0
         for part, size in slices(batches, column, most):
             yield pa.RecordBatch.from_pydict({"block": [first | k], "docs": [part.num_rows], "bytes": [size], "payload": [to_payload(part)]}, schema=_arrow(BLOCK_SCHEMA))
             k += 1

@@ -199,7 +199,7 @@ class FingerprintIndex:
 
     def add(self, docs: DataFrame) -> None:
         """Append a batch as blocks and one sorted run (cells stay separate inside the run)."""
-        blocks = B.write_blocks(docs, "substring_blocks", self.column)
+        blocks = B.write_blocks(docs, "substring_blocks", self.column, batch=len(self.blocks))
         if self.parts is None:
             self.parts = B.parts_for(B.totals(blocks)[1] // 60, shuffle_partitions(self.spark))
         self.blocks.append(blocks)
@@ -227,8 +227,11 @@ class FingerprintIndex:
             runs = runs.unionByName(more)
         for more in self.blocks[1:]:
             blocks = blocks.unionByName(more)
+        if len(self.blocks) > 1:
+            # buckets of several tables don't line up: as one plain table, blocks are dealt anew
+            blocks = materialize(blocks.select("block", "payload"), "substring_blocks")
         column, window, parts = self.column, self.window, self.parts
-        flags = bucketed(merge_join(runs), "block", "substring_flags")
+        flags = bucketed(merge_join(runs).repartition(shuffle_partitions(self.spark), "block"), "block", "substring_flags")
         hits = verify(window_cells(blocks, flags, column, window, parts))
         both = flags.select("block", "part", "vals", F.lit(0).alias("kind")).unionByName(hits.select("block", "part", "vals", F.lit(1).alias("kind")))
 
