@@ -73,10 +73,12 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     scored = leaves.select("conv", F.col("msg").alias("leaf"), (F.col("total") / F.col("depth")).alias("branch_score"))
     rank = F.row_number().over(Window.partitionBy("conv").orderBy(F.desc("branch_score"), "leaf"))
     path = scored.withColumn("rank", rank).where(F.col("rank") <= branches).withColumn("msg", F.col("leaf")).withColumn("back", F.lit(0).cast("long"))
+    path = materialize(path, "reply_paths")
     for k, jump in enumerate(jumps):
         step = jump.select(F.col("conv").alias("_c"), F.col("msg").alias("_m"), F.col("up").alias("_up"))
         more = path.join(step, (F.col("conv") == F.col("_c")) & (F.col("msg") == F.col("_m")))
-        path = path.unionByName(more.select("conv", "leaf", "branch_score", "rank", F.col("_up").alias("msg"), (F.col("back") + (1 << k)).alias("back")))
+        # written in each step: the path stands on both sides of the union, so plans would double
+        path = materialize(path.unionByName(more.select("conv", "leaf", "branch_score", "rank", F.col("_up").alias("msg"), (F.col("back") + (1 << k)).alias("back"))), "reply_paths")
     return path
 
 
