@@ -10,13 +10,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Result columns that SQL literals would make decimals.
+DOUBLES = {
+    "risk_encoding": ["encoded"],
+    "experience_phrases": ["years"],
+    "entity_resolution": ["dedup_confidence"],
+    "job_profiles": ["years"],
+    "ground_profiles": ["score"],
+    "assistant_scenario_score": ["score"],
+    "identity_keys": ["confidence"],
+    "job_confidence": ["confidence"],
+}
+
+
 def query(name: str, sql: str | None = None):
     """Register a (spark, sf_dir) -> DataFrame function, with its SQL where SQL can express it."""
 
     def add(f):
         QUERIES[name] = f
         if sql:
-            ORACLES[name] = sql
+            casts = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in DOUBLES.get(name, ()))
+            ORACLES[name] = f"SELECT * REPLACE ({casts}) FROM ({sql})" if casts else sql
         return f
 
     return add
