@@ -10,8 +10,8 @@ from talentloom.llm.langid import op3_langid
 from talentloom.llm.lm_scoring import op9_lm_scoring
 from talentloom.llm.sharding import op5_sharding
 from talentloom.llm.simhash import op4_simhash
-from talentloom.llm.substring_dedup import op10_substring_dedup
-from talentloom.llm.warc import op7_warc
+from talentloom.llm.substring_dedup import OP10_SQL, op10_substring_dedup
+from talentloom.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLES: dict[str, str] = {"op2_chat": OP2_SQL}
+ORACLES: dict[str, str] = {"op2_chat": OP2_SQL, "op7_warc": OP7_SQL, "op10_substring_dedup": OP10_SQL}

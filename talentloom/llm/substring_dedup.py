@@ -293,3 +293,15 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pa.table({"doc_id": part.column("doc_id"), "n_words": pa.array(np.diff(rows), pa.int64()), "n_removed": pa.array(total[rows[1:]] - total[rows[:-1]], pa.int64()), "kept_sha256": digests})
 
     return index.removals(emit, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM d),
+h AS (SELECT rid, p, md5(string_agg(w, ' ') OVER f) AS k, count(*) OVER f AS n FROM w WINDOW f AS (PARTITION BY rid ORDER BY p ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+r AS (SELECT k FROM h WHERE n = 35 GROUP BY k HAVING count(*) > 1),
+c AS (SELECT DISTINCT rid, p FROM (SELECT rid, unnest(range(p, p + 35)) AS p FROM h SEMI JOIN r USING (k) WHERE n = 35)),
+m AS (SELECT w.rid, w.p, w.w, c.rid IS NOT NULL AS gone FROM w LEFT JOIN c ON w.rid = c.rid AND w.p = c.p),
+g AS (SELECT rid, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, string_agg(w, ' ' ORDER BY p) FILTER (WHERE NOT gone) AS kept FROM m GROUP BY rid)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g ON d.rid = g.rid
+"""

@@ -240,3 +240,15 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query 7: write all pages as WARC chunks and read the archives back."""
     return read_chunks(write_chunks(table(spark, sf_dir, "pages"))).drop("url")
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][strpos('0123456789abcdef', h[i])]), '') AS bits FROM p),
+f AS (SELECT h, min(page_id) AS first, count(*) AS n FROM p GROUP BY h)
+SELECT b.page_id, CAST(octet_length(encode(b.html)) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(substr(bits, 5 * i + 1, 1) AS INT) * 16 + CAST(substr(bits, 5 * i + 2, 1) AS INT) * 8 + CAST(substr(bits, 5 * i + 3, 1) AS INT) * 4 + CAST(substr(bits, 5 * i + 4, 1) AS INT) * 2 + CAST(substr(bits, 5 * i + 5, 1) AS INT), 1)), '') AS payload_digest,
+       CASE WHEN n > 1 AND first IS DISTINCT FROM b.page_id AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n > 1 AND first IS DISTINCT FROM b.page_id THEN first END AS refers_to
+FROM b JOIN f ON b.h = f.h
+"""
