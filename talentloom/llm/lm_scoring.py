@@ -100,6 +100,20 @@ def corpus_counts(cells: DataFrame) -> DataFrame:
     return cells.groupBy("part").applyInArrow(run, B.REPLY_SCHEMA)
 
 
+def corpus_sums(stats: DataFrame) -> list[float]:
+    """Tokens and distinct tokens of all training documents, then of the kept ones; summed before they reach the driver."""
+    names = ["n", "v", "n_kept", "v_kept"]
+
+    def run(batches):
+        for batch in batches:
+            rows = [np.frombuffer(x, np.uint64) for x in batch.column("vals").to_pylist()]
+            if rows:
+                yield pa.RecordBatch.from_pydict({k: pa.array([int(x)], pa.int64()) for k, x in zip(names, np.sum(rows, axis=0), strict=True)})
+
+    row = stats.select("vals").mapInArrow(run, ", ".join(f"{k} long" for k in names)).agg(*[F.sum(k).alias(k) for k in names]).first()
+    return [float(row[k] or 0) for k in names]
+
+
 def _levels(x: np.ndarray) -> np.ndarray:
     """Quarter powers of two above zero; 0 for zero."""
     out = np.zeros(len(x), np.int64)
@@ -196,9 +210,7 @@ def lm_score(docs: DataFrame, train: F.Column, cut: F.Column, column: str = "tex
     parts = B.parts_for(B.totals(blocks)[1] // 4, shuffle_partitions(spark))
     answers = corpus_counts(count_cells(blocks, column, parts))
     counts = bucketed(answers.repartition(shuffle_partitions(spark), "block"), "block", "lm_counts")
-    sums = counts.where("block = -1").select("vals")
-    # one row of four numbers per key range: summed by range owners, a few bytes each
-    n, v, n_kept, v_kept = np.sum([np.frombuffer(r.vals, np.uint64) for r in sums.toLocalIterator()] or [np.zeros(4)], axis=0).astype(float)
+    n, v, n_kept, v_kept = corpus_sums(counts.where("block = -1"))
     answers = counts.where("block >= 0")
     events = held_out_events(blocks, answers, column)
     weights = learn_weights(np.array([tuple(r) for r in events.collect()], np.int64).reshape(-1, 4), n_kept, v_kept)
