@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from talentloom.plans import analysis, documents, entities, extras, graphs, ranking, scores, summaries  # noqa: F401
+from talentloom.plans import analysis, documents, entities, extras, graphs, more, ranking, scores, summaries  # noqa: F401
 from talentloom.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -120,3 +120,45 @@ def written(df: DataFrame) -> DataFrame:
     path = fresh_path(df.sparkSession, "rows")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def read_graph(path: str) -> list[tuple[str, list[str], list[str], list[dict]]]:
+    """A YAML role graph on the driver: (role, core skills, adjacent skills, transitions) in file order."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        payload = yaml.safe_load(f)
+    if not isinstance(payload, dict) or not isinstance(payload.get("roles"), list):
+        raise ValueError("a role graph needs a list of roles")
+    return [(r["role"], list(r.get("core_skills") or []), list(r.get("adjacent_skills") or []), list(r.get("transitions_to") or [])) for r in payload["roles"] if isinstance(r, dict) and r.get("role")]
+
+
+def first_readable(spark: SparkSession, paths: list[str]) -> tuple[str, DataFrame]:
+    """The first path that Spark can read as JSON."""
+    for path in paths:
+        try:
+            return path, spark.read.json(path)
+        except Exception:  # noqa: BLE001, S112  (the next is tried; the last resort is below)
+            continue
+    raise FileNotFoundError(", ".join(paths))
+
+
+def inventory(files: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """Count and bytes of files (path, length) by the first category whose pattern fits the path."""
+    category = F.coalesce(*[F.when(F.col("path").rlike(p), name) for name, p in rules], F.lit("other"))
+    return files.groupBy(category.alias("category")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
+def write_index(vectors: DataFrame, path: str, key: str, vector: str) -> DataFrame:
+    """Vectors next to their keys, and a one-row report."""
+    vectors.select(key, vector).write.mode("overwrite").parquet(path)
+    back = vectors.sparkSession.read.parquet(path)
+    return back.agg(F.count("*").alias("profiles"), F.max(F.size(vector)).alias("dim"), F.count_if(F.col(vector).isNull()).alias("without_vector"))
+
+
+def write_graph(vertices: DataFrame, edges: DataFrame, path: str) -> dict[str, int]:
+    """Vertices and edges as two tables; overwriting is the reset."""
+    vertices.write.mode("overwrite").parquet(f"{path}/vertices")
+    edges.write.mode("overwrite").parquet(f"{path}/edges")
+    read = edges.sparkSession.read.parquet
+    return {"vertices": read(f"{path}/vertices").count(), "edges": read(f"{path}/edges").count()}
