@@ -33,6 +33,7 @@ from talentloom.llm import textnp
 from talentloom.llm.common import bucketed, materialize, shuffle_partitions, table
 
 WINDOW = 35
+BLOCK_BYTES = 4 << 20
 ANCHOR_WORDS = 11
 
 
@@ -199,7 +200,7 @@ class FingerprintIndex:
 
     def add(self, docs: DataFrame) -> None:
         """Append a batch as blocks and one sorted run (cells stay separate inside the run)."""
-        blocks = B.write_blocks(docs, "substring_blocks", self.column, batch=len(self.blocks))
+        blocks = B.write_blocks(docs, "substring_blocks", self.column, BLOCK_BYTES, len(self.blocks))
         if self.parts is None:
             self.parts = B.parts_for(B.totals(blocks)[1] // 60, shuffle_partitions(self.spark))
         self.blocks.append(blocks)
