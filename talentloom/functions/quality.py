@@ -71,9 +71,9 @@ def markdown_signals(text: Column) -> dict[str, Column]:
     lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim), lambda x: x != "")
     body = F.array_join(lines, "\n")
     words = F.regexp_extract_all(body, F.lit("([A-Za-z0-9]{2,})"), F.lit(1))
-    letters = lambda w: F.regexp_replace(w, "[^A-Za-z]", "")
-    vowels = lambda w: F.length(F.regexp_replace(letters(w), "[^aeiouyAEIOUY]", ""))
-    noisy = F.filter(words, lambda w: (F.length(letters(w)) >= 8) & (vowels(w) / F.length(letters(w)) < 0.2))
+    # words are letters and digits: translate counts both without a regular expression per word
+    letters = F.filter(F.transform(F.filter(words, lambda w: F.length(w) >= 8), lambda w: F.translate(w, "0123456789", "")), lambda w: F.length(w) >= 8)
+    noisy = F.filter(letters, lambda w: (F.length(w) - F.length(F.translate(w, "aeiouyAEIOUY", ""))) / F.length(w) < 0.2)
     glued = lambda x: (F.length(x) >= 18) & (x.rlike("[A-Za-z]{14,}") | x.rlike("(?i)[a-z]{5,}(with|and|from|to|of|in)[a-z]{5,}"))
     sections = [body.rlike(p).cast("int") for p in SECTION_PATTERNS.values()]
     return {

@@ -48,11 +48,20 @@ SKILLS_SQL = "cs AS (SELECT DISTINCT o_custkey AS cust, p_brand AS skill FROM or
 JOBS = [("job_a", "Brand#11", 0), ("job_a", "Brand#12", 1), ("job_a", "Brand#13", 2), ("job_b", "Brand#21", 0), ("job_b", "Brand#99", 1)]
 
 
-def customer_skills(spark, d):
-    """Distinct (customer, brand); brands are pre-aggregated after the joins."""
+def bought_brands(spark, d):
+    """(customer, brand) of every line bought."""
     o, li, p = table(spark, d, "orders").select("o_orderkey", "o_custkey"), table(spark, d, "lineitem").select("l_orderkey", "l_partkey"), table(spark, d, "part").select("p_partkey", "p_brand")
     j = li.join(o, C("l_orderkey") == C("o_orderkey")).join(p, C("l_partkey") == C("p_partkey"))
-    return j.select(C("o_custkey").alias("cust"), C("p_brand").alias("skill")).distinct()
+    return j.select(C("o_custkey").alias("cust"), C("p_brand").alias("skill"))
+
+
+def customer_skills(spark, d):
+    return bought_brands(spark, d).distinct()
+
+
+def customer_skill_sets(spark, d):
+    """One row per customer: sets are built map-side first, so no distinct comes before."""
+    return bought_brands(spark, d).groupBy("cust").agg(F.collect_set("skill").alias("skills"))
 
 
 def jobs(spark):
@@ -61,7 +70,7 @@ def jobs(spark):
 
 @query("skill_match_missing", f"WITH {SKILLS_SQL}, c AS (SELECT DISTINCT cust FROM cs), x AS (SELECT c.cust, j.job, j.ord, j.skill, cs.skill IS NOT NULL AS hit FROM c CROSS JOIN jobs j LEFT JOIN cs ON cs.cust = c.cust AND cs.skill = j.skill) SELECT cust, job, coalesce(string_agg(skill, '|' ORDER BY ord) FILTER (WHERE hit), '') AS matched, coalesce(string_agg(skill, '|' ORDER BY ord) FILTER (WHERE NOT hit), '') AS missing FROM x GROUP BY cust, job")
 def skill_match_missing(spark, d):
-    have = customer_skills(spark, d).groupBy("cust").agg(F.collect_set("skill").alias("skills"))
+    have = customer_skill_sets(spark, d)
     wanted = jobs(spark).groupBy("job").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "skill"))), lambda s: s["skill"]).alias("required"))
     j = have.join(F.broadcast(wanted))
     return j.select("cust", "job", F.array_join(F.filter("required", lambda s: F.array_contains("skills", s)), "|").alias("matched"), F.array_join(F.filter("required", lambda s: ~F.array_contains("skills", s)), "|").alias("missing"))

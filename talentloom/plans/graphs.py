@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talentloom.operators import graph as G
-from talentloom.plans.entities import SKILLS_SQL, customer_skills
+from talentloom.plans.entities import SKILLS_SQL, customer_skill_sets, customer_skills
 from talentloom.plans.registry import query, table
 
 C = F.col
@@ -14,7 +14,7 @@ ROLES_SQL = "roles AS (SELECT * FROM (VALUES (0, 'r1', ['Brand#11', 'Brand#12',
 
 
 def people(spark, d):
-    return customer_skills(spark, d).groupBy("cust").agg(F.collect_set("skill").alias("skills"))
+    return customer_skill_sets(spark, d)
 
 
 @query("best_source_role", f"WITH {SKILLS_SQL}, {ROLES_SQL}, s AS (SELECT cust, role, ord, len(list_intersect(skills, core)) + 0.5 * len(list_intersect(skills, adjacent)) AS score FROM people, roles) SELECT cust, role AS source_role, CAST(score AS DOUBLE) AS role_score FROM (SELECT *, row_number() OVER (PARTITION BY cust ORDER BY score DESC, ord) AS rn FROM s) WHERE rn = 1")
