@@ -79,12 +79,20 @@ def doc_quality_signals(spark, d):
     return table(spark, d, "documents").select("doc_id", *[s[k].alias(k) for k in ("chars", "words", "weird_ratio", "noise_ratio")])
 
 
-@query("markdown_repair_gate")
+GATE_SQL = r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM documents), b AS (SELECT doc_id, ls, array_to_string(ls, chr(10)) AS body FROM l), w AS (SELECT *, regexp_extract_all(body, '[A-Za-z0-9]{2,}') AS ws FROM b),
+s AS (SELECT doc_id, doc_id % 2 = 1 AS ocr, length(body) AS chars, len(ws) AS words, CAST(regexp_matches(body, '(?i)\b(experience|work experience|professional experience|internship|employment)\b') AS INT) + CAST(regexp_matches(body, '(?i)\b(education|formation|degree|university|school|baccalaur|diploma)\b') AS INT) + CAST(regexp_matches(body, '(?i)\b(skills|technical skills|competences|programming|tools|frameworks)\b') AS INT) AS sections,
+ round(length(regexp_replace(body, '[\x00-\x7F]', '', 'g')) / greatest(length(body), 1), 4) AS weird, len(list_filter(ls, lambda x: length(x) >= 18 AND (regexp_matches(x, '[A-Za-z]{14,}') OR regexp_matches(x, '(?i)[a-z]{5,}(with|and|from|to|of|in)[a-z]{5,}')))) AS glued,
+ round(len(list_filter(ws, lambda x: length(translate(x, '0123456789', '')) >= 8 AND length(regexp_replace(x, '[^aeiouyAEIOUY]', '', 'g')) / length(translate(x, '0123456789', '')) < 0.2)) / greatest(len(ws), 1), 4) AS noise FROM w),
+g AS (SELECT *, chars < 900 OR words < 120 OR sections < 2 AS weak, weird > 0.025 OR noise > 0.18 OR (glued >= 10 AND (words < 180 OR sections < 2)) AS noisy FROM s)
+SELECT doc_id, concat_ws('|', CASE WHEN weak THEN 'markdown_too_weak' END, CASE WHEN noisy THEN 'high_ocr_noise' END, CASE WHEN ocr AND (weak OR (noisy AND (words < 180 OR sections < 2))) THEN 'needs_ocr_repair' END) AS warnings, ocr AND (weak OR (noisy AND (words < 180 OR sections < 2))) AS repair FROM g"""
+
+
+@query("markdown_repair_gate", GATE_SQL)
 def markdown_repair_gate(spark, d):
     s = Q.markdown_signals(C("text"))
     docs = table(spark, d, "documents").select("doc_id", *[v.alias(k) for k, v in s.items()], F.element_at(F.array(F.lit("pdf"), F.lit("scans")), (C("doc_id") % 2 + 1).cast("int")).alias("source_format"))
     w = Q.markdown_warnings(*[C(x) for x in ("chars", "words", "useful_sections", "weird_ratio", "glued_lines", "noise_ratio", "source_format")])
-    return docs.select("doc_id", w.alias("warnings"), F.array_contains(w, "needs_ocr_repair").alias("repair"))
+    return docs.select("doc_id", F.concat_ws("|", w).alias("warnings"), F.array_contains(w, "needs_ocr_repair").alias("repair"))
 
 
 @query("too_short_documents", r"SELECT doc_id, length(text) >= 120 AND len(list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: x <> '')) >= 25 AS kept FROM documents")
@@ -186,7 +194,7 @@ def html_escape(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(X.escape_html(C("html"))).alias("k"))
 
 
-@query("html_to_text")
+@query("html_to_text", r"SELECT page_id, nullif(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\n\r\f\x0B]+', ' ', 'g')), '') AS plain FROM pages")
 def html_to_text(spark, d):
     return table(spark, d, "pages").select("page_id", X.strip_html(C("html")).alias("plain"))
 
