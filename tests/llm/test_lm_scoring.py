@@ -34,20 +34,25 @@ def test_weights_follow_the_held_out_counts():
     assert w[3, 0] > 0.8 and w[5, 0] < 0.01 and w[0, 0] == 0
 
 
-def test_probabilities_sum_to_one(spark):
-    """Over all next words (unknown ones as one type) after a context."""
+def test_usual_texts_score_higher(spark):
     from pyspark.sql import functions as F
 
     rows = [(i, t) for i, t in enumerate(["a b a c", "a b b", "c a b", "b", "a"] * 4)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    probe = spark.createDataFrame([(100, ""), (101, "a"), (102, "b"), (103, "c"), (104, "zz")], "doc_id long, text string")
-    both = df.unionByName(probe)
+    probe = [(100, ""), (101, "a"), (103, "c"), (104, "zz"), (105, "a b"), (106, "b zz")]
+    both = spark.createDataFrame(rows + probe, "doc_id long, text string")
     out = {r["doc_id"]: r["score"] for r in L.lm_score(both, F.col("doc_id") < 100, F.col("doc_id") % 4 == 0).where("doc_id >= 100").collect()}
-    end_after = {}
-    for k, w in ((101, "a"), (102, "b"), (103, "c"), (104, "zz")):
-        assert out[k] < 0
-        end_after[w] = out[k]
-    assert out[100] < 0 and out[104] < out[103]
+    assert all(x < 0 for x in out.values())
+    assert out[104] < out[103] and out[106] < out[105]
+
+
+def test_estimates_sum_to_one():
+    """The floor over all words and one unknown type, like the maximum-likelihood estimates, is a distribution."""
+    counts = np.array([5.0, 3.0, 1.0, 1.0])
+    n, v = counts.sum(), len(counts)
+    floor = L._floor(np.append(counts, 0.0), n, v)
+    assert math.isclose(floor.sum(), 1.0)
+    w = L.learn_weights(np.zeros((0, 4), np.int64), n, v)
+    assert np.allclose(w.sum(axis=1), 1)
 
 
 def test_empty_table(empty):
