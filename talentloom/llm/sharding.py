@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from talentloom.llm.common import blank, materialize, shuffle_partitions, table
 
-SHARDS, ROUNDS = 8, 10
+SHARDS, ROUNDS, STUCK = 8, 40, 4
 BINS = 512
 
 
@@ -59,19 +59,20 @@ def propagate(nodes: DataFrame, edges: DataFrame, quota: dict[int, int], rounds:
     """nodes (node, shard: a start within the quotas) and edges (src, dst) -> nodes with their last shard.
 
     The sizes of shards never exceed the quotas: swaps keep them, and other moves go into free room only.
+    Rounds end when nobody asks to move, or when no asked move was possible in STUCK rounds.
     """
     both = materialize(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct(), "shard_edges")
     nodes = materialize(nodes.select("node", "shard"), "shard_nodes")
     shards = sorted(quota)
     size = {r[0]: r[1] for r in nodes.groupBy("shard").count().collect()}  # at most one row a shard
-    idle = 0
+    idle = stuck = 0
     for step in range(rounds):
         at = nodes.select(F.col("node").alias("_n"), F.col("shard").alias("_s"))
         seen = both.join(at, both["src"] == at["_n"]).groupBy("dst", "_s").agg(F.count("*").alias("_k"))
         best = seen.groupBy("dst").agg(F.max_by("_s", F.struct("_k", -F.col("_s"))).alias("_to"), F.max("_k").alias("_top"), F.map_from_entries(F.collect_list(F.struct("_s", "_k"))).alias("_by"))
         asks = nodes.join(best, nodes["node"] == best["dst"]).withColumn("gain", F.col("_top") - F.coalesce(F.element_at("_by", F.col("shard")), F.lit(0)))
-        # half of the documents, by a coin of this round, hold still: two neighbours must not just change places
-        coin = F.pmod(F.xxhash64(F.lit(step), "node"), F.lit(2)) == 0
+        # half of the documents, by a coin, hold still and the other half in the next round: two neighbours must not just change places
+        coin = F.pmod(F.xxhash64(F.lit(step // 2), "node"), F.lit(2)) == step % 2
         asks = asks.where("gain > 0 and _to <> shard").where(coin).select("node", "shard", F.col("_to").alias("to"), "gain")
         # greater gains first: the bin's high bits fall with the gain, its low bits are a hash
         by = F.shiftleft(F.greatest(F.lit(0), 40 - F.floor(F.log2(F.col("gain").cast("double")) * 2)).cast("long"), 57) + F.shiftrightunsigned(F.xxhash64("node", F.lit(step)), 7)
@@ -79,7 +80,7 @@ def propagate(nodes: DataFrame, edges: DataFrame, quota: dict[int, int], rounds:
         want = {(r[0], r[1]): r[2] for r in asks.groupBy("shard", "to").count().collect()}  # shards squared
         if not want:
             idle += 1
-            if idle == 2:  # neither half has anything to ask for
+            if idle >= 2 and step % 2:  # neither half has anything to ask for
                 break
             continue
         idle = 0
@@ -92,7 +93,10 @@ def propagate(nodes: DataFrame, edges: DataFrame, quota: dict[int, int], rounds:
             may[a, b] += extra
             room[b] -= extra
             room[a] += extra
-        if not any(may.values()):
+        stuck = 0 if any(may.values()) else stuck + 1
+        if stuck == STUCK:
+            break
+        if stuck:
             continue
         for (a, b), n in may.items():
             size[a], size[b] = size.get(a, 0) - n, size.get(b, 0) + n
