@@ -42,7 +42,8 @@ CHUNK = 1 << 18
 
 
 def letters(text: str | None) -> str:
-    return _OTHER.sub(" ", (text or "").lower()).strip()
+    out = _OTHER.sub(" ", (text or "").lower()).strip()
+    return out if any(map(str.isalpha, out)) else ""  # signs like one half count as word characters, but aren't letters
 
 
 def features(cleaned: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

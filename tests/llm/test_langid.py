@@ -52,3 +52,7 @@ def test_clashing_columns(labelled):
     df, _, _ = labelled
     out = L.predict(df.withColumnRenamed("lang", "score"), L.train(df))
     assert out.columns == ["doc_id", "text", "lang_pred", "score", "accepted"]
+
+
+def test_signs_that_are_no_letters():
+    assert [L.letters(x) for x in ("½ ²³ Ⅷ", "\u0301", "12_3", "ª½", "Æ1")] == ["", "", "", "ª½", "æ"]
