@@ -61,7 +61,3 @@ def test_dense_number(spark):
 def test_empty(spark, sf, tmp_path):
     spark.read.parquet(sf + "/documents.parquet").limit(0).write.parquet(str(tmp_path / "e" / "documents.parquet"))
     assert H.op5_sharding(spark, str(tmp_path / "e")).collect() == []
-
-
-def test_pairs_with_room_all_come_together(spark):
-    assert cut(spark, [i // 2 for i in range(600)] + [10_000 + i for i in range(900)]) == 0
