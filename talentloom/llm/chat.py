@@ -15,11 +15,9 @@ assistant's texts in the formatted string.
 Everything is DataFrame expressions; no Python runs on executors.
 
 Defined cases: null text and role are empty; a null conversation id is one
-conversation of the query; a message whose parent is missing is a root; repeated turns stay,
-ordered by turn (nulls first), role and text; of repeated message ids in a conversation the
-first by parent, score, role and text stays; messages without conversation or id are left out;
-a cycle of replies is an error; extra columns are ignored; an empty table gives no conversation
-but those added.
+conversation; a message whose parent is missing is a root; repeated turns stay, ordered
+by turn (nulls first), role and text; cycles have no root and give no path; extra
+columns are ignored; an empty table gives no conversation but those added.
 """
 
 from __future__ import annotations
@@ -49,18 +47,18 @@ def ancestors(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     joined = messages.join(parents, (F.col("parent") == F.col("_m")) & (F.col("conv") == F.col("_c")), "left")
     state = materialize(joined.select("conv", "msg", F.col("_m").alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").cast("double").alias("total")), "reply_state")
     jumps = []
-    most = state.count().bit_length()  # as many doublings reach the root of any path
-    while True:
+    for _ in range(62):
         going = state.where("up is not null")
         if going.isEmpty():
             break
-        if len(jumps) > most:
-            raise ValueError("a cycle of replies")
         jumps.append(going.select("conv", "msg", "up"))
         there = state.select(F.col("conv").alias("_c"), F.col("msg").alias("_m"), F.col("up").alias("_up"), F.col("depth").alias("_d"), F.col("total").alias("_t"))
         pair = going.join(there, (F.col("up") == F.col("_m")) & (F.col("conv") == F.col("_c")))
         moved = pair.select("conv", "msg", F.col("_up").alias("up"), (F.col("depth") + F.col("_d")).alias("depth"), (F.col("total") + F.col("_t")).alias("total"))
-        state = materialize(moved.unionByName(state.where("up is null")), "reply_state")
+        new = materialize(moved.unionByName(state.where("up is null")), "reply_state")
+        if len(jumps) > 40:
+            raise ValueError("a cycle of replies")
+        state = new
     return jumps, state
 
 
@@ -121,16 +119,8 @@ def linear(conversations: DataFrame) -> DataFrame:
     return numbered.withColumn("parent", F.when(F.col("msg") > 1, F.col("msg") - 1)).withColumn("score", F.lit(1.0))
 
 
-def distinct_messages(messages: DataFrame) -> DataFrame:
-    """One row of each (conv, msg): the first by parent, score, role and text."""
-    first = Window.partitionBy("conv", "msg").orderBy("parent", "score", "role", "text")
-    known = messages.where("conv is not null and msg is not null").select("conv", "msg", "parent", "score", "role", "text")
-    return known.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-
-
 def format_chats(messages: DataFrame, branches: int = 1) -> DataFrame:
     """messages (conv, msg, parent, score, role, text) -> the chosen paths as formatted conversations."""
-    messages = materialize(distinct_messages(messages), "messages")
     texts = messages.select(F.col("conv").alias("_c"), F.col("msg").alias("_m"), "role", "text")
     paths = chosen_paths(messages.select("conv", "msg", "parent", "score"), branches)
     return formatted(paths.join(texts, (F.col("conv") == F.col("_c")) & (F.col("msg") == F.col("_m"))))
@@ -141,7 +131,8 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    chats = parse(materialize(format_chats(linear(rows)), "chats"))
+    messages = materialize(linear(rows), "messages")
+    chats = parse(materialize(format_chats(messages), "chats"))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return chats.select(
         F.when(F.col("conv") != "", F.col("conv").cast("long")).alias("conv_id"),

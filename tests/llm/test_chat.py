@@ -69,11 +69,3 @@ def test_cycle_gives_no_path(spark):
     rows = spark.createDataFrame([("c", 1, None, 1.0), ("e", 1, 2, 1.0), ("e", 2, 1, 1.0)], "conv string, msg long, parent long, score double")
     with pytest.raises(ValueError, match="cycle"):
         K.chosen_paths(rows).collect()
-
-
-def test_repeated_and_unknown_messages(spark):
-    rows = tree(spark)
-    odd = spark.createDataFrame([("c", 3, 9, 7.0, "user", "later"), (None, 1, None, 1.0, "user", "no conversation"), ("c", None, 1, 1.0, "user", "no id")], rows.schema)
-    want = {r["conv"]: r["formatted"] for r in K.format_chats(rows).collect()}
-    again = K.format_chats(rows.unionByName(rows).unionByName(odd).withColumn("rank", F.lit(1))).collect()
-    assert {r["conv"]: r["formatted"] for r in again} == want and len(again) == len(want)
