@@ -16,8 +16,8 @@ Everything is DataFrame expressions; no Python runs on executors.
 
 Defined cases: null text and role are empty; a null conversation id is one
 conversation; a message whose parent is missing is a root; repeated turns stay, ordered
-by turn (nulls first), role and text; cycles have no root and give no path; extra
-columns are ignored; an empty table gives no conversation but those added.
+by turn (nulls first), role and text; a cycle of replies is an error; message ids must be
+distinct in a conversation (the query numbers them itself); extra columns are ignored; an empty table gives no conversation but those added.
 """
 
 from __future__ import annotations
