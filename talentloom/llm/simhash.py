@@ -191,14 +191,19 @@ def classes(fps: DataFrame, id_column: str = "doc_id", radius: int = RADIUS) ->
 
 
 def near_dedup(docs: DataFrame, id_column: str = "doc_id", column: str = "text") -> DataFrame:
-    """One row of each class of docs: that with the smallest id (of repeated ids, one)."""
+    """One row of each class of docs: that with the smallest id, or any one where all ids are null.
+
+    Classes are named by fingerprints here, not by ids: unrelated texts stay apart where ids are null or repeated.
+    """
     kept = docs.columns
     marked = materialize(with_fingerprints(docs, column, keep_text=True), "simhash_docs")
-    first = classes(marked.select(id_column, "_fp"), id_column).where(f"{id_column} <=> component_id")
-    first = first.select(F.col(id_column).alias("_keep"), F.col("_fp").alias("_keep_fp")).distinct()
-    # texts of a repeated id may differ: the fingerprint tells which of them stays
+    nodes = materialize(marked.groupBy("_fp").agg(F.min(id_column).alias("_low")), "fingerprints")
+    found = connected_components(links(nodes.select("_fp", F.col("_fp").alias("_id"))))
+    named = nodes.join(found, nodes["_fp"] == found["node"], "left").withColumn("_c", F.coalesce("component", "_fp"))
+    best = F.min(F.struct(F.col("_low").isNull().alias("_none"), "_low", "_fp")).alias("_best")
+    first = named.groupBy("_c").agg(best).select(F.col("_best._low").alias("_keep"), F.col("_best._fp").alias("_keep_fp"))
     out = marked.join(first, marked[id_column].eqNullSafe(first["_keep"]) & (marked["_fp"] == first["_keep_fp"]), "left_semi")
-    one = Window.partitionBy(id_column).orderBy("_fp", F.xxhash64(column))
+    one = Window.partitionBy("_fp").orderBy(F.xxhash64(column))  # each class has one fingerprint left
     return out.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*kept)
 
 

@@ -13,6 +13,10 @@ def plain(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def plain_text(seed):
+    return " ".join(f"w{x}" for x in np.random.default_rng(seed).integers(0, 10**6, 60))
+
+
 def brute(fps, radius=4):
     parent = list(range(len(fps)))
 
@@ -71,5 +75,12 @@ def test_near_dedup_keeps_one_of_each_class(docs, corpus):
     assert ids.count(None) <= 1
 
 
+def test_near_dedup_keeps_unrelated_texts_under_null_and_repeated_ids(spark):
+    other = [plain_text(k) for k in range(5)]
+    rows = [(None, other[0]), (None, other[0]), (None, other[1]), (None, other[2]), (7, other[3]), (7, other[4]), (7, other[4]), (9, other[2])]
+    out = S.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in out) == sorted([("None", other[0]), ("None", other[1]), ("9", other[2]), ("7", other[3]), ("7", other[4])])
+
+
 def test_empty_table(empty):
     assert S.near_dedup(empty).collect() == []
