@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from talentloom.functions.text import distinct_folded
+from talentloom.functions.text import distinct_folded, distinct_folded_long
 from talentloom.operators import resolve as R
 from talentloom.operators import windows as W
 from talentloom.plans.registry import PROFILES_SQL, profiles, query, table
@@ -158,6 +158,12 @@ def ordered_distinct(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(distinct_folded(F.split(F.substring("text", 1, 120), "[ \t\n\r]+")), " ").alias("words"))
 
 
+@query("ordered_distinct_whole")
+def ordered_distinct_whole(spark, d):
+    """ordered_distinct over whole texts, not their first 120 characters (its SQL would be quadratic)."""
+    return table(spark, d, "documents").select("doc_id", F.array_join(distinct_folded_long(F.split("text", "[ \t\n\r]+")), " ").alias("words"))
+
+
 @query("key_cascade_lookup", "WITH cards AS (SELECT doc_id AS card, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id AS VARCHAR) END AS k1, CASE WHEN doc_id % 2 = 0 THEN 'x' || CAST(doc_id AS VARCHAR) END AS k2 FROM documents), pr AS (SELECT doc_id AS profile, CAST(doc_id AS VARCHAR) AS k1, 'x' || CAST(doc_id AS VARCHAR) AS k2 FROM labels) SELECT card, coalesce(a.profile, b.profile) AS found_profile, CASE WHEN a.profile IS NOT NULL THEN 0 WHEN b.profile IS NOT NULL THEN 1 END AS found_level FROM cards LEFT JOIN pr a ON cards.k1 = a.k1 LEFT JOIN pr b ON cards.k2 = b.k2")
 def key_cascade_lookup(spark, d):
     i = C("doc_id")
