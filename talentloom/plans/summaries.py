@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talentloom.functions import scoring as S
-from talentloom.operators.ocr import cer, summarize
+from talentloom.operators.ocr import cer, summarize, wer
 from talentloom.plans.registry import PROFILES_SQL, profiles, query, table
 from talentloom.plans.scores import SCORED_SQL, scored
 
@@ -107,6 +107,16 @@ def ocr_engine_summary(spark, d):
     return summarize(s).select("engine", "ok", F.round("mean_cer", 6).alias("mean_cer"))
 
 
+@query("ocr_engine_summary_whole")
+def ocr_engine_summary_whole(spark, d):
+    """ocr_engine_summary over whole texts, with word error rates (SQL has no edits on words)."""
+    engines = spark.createDataFrame([("a",), ("b",)], "engine string")
+    said = F.when(C("engine") == "a", F.replace("text", F.lit("e"), F.lit("c"))).otherwise(F.replace("text", F.lit("h"), F.lit("")))
+    s = table(spark, d, "benchmark").join(F.broadcast(engines)).select("engine", F.lit("success").alias("status"), "text", said.alias("said"))
+    s = s.select("engine", "status", cer(C("text"), C("said")).alias("cer"), wer(C("text"), C("said")).alias("wer"))
+    return summarize(s).select("engine", "ok", F.round("mean_cer", 6).alias("mean_cer"), F.round("mean_wer", 6).alias("mean_wer"))
+
+
 @query("ocr_best_variant", f"WITH {PROFILES_SQL} SELECT candidate_id, arg_max(profile_id, reliability * 1000000 + CAST(profile_id AS DOUBLE) / 1000000) AS variant FROM profiles GROUP BY candidate_id")
 def ocr_best_variant(spark, d):
     return profiles(spark, d).groupBy("candidate_id").agg(F.max_by("profile_id", F.struct("reliability", "profile_id")).alias("variant"))

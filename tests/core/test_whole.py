@@ -18,3 +18,12 @@ def test_ordered_distinct_reads_whole_texts(spark, tmp_path):
 
     got = {r["doc_id"]: r["words"] for r in catalog.QUERIES["ordered_distinct_whole"](spark, str(tmp_path)).collect()}
     assert {k: v or "" for k, v in got.items()} == {k: plain(t) for k, t in enumerate(texts)}
+
+
+def test_error_rates_read_whole_texts(spark, tmp_path):
+    text = "x" * 200 + " the end here"  # all edits are behind character 200
+    spark.createDataFrame([(0, text)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    run = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    assert run("char_error_rate_whole")[0]["cer"] == round(5 / len(text), 6)
+    rows = {r["engine"]: (r["ok"], r["mean_cer"], r["mean_wer"]) for r in run("ocr_engine_summary_whole")}
+    assert rows == {"a": (1, round(4 / len(text), 6), 0.75), "b": (1, round(2 / len(text), 6), 0.5)}
