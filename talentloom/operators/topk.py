@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +40,17 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, q_id: str, q_vec:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def vector_topk_blocks(queries: DataFrame, corpus: DataFrame, k: int, q_id: str, q_vec: str, c_id: str, c_vec: str, block_rows: int = MAX_QUERY_ROWS) -> DataFrame:
+    """vector_topk for any number of distinct query ids: blocks by hash, half full on average.
+
+    Each block's bound is checked by vector_topk when it is broadcast.
+    """
+    blocks = max(1, -(-2 * queries.count() // block_rows))
+    block = F.pmod(F.xxhash64(q_id), F.lit(blocks))
+    parts = [vector_topk(queries.where(block == b), corpus, k, q_id, q_vec, c_id, c_vec, block_rows) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def best_per_group(rows: DataFrame, group: Column, order: list[Column], size_name: str = "group_size") -> DataFrame:
     """The first row of each group by order, with the group's size."""
     w = Window.partitionBy(group)

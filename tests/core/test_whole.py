@@ -2,6 +2,7 @@
 
 import re
 
+from talentloom.operators import topk
 from talentloom.plans import catalog
 
 
@@ -27,3 +28,12 @@ def test_error_rates_read_whole_texts(spark, tmp_path):
     assert run("char_error_rate_whole")[0]["cer"] == round(5 / len(text), 6)
     rows = {r["engine"]: (r["ok"], r["mean_cer"], r["mean_wer"]) for r in run("ocr_engine_summary_whole")}
     assert rows == {"a": (1, round(4 / len(text), 6), 0.75), "b": (1, round(2 / len(text), 6), 0.5)}
+
+
+def test_vector_search_takes_queries_in_blocks(spark):
+    v = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(60)], "id long, v array<float>")
+    got = topk.vector_topk_blocks(v, v, 3, "id", "v", "id", "v", block_rows=24)
+    vec = {r["id"]: r["v"] for r in v.collect()}
+    score = lambda a, b: sum(x * y for x, y in zip(vec[a], vec[b], strict=True))
+    want = {(a, b, n) for a in vec for n, b in enumerate(sorted(vec, key=lambda b: (-score(a, b), b))[:3], 1)}
+    assert {(r["query_id"], r["match_id"], r["rank"]) for r in got.collect()} == want
