@@ -61,6 +61,30 @@ def resolve(profiles: DataFrame, evidence: list[tuple[str, str]], name: str, id_
     )
 
 
+def review_groups(resolved: DataFrame, name: str, generic_email: str, keys: list[tuple[str, str]]) -> DataFrame:
+    """resolve's rows with the weak evidence of those still unique: nothing merges, entities stay.
+
+    A generic e-mail under different names quarantines its rows; members of other groups of several entities
+    (of one generic e-mail, then by each (type, key column)) need review. One aggregation by key and pass.
+    """
+    out, columns = resolved, resolved.columns
+    valid = F.when(F.col(name) != "", F.col(name))
+    for kind, key in [("generic_email_group", generic_email), *keys]:
+        apart = (F.min("entity_id") != F.max("entity_id")).alias("_apart")
+        clash = F.coalesce(F.min(valid) != F.max(valid), F.lit(False)) & F.lit(kind == "generic_email_group")
+        groups = out.where((F.col(key).isNotNull()) & (F.col(key) != "")).groupBy(F.col(key).alias("_k")).agg(apart, clash.alias("_clash"))
+        joined = out.join(groups.where("_apart or _clash"), F.col(key) == F.col("_k"), "left")
+        hit = (F.col("dedup_status") == "unique_candidate") & F.col("_k").isNotNull()
+        pick = lambda c, on_clash, on_review: F.when(hit & F.col("_clash"), on_clash).when(hit, on_review).otherwise(F.col(c)).alias(c)  # noqa: B023, E731
+        new = {
+            "dedup_status": pick("dedup_status", "conflict_detected_no_merge", "possible_duplicate_needs_review"),
+            "dedup_confidence": pick("dedup_confidence", 0.0, 0.4),
+            "evidence_type": pick("evidence_type", "generic_email_conflict", kind),
+        }
+        out = joined.select(*[new.get(c, F.col(c)) for c in columns])
+    return out
+
+
 def consolidate(profiles: DataFrame, entity: str, quality: list[Column], id_column: str, sets: list[str]) -> DataFrame:
     """One row per entity: size, best profile, sorted distinct unions."""
     best = F.max_by(id_column, F.struct(*quality))

@@ -2,7 +2,7 @@
 
 import re
 
-from talentloom.operators import topk
+from talentloom.operators import resolve, topk
 from talentloom.plans import catalog
 
 
@@ -37,3 +37,17 @@ def test_vector_search_takes_queries_in_blocks(spark):
     score = lambda a, b: sum(x * y for x, y in zip(vec[a], vec[b], strict=True))
     want = {(a, b, n) for a in vec for n, b in enumerate(sorted(vec, key=lambda b: (-score(a, b), b))[:3], 1)}
     assert {(r["query_id"], r["match_id"], r["rank"]) for r in got.collect()} == want
+
+
+def test_weak_evidence_needs_review(spark):
+    rows = [
+        (1, "ann lee", "a@x.org", None), (2, "ann lee", "a@x.org", None), (3, "bob ray", None, "info@x.org"), (4, "cy day", None, "info@x.org"),
+        (5, "dee", None, "me@y.org"), (6, "", None, "me@y.org"), (7, "eve", None, None), (8, "eve", None, None), (9, "ann lee", None, None), (10, "fay", None, "one@z.org"),
+    ]
+    people = spark.createDataFrame(rows, "id long, name string, email string, generic string")
+    out = resolve.review_groups(resolve.resolve(people, [("real_email", "email")], "name", "id"), "name", "generic", [("same_normalized_name", "name")])
+    got = {r["id"]: (r["dedup_status"], r["dedup_confidence"], r["evidence_type"]) for r in out.collect()}
+    merged, clash = ("auto_merged", 0.98, "real_email"), ("conflict_detected_no_merge", 0.0, "generic_email_conflict")
+    review = lambda kind: ("possible_duplicate_needs_review", 0.4, kind)
+    email, name = review("generic_email_group"), review("same_normalized_name")
+    assert got == {1: merged, 2: merged, 3: clash, 4: clash, 5: email, 6: email, 7: name, 8: name, 9: name, 10: ("unique_candidate", 1.0, "none")}
