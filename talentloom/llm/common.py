@@ -8,7 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's own limit of buckets a table may have.
+MOST_BUCKETS = 100_000
 _own: dict[str, str] = {}
+_made: dict[str, list[tuple[str, str | None]]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,16 +19,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir), a temporary one only where that is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where that is unset: an own one in local mode, an error on a cluster."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     return _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="talentloom-"))
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+def fresh_path(spark: SparkSession, name: str, ident: str | None = None) -> str:
+    path = f"{shared_dir(spark)}/{ident or f'{name}-{uuid.uuid4().hex[:12]}'}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append((path, ident))
+    return path
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any store that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results that still read them must have been written before."""
+    for path, ident in _made.pop(spark.sparkContext.applicationId, []):
+        if ident:
+            spark.sql(f"DROP TABLE IF EXISTS {ident}")
+        delete_path(spark, path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -36,16 +57,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Like materialize, bucketed by key so that later grouping by it moves no rows.
+def bucketed(df: DataFrame, key: str, name: str, n: int | None = None) -> DataFrame:
+    """Like materialize, in n buckets by key so that later grouping by it moves no rows.
 
     Each writing task holds few distinct keys, so it writes few files and no
     shuffle comes before the write.
     """
     spark = df.sparkSession
-    n = shuffle_partitions(spark)
     ident = f"{name}_{uuid.uuid4().hex[:12]}"
-    df.write.bucketBy(n, key).option("path", fresh_path(spark, name)).format("parquet").saveAsTable(ident)
+    n = min(n or shuffle_partitions(spark), MOST_BUCKETS)
+    df.write.bucketBy(n, key).option("path", fresh_path(spark, name, ident)).format("parquet").saveAsTable(ident)
     return spark.table(ident)
 
 
