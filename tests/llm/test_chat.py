@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import duckdb
 import pytest
@@ -42,11 +43,18 @@ def tree(spark):
 def test_best_branch_of_a_tree(spark):
     paths = {}
     for r in K.chosen_paths(tree(spark).select("conv", "msg", "parent", "score"), 2).collect():
-        paths.setdefault((r["conv"], r["rank"]), []).append((-r["back"], r["msg"]))
+        paths.setdefault((r["conv"], r["root"], r["rank"]), []).append((-r["back"], r["msg"]))
     order = {k: [m for _, m in sorted(v)] for k, v in paths.items()}
-    assert order["c", 1] == [1, 3, 5] and order["c", 2] == [1, 2, 4]
-    assert order["d", 1] == [2] and order["d", 2] == [1]
-    assert order["long", 1] == list(range(1, 41))
+    assert order["c", 1, 1] == [1, 3, 5] and order["c", 1, 2] == [1, 2, 4]
+    assert order["d", 1, 1] == [1] and order["d", 2, 1] == [2]  # two roots are two trees
+    assert order["long", 1, 1] == list(range(1, 41)) and len(order) == 5
+
+
+def test_two_roots_repeated_and_missing_ids(spark):
+    rows = [("a", 1, None, 1.0), ("a", 2, 1, 1.0), ("a", 3, None, 9.0), ("a", 4, 3, 9.0), ("a", 4, 3, 9.0), ("a", 4, 1, 5.0), ("a", None, 1, 1.0)]
+    df = spark.createDataFrame([(*r, "assistant", f"t{r[1]}") for r in rows], "conv string, msg long, parent long, score double, role string, text string")
+    got = sorted(r["formatted"].replace("<|assistant|>\n", "").split("<|end|>\n")[:-1] for r in K.format_chats(df).collect())
+    assert got == [["t1", "t4"], ["t3"]]  # of the rows of id 4 that with the least parent
 
 
 def test_formatted_spans(spark):
@@ -56,6 +64,26 @@ def test_formatted_spans(spark):
     assert [chat["formatted"][s["start"] : s["start"] + s["length"]] for s in chat["loss_spans"]] == ["t1", "t3", "t5"]
 
 
+def test_spans_across_chunks_and_wide_characters(spark):
+    text = "".join(chr(0x1F600 + i % 50) if i % 7 == 0 else chr(97 + i % 26) for i in range(3 * K.CHUNK + 5)) + "\n" * 40
+    cuts = [(0, 1), (0, 0), (K.CHUNK - 1, 2), (K.CHUNK, K.CHUNK), (5, 3 * K.CHUNK), (len(text) - 3, 3), (0, len(text)), (len(text), 0)]
+    df = spark.createDataFrame([(text, [dict(start=a, length=n) for a, n in cuts])], "t string, s array<struct<start: long, length: long>>")
+    got = df.select(K.spans_of(F.col("t"), F.col("s")).alias("x")).first()["x"]
+    assert got == [text[a : a + n] for a, n in cuts]
+
+
+def test_long_conversation_is_read_in_proportion(spark, tmp_path):
+    """20,000 turns of one conversation and one text of a million characters."""
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i} <[~]> é") for i in range(20_000)] + [(2, 0, "assistant", "ab~<" * 250_000)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    begun = time.monotonic()
+    got = {r["conv_id"]: r for r in K.op2_chat(spark, str(tmp_path)).collect()}
+    assert time.monotonic() - begun < 120
+    loss = "".join(t for c, _, r, t in rows if r == "assistant" and c == 1)
+    assert (got[1]["n_turns"], got[1]["loss_chars"]) == (20_000, len(loss)) and got[1]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+    assert got[2]["loss_sha256"] == hashlib.sha256(rows[-1][3].encode()).hexdigest()
+
+
 def test_no_python_in_the_plan(spark):
     plan = K.op2_chat(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
