@@ -5,7 +5,11 @@ record, chunk, data, payload_so_far, digest_so_far): the header is chunk 0 and
 the block follows in chunks of ``CHUNK`` bytes, each with the length and the
 SHA-1 of the payload up to its end, so that neither writer nor reader
 holds more than a chunk beside the source value. The chunks of an archive in order are
-a WARC file, which ``export_files`` writes and ``read_files`` reads.
+a WARC file, which ``export_files`` writes and ``read_files`` reads. ``read_files`` also takes files of
+others: compressed ones, records without an HTTP length, records about the crawl (which are no pages and
+give no row), and ids that name no page (page_id is null then, record_id has the id as it stands).
+A url is written percent-encoded; one that encoding changes also stands, in base64, in a header of its own,
+so that it is read back exactly.
 
 Of records with equal payloads of at least ``least`` bytes the one with the
 smallest id is the response and the others are revisits, which keep the HTTP
@@ -14,7 +18,8 @@ header and refer to it.
 Defined cases: null html is an empty payload; a null url is left out; rows with
 a null id are responses unless an equal payload has an id; repeated rows of
 the smallest id are all responses; extra columns are ignored; an
-empty table gives no records.
+empty table gives no records. A record that is cut off, a missing or damaged chunk, or a digest that its payload does not have is an
+error, never a missing row.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import zlib
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -36,7 +42,11 @@ CHUNK = 64 << 10
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNKS = "archive long, record long, chunk long, data binary, payload_so_far long, digest_so_far string"
-RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_id string"
+#: Types of records that hold a page; others (warcinfo, request, metadata, conversion, continuation) give no row.
+PAGES = ("response", "resource", "revisit")
+#: A header that grows beyond this is no header.
+MOST_HEADER = 1 << 20
 _ARROW = pa.schema([("archive", pa.int64()), ("record", pa.int64()), ("chunk", pa.int64()), ("data", pa.binary()), ("payload_so_far", pa.int64()), ("digest_so_far", pa.string())])
 
 
@@ -67,7 +77,10 @@ def record_parts(page_id, url, payload, refers_to):
     revisit = refers_to is not None
     lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_uri(page_id)}", f"WARC-Date: {DATE}"]
     if url is not None:
-        lines.append("WARC-Target-URI: " + quote(url, safe=":/?#[]@!$&'()*+,;=%-._~"))
+        written = quote(url, safe=":/?#[]@!$&'()*+,;=%-._~")
+        lines.append("WARC-Target-URI: " + written)
+        if written != url:
+            lines.append("X-Source-URL: " + base64.b64encode(url.encode()).decode())
     lines.append(f"WARC-Payload-Digest: sha1:{digest}")
     if revisit:
         lines += [f"WARC-Refers-To: {_uri(refers_to)}", f"WARC-Profile: {PROFILE}"]
@@ -110,49 +123,106 @@ def write_chunks(pages: DataFrame, least: int = 0, name: str = "warc") -> DataFr
     return materialize(planned(pages, least).mapInArrow(run, CHUNKS), name)
 
 
+def _fields(head: bytes) -> dict[str, str]:
+    """Header fields by lower-case name; a line that starts with a blank goes on with the one before."""
+    out: dict[str, str] = {}
+    name = None
+    for line in head.decode("utf-8", "replace").replace("\r\n", "\n").split("\n")[1:]:
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            name = name.strip().lower()
+            out[name] = value.strip()
+    return out
+
+
+def _page(uri: str | None) -> int | None:
+    """The page of one of our own record ids."""
+    found = re.fullmatch(r"<?urn:page:(-?\d+)>?", uri or "")
+    return int(found[1]) if found else None
+
+
 class _Reader:
-    """One record at a time, from pieces of its bytes."""
+    """One record at a time, from pieces of its bytes; of the block no more than a piece is held."""
 
     def __init__(self) -> None:
         self.head, self.fields, self.sha, self.n = b"", None, hashlib.sha1(), 0
-        self.left = 0
+        self.http: bytes | None = None
+        self.left, self.length, self.tail, self.coded = 0, None, b"", False
 
     def feed(self, data: bytes) -> bytes:
         """Take a piece; return what lies behind the record's end."""
         if self.fields is None:
             self.head += data
             cut = self.head.find(b"\r\n\r\n")
-            inner = self.head.find(b"\r\n\r\n", cut + 4) if cut >= 0 else -1
-            if inner < 0:
+            if cut < 0:
+                if len(self.head) > MOST_HEADER:
+                    raise ValueError("no header of a record")
                 return b""
-            fields = dict(x.split(": ", 1) for x in self.head[:cut].decode().split("\r\n")[1:])
-            http = self.head[cut + 4 : inner + 4]
-            self.length = int(re.search(rb"Content-Length: (\d+)", http)[1])
-            self.left = int(fields["Content-Length"]) - len(http)
-            self.fields, data, self.head = fields, self.head[inner + 4 :], b""
-        payload = data[: self.left]
-        self.sha.update(payload)
-        self.n += len(payload)
-        self.left -= len(payload)
-        self.head += data[len(payload) :]  # the closing line ends
-        rest, self.head = self.head[4:], self.head[:4]
-        return rest
+            if not self.head.startswith(b"WARC/"):
+                raise ValueError("no record begins here")
+            self.fields, data, self.head = _fields(self.head[:cut]), self.head[cut + 4 :], b""
+            self.left = int(self.fields["content-length"])
+            kind = self.fields.get("content-type", "").replace(" ", "").lower()
+            self.http = b"" if kind.startswith("application/http") else None
+        block, data = data[: self.left], data[self.left :]
+        self.left -= len(block)
+        if self.http is not None:  # the HTTP header is not over yet
+            self.http += block
+            end = re.search(rb"\r?\n\r?\n", self.http)
+            block = b""
+            if end or not self.left:
+                head = self.http[: end.end() if end else None]
+                stated = re.search(rb"(?im)^content-length:[ \t]*(\d+)", head)
+                self.coded = re.search(rb"(?im)^transfer-encoding:", head) is not None
+                self.length = int(stated[1]) if stated else None
+                block = self.http[end.end() :] if end else b""
+                self.http = None
+            elif len(self.http) > MOST_HEADER:
+                raise ValueError("no HTTP header in a block")
+        self.sha.update(block)
+        self.n += len(block)
+        if not self.left:
+            need = 4 - len(self.tail)  # the record ends with two line ends
+            self.tail, data = self.tail + data[:need], data[need:]
+            if self.tail != b"\r\n\r\n"[: len(self.tail)]:
+                raise ValueError(f"damaged record {self.fields.get('warc-record-id')}")
+        return data
+
+    @property
+    def begun(self) -> bool:
+        return bool(self.head) or self.fields is not None
 
     @property
     def done(self) -> bool:
-        return self.fields is not None and not self.left and len(self.head) == 4
+        return self.fields is not None and not self.left and len(self.tail) == 4
 
-    def row(self) -> tuple:
+    def row(self) -> tuple | None:
+        """The record of a page, or None of another kind of record."""
         f = self.fields
-        revisit = f["WARC-Type"] == "revisit"
-        stated = f["WARC-Payload-Digest"].removeprefix("sha1:")
-        if not revisit and (base32(self.sha) != stated or self.n != self.length):
-            raise ValueError(f"damaged record {f['WARC-Record-ID']}")
-        page = lambda uri: int(uri[len("<urn:page:") : -1]) if len(uri) > len("<urn:page:>") else None
-        return (page(f["WARC-Record-ID"]), f.get("WARC-Target-URI"), self.length, stated, f["WARC-Type"], page(f["WARC-Refers-To"]) if revisit else None)
-
-
-_ROWS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+        kind = f.get("warc-type", "").lower()
+        if kind not in PAGES:
+            return None
+        revisit = kind == "revisit"
+        stated = f.get("warc-payload-digest", "").removeprefix("sha1:").upper() or None
+        if stated and ":" in stated:
+            stated = None  # of another hash
+        own = base32(self.sha)
+        short = self.length is not None and self.n < self.length and not self.coded and "warc-truncated" not in f
+        # a digest of a payload sent in pieces may be that of the payload put together
+        if not revisit and (short or (stated and own != stated and not self.coded)):
+            raise ValueError(f"damaged record {f.get('warc-record-id')}")
+        url = f.get("warc-target-uri")
+        if "x-source-url" in f:
+            url = base64.b64decode(f["x-source-url"]).decode()
+        elif url:
+            url = url.removeprefix("<").removesuffix(">")
+        size = self.length if revisit else self.n
+        return (_page(f.get("warc-record-id")), url, size, stated if revisit else own, kind, _page(f.get("warc-refers-to")), f.get("warc-record-id"), f.get("warc-refers-to"))
+
+
+_ROWS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("refers_to_id", pa.string())])
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -164,19 +234,22 @@ def read_chunks(chunks: DataFrame) -> DataFrame:
     ordered = chunks.repartition("archive", "record").sortWithinPartitions("archive", "record", "chunk")
 
     def run(batches):
-        reader, out = None, []
+        reader, due, out = _Reader(), 0, []
         for batch in batches:
             for chunk, data, sent, digest in zip(*(batch.column(c).to_pylist() for c in ("chunk", "data", "payload_so_far", "digest_so_far")), strict=True):
-                if chunk == 0:
-                    reader = _Reader()
-                reader.feed(data)
-                if reader.n != sent or base32(reader.sha) != digest:
+                if chunk != due:
+                    raise ValueError("a record lacks chunks")
+                rest, due = reader.feed(data), due + 1
+                if rest or reader.n != sent or base32(reader.sha) != digest:
                     raise ValueError("damaged chunk")
                 if reader.done:
                     out.append(reader.row())
+                    reader, due = _Reader(), 0
                     if len(out) == 4096:
                         yield _rows(out)
                         out = []
+        if reader.begun:
+            raise ValueError("a record lacks chunks")
         if out:
             yield _rows(out)
 
@@ -213,10 +286,34 @@ def export_files(chunks: DataFrame, folder: str) -> DataFrame:
     return materialize(ordered.mapInArrow(run, "path string, bytes long"), "warc_files")
 
 
+def _pieces(fs, path: str):
+    """The bytes of a file in pieces, unpacked member by member if it is compressed."""
+    with fs.open_input_stream(path, compression=None) as f:
+        if not path.endswith(".gz"):
+            while data := f.read(CHUNK):
+                yield data
+            return
+        member, open_ = zlib.decompressobj(31), False
+        while data := f.read(CHUNK):
+            while data:
+                open_ = True
+                # at most a chunk at once, however well the member is packed
+                while (out := member.decompress(data, CHUNK)) or member.unconsumed_tail:
+                    yield out
+                    data = member.unconsumed_tail
+                data = member.unused_data
+                if member.eof:
+                    member, open_ = zlib.decompressobj(31), False
+                else:
+                    break
+        if open_:
+            raise ValueError(f"{path} is cut off")
+
+
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """The records of the .warc files of a folder, one task a file, streamed in chunks."""
+    """The pages' records of the .warc and .warc.gz files of a folder, one task a file, streamed in chunks."""
     fs, base = pafs.FileSystem.from_uri(folder)
-    paths = sorted(x.path for x in fs.get_file_info(pafs.FileSelector(base)) if x.path.endswith(".warc"))
+    paths = sorted(x.path for x in fs.get_file_info(pafs.FileSelector(base)) if x.path.endswith((".warc", ".warc.gz")))
     files = spark.createDataFrame([(x,) for x in paths], "path string").repartition(max(1, len(paths)))
 
     def run(batches):
@@ -224,13 +321,18 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 out, reader = [], _Reader()
-                with fs.open_input_stream(path) as f:
-                    while data := f.read(CHUNK):
-                        while data:
-                            data = reader.feed(data)
-                            if reader.done:
-                                out.append(reader.row())
-                                reader = _Reader()
+                for data in _pieces(fs, path):
+                    while data:
+                        data = reader.feed(data)
+                        if reader.done:
+                            if (row := reader.row()) is not None:
+                                out.append(row)
+                            reader = _Reader()
+                            if len(out) == 4096:
+                                yield _rows(out)
+                                out = []
+                if reader.begun:
+                    raise ValueError(f"{path} is cut off")
                 if out:
                     yield _rows(out)
 
@@ -239,7 +341,7 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query 7: write all pages as WARC chunks and read the archives back."""
-    return read_chunks(write_chunks(table(spark, sf_dir, "pages"))).drop("url")
+    return read_chunks(write_chunks(table(spark, sf_dir, "pages"))).drop("url", "record_id", "refers_to_id")
 
 
 OP7_SQL = """
