@@ -4,16 +4,21 @@ A benchmark item of W words is found in a document where some stretch is within
 floor((1 - SIMILARITY) * W) word edits of it. Item-sized windows of the document
 are embedded by the CGK random walk, which maps edit distance to Hamming
 distance: a walk copies the word under its pointer and moves on or stays by a coin
-thrown for that step and word, for 3W steps. Bit-sampling LSH over the walks,
-repeated ``REPEATS`` times with walks of their own, proposes (window, item)
-pairs, and an exact edit distance on the words decides.
+thrown for that step and word. Bit-sampling LSH makes ``REPEATS`` keys of a
+window for every ``EACH`` words, each of a walk of its own and ``SAMPLED`` of its places; places lie in the
+first 1.8 W steps, where the pointer is still inside the words. The keys of windows are
+joined with the keys of items, and an exact edit distance on the words decides about
+each pair that shares one. ``expected_recall`` simulates edits at the bound: with these constants it is
+``TARGET_RECALL`` or more for items of 1 to 500 words, and a test holds that.
 
 Which windows are embedded: of an item with at most d edits, one of d+1 equal
-pieces must stand in the document unchanged (pigeonhole), so windows are
-those that align with such a piece. Nothing within the edit bound is lost there.
+pieces must stand in the document unchanged (pigeonhole), so only windows
+that align with such a piece can match. This filter loses nothing within the bound; what an
+embedded window is like is found by its keys alone. Equal windows are embedded once, and
+overlapping windows of one item are verified in one go, so repeated text costs no more than other text.
 
-Items come in blocks of at most ``ITEMS_A_BLOCK``; each is scanned against all
-rows, so what a task receives is bounded whatever the benchmark's size.
+Items come in blocks of at most ``ITEMS_A_BLOCK`` and about ``BYTES_A_BLOCK`` of text (one item at least); each is scanned
+against all rows, so what a task receives is bounded whatever the benchmark's size.
 
 Defined cases: words are runs of letters and digits (beyond ASCII of anything but general punctuation), lower-cased; null or empty texts and items match nothing; repeated rows are
 reported each; of equal matches in a document the first with the fewest
@@ -37,9 +42,12 @@ from talentloom.llm.common import table
 
 SIMILARITY = 0.8
 PIECE = 4
-REPEATS, SAMPLED = 24, 2
-ITEMS_A_BLOCK = 4096
+TARGET_RECALL = 0.99
+REPEATS, EACH, SAMPLED = 32, 125, 2
+ITEMS_A_BLOCK, BYTES_A_BLOCK = 1 << 14, 8 << 20
 CHUNK = 1 << 20
+#: Words and walks of the windows that are embedded at once.
+AT_ONCE = 1 << 22
 U = textnp.U
 #: Word bytes as themselves, everything else as a space (texts are lower-cased before).
 _BYTES = np.full(256, 0x20, np.uint8)
@@ -50,30 +58,78 @@ def allowed(words: int, similarity: float = SIMILARITY) -> int:
     return math.floor((1 - similarity) * words + 1e-9)
 
 
-def cgk(words: np.ndarray, seeds: range) -> np.ndarray:
-    """The walks of windows (rows of word hashes), one for each seed: (rows, seeds, 3W) word hashes, 0 behind the end."""
+def walk_steps(words: int) -> int:
+    """Steps in which a walk (half a word a step) hardly ever passes the end of a window."""
+    return max(1, 9 * words // 5)
+
+
+def repeats_for(words: int) -> int:
+    """Repeats for the target recall: long items drift further at the bound, so they take more."""
+    return REPEATS * max(1, -(-words // EACH))
+
+
+def places_of(words: int, repeats: int, sampled: int = SAMPLED) -> np.ndarray:
+    """The places sampled of each repeat's walk over windows of this size: (sampled, repeats)."""
+    return np.random.default_rng([repeats, words]).integers(0, walk_steps(words), (sampled, repeats))
+
+
+def cgk(words: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The sampled places of the walks of windows (rows of word hashes), a walk for each column of places: (places, rows, walks)."""
     n, w = words.shape
     padded = np.concatenate([words, np.zeros((n, 1), np.uint64)], axis=1).reshape(-1)
-    out = np.zeros((3 * w, n, len(seeds)), np.uint64)
     base = (np.arange(n) * (w + 1))[:, None]
-    at = np.zeros((n, len(seeds)), np.int64)
-    salt = np.array([(0x9E3779B97F4A7C15 * (s + 1)) % 2**64 for s in seeds], np.uint64)
-    for j in range(3 * w):
+    walks = places.shape[1]
+    at = np.zeros((n, walks), np.int64)
+    salt = np.arange(1, walks + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15)
+    out = np.zeros((len(places), n, walks), np.uint64)
+    for j in range(int(places.max()) + 1):
         here = padded[base + at]
-        out[j] = here
+        for k, walk in zip(*np.nonzero(places == j), strict=True):
+            out[k, :, walk] = here[:, walk]
         coin = ((here ^ (salt + U(j))) * U(0xD6E8FEB86659FD93)) >> U(63)
         at = np.minimum(at + coin.astype(np.int64), w)
-    return out.transpose(1, 2, 0)
-
-
-def lsh_keys(words: np.ndarray, repeats: int = REPEATS, sampled: int = SAMPLED) -> np.ndarray:
-    """(rows, repeats) keys: each of a walk of its own and `sampled` of its places."""
-    w = words.shape[1]
-    walks = cgk(words, range(repeats))
-    key = np.tile(np.arange(1, repeats + 1, dtype=np.uint64), (len(words), 1))
-    for places in np.random.default_rng([repeats, w]).integers(0, 3 * w, (sampled, repeats)):
-        key = textnp.mix(key * U(0x9E3779B97F4A7C15) + walks[:, np.arange(repeats), places])
-    return key
+    return out
+
+
+def lsh_keys(words: np.ndarray, sampled: int = SAMPLED) -> np.ndarray:
+    """(rows, repeats) keys of windows of one size."""
+    repeats = repeats_for(words.shape[1])
+    places = places_of(words.shape[1], repeats, sampled)
+    out = np.empty((len(words), repeats), np.uint64)
+    step = max(1, AT_ONCE // (words.shape[1] + 8 * repeats))
+    for i in range(0, len(words), step):
+        part = words[i : i + step]
+        key = np.tile(np.arange(1, repeats + 1, dtype=np.uint64), (len(part), 1))
+        for seen in cgk(part, places):
+            key = textnp.mix(key * U(0x9E3779B97F4A7C15) + seen)
+        out[i : i + step] = key
+    return out
+
+
+def edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
+    """words after random changes, losses and additions."""
+    out = list(words)
+    for kind, new in zip(rng.integers(0, 3, edits), rng.integers(1, 2**62, edits), strict=True):
+        at = int(rng.integers(0, max(1, len(out))))
+        if kind == 0 and out:
+            out[at] = new
+        elif kind == 1 and out:
+            out.pop(at)
+        else:
+            out.insert(at, new)
+    return np.array(out, np.uint64)
+
+
+def expected_recall(words: int, trials: int = 100, seed: int = 1) -> float:
+    """Share of random items of this size that the search finds when edited up to the bound and set among other words."""
+    rng = np.random.default_rng([seed, words])
+    found = 0
+    for _ in range(trials):
+        item = rng.integers(1, 2**62, words).astype(np.uint64)
+        other = rng.integers(1, 2**62, (2, 40)).astype(np.uint64)
+        text = np.concatenate([other[0], edited(item, allowed(words), rng), other[1]])
+        found += bool(Items.of_words([0], [item]).search(text, np.array([0, len(text)])))
+    return found / trials
 
 
 def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -100,71 +156,119 @@ def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(start[end]), end
 
 
+class _Table:
+    """Rows by a sorted 64-bit key."""
+
+    def __init__(self, key: np.ndarray, *columns: np.ndarray) -> None:
+        order = np.argsort(key, kind="stable")
+        self.key, self.columns = key[order], [c[order] for c in columns]
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[(self.key >> U(44)).astype(np.int64)] = True
+
+    def join(self, key: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(place in key, the columns) of all pairs of equal keys."""
+        hit = np.flatnonzero(self.seen[(key >> U(44)).astype(np.int64)])
+        low = np.searchsorted(self.key, key[hit])
+        n = np.searchsorted(self.key, key[hit], side="right") - low
+        at = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(hit, n), *(c[at] for c in self.columns)
+
+
 class Items:
     """A block of benchmark items ready for search."""
 
     def __init__(self, ids: list, texts: list[str | None], similarity: float = SIMILARITY) -> None:
         hashes, rows = words_of(pa.array(texts, pa.string()))
-        some = [i for i in range(len(ids)) if rows[i + 1] > rows[i]]
-        self.ids = [ids[i] for i in some]
-        self.words = [hashes[rows[i] : rows[i + 1]] for i in some]
-        self.allowed = [allowed(len(w), similarity) for w in self.words]
+        self._build(ids, [hashes[rows[i] : rows[i + 1]] for i in range(len(ids))], similarity)
+
+    @classmethod
+    def of_words(cls, ids: list, words: list[np.ndarray], similarity: float = SIMILARITY) -> Items:
+        out = cls.__new__(cls)
+        out._build(ids, words, similarity)
+        return out
+
+    def _build(self, ids: list, words: list[np.ndarray], similarity: float) -> None:
+        some = [i for i in range(len(ids)) if len(words[i])]
+        self.ids, self.words, self.similarity = [ids[i] for i in some], [words[i] for i in some], similarity
         pieces: dict[int, list[tuple[int, int, int]]] = {}
-        for i, words in enumerate(self.words):
-            d, w = self.allowed[i], len(words)
+        by_size: dict[int, list[int]] = {}
+        for i, item in enumerate(self.words):
+            w = len(item)
+            d = allowed(w, similarity)
             size = min(PIECE, w // (d + 1))
-            for p in range(d + 1):
-                at = p * w // (d + 1)
-                key = textnp.span_sums(words, np.array([at]), np.array([at + size]), 2)[0]
-                pieces.setdefault(size, []).append((int(key), i, at))
-        self.pieces = {}
+            at = np.arange(d + 1) * w // (d + 1)
+            for key, place in zip(textnp.span_sums(item, at, at + size, 2).tolist(), at.tolist(), strict=True):
+                pieces.setdefault(size, []).append((key, w, place))
+            by_size.setdefault(w, []).append(i)
+        self.pieces, self.keys = {}, {}
         for size, found in pieces.items():
-            found.sort()
-            key = np.array([x[0] for x in found], np.uint64)
-            seen = np.zeros(1 << 20, bool)
-            seen[(key >> U(44)).astype(np.int64)] = True
-            self.pieces[size] = (seen, key, np.array([x[1] for x in found]), np.array([x[2] for x in found]))
-        self.keys = {i: set(lsh_keys(words[None, :])[0].tolist()) for i, words in enumerate(self.words)}
+            one = np.array(sorted(set(found)), np.uint64)
+            self.pieces[size] = _Table(one[:, 0], one[:, 1].astype(np.int64), one[:, 2].astype(np.int64))
+        for w, members in by_size.items():
+            keys = lsh_keys(np.stack([self.words[i] for i in members]))
+            self.keys[w] = _Table(keys.reshape(-1), np.repeat(np.array(members), keys.shape[1]))
+
+    def windows(self, hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Distinct (size, row, first word) of windows that align with an unchanged piece and overlap their row enough."""
+        out = [np.zeros((0, 3), np.int64)]
+        for size, table in self.pieces.items():
+            first = np.arange(max(0, len(hashes) - size + 1))
+            hit, w, at = table.join(textnp.span_sums(hashes, first, first + size, 2))
+            row, start = np.searchsorted(rows, hit, side="right") - 1, hit - at
+            d = np.floor((1 - self.similarity) * w + 1e-9).astype(np.int64)
+            near = (start >= rows[row] - d) & (start + w <= rows[row + 1] + d)
+            out.append(np.stack([w[near], row[near], start[near]], axis=1))
+        return np.unique(np.concatenate(out), axis=0)
+
+    def candidates(self, w: int, row: np.ndarray, start: np.ndarray, hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of all pairs that share a key; equal windows are embedded once."""
+        low, high = np.maximum(start, rows[row]), np.minimum(start + w, rows[row + 1])
+        same = textnp.mix(textnp.span_sums(hashes, low, high, 3) + (low - start).astype(np.uint64) * U(0xD6E8FEB86659FD93)) + (high - low).astype(np.uint64)
+        _, one, which = np.unique(same, return_index=True, return_inverse=True)
+        pairs = [np.zeros((0, 2), np.int64)]
+        step = max(1, AT_ONCE // w)
+        for i in range(0, len(one), step):
+            part = one[i : i + step]
+            at = start[part][:, None] + np.arange(w)
+            inside = (at >= low[part][:, None]) & (at < high[part][:, None])
+            keys = lsh_keys(np.where(inside, hashes[np.clip(at, 0, len(hashes) - 1)], U(1)))
+            place, item = self.keys[w].join(keys.reshape(-1))
+            pairs.append(np.unique(np.stack([i + place // keys.shape[1], item], axis=1), axis=0))
+        pairs = np.concatenate(pairs)
+        # back from each distinct window to all windows of its content
+        order = np.argsort(which, kind="stable")
+        first = np.searchsorted(which[order], pairs[:, 0])
+        n = np.searchsorted(which[order], pairs[:, 0], side="right") - first
+        at = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return order[at], np.repeat(pairs[:, 1], n)
 
     def search(self, hashes: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item, first word, words, edits) of the best match of each item in each row."""
-        asked: set[tuple[int, int, int]] = set()
-        for size, (seen, key, item, at) in self.pieces.items():
-            if len(hashes) < size:
-                continue
-            first = np.arange(len(hashes) - size + 1)
-            gram = textnp.span_sums(hashes, first, first + size, 2)
-            hit = np.flatnonzero(seen[(gram >> U(44)).astype(np.int64)])
-            low = np.searchsorted(key, gram[hit])
-            high = np.searchsorted(key, gram[hit], side="right")
-            n = high - low
-            hit, low = np.repeat(hit, n), np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            row = np.searchsorted(rows, hit, side="right") - 1
-            asked.update(zip(row.tolist(), item[low].tolist(), (hit - at[low]).tolist(), strict=True))
-        by_size: dict[int, list[tuple[int, int, int]]] = {}
-        for row, i, start in sorted(asked):
-            by_size.setdefault(len(self.words[i]), []).append((row, i, start))
+        asked = self.windows(hashes, rows)
+        pairs = [np.zeros((0, 3), np.int64)]
+        for w in np.unique(asked[:, 0]).tolist():
+            mine = asked[asked[:, 0] == w]
+            window, item = self.candidates(w, mine[:, 1], mine[:, 2], hashes, rows)
+            pairs.append(np.stack([mine[window, 1], item, mine[window, 2]], axis=1))
+        pairs = np.unique(np.concatenate(pairs), axis=0)
+        if not len(pairs):
+            return []
+        size = np.array([len(x) for x in self.words])[pairs[:, 1]]
+        d = np.floor((1 - self.similarity) * size + 1e-9).astype(np.int64)
+        low = np.maximum(rows[pairs[:, 0]], pairs[:, 2] - 2 * d)
+        high = np.minimum(rows[pairs[:, 0] + 1], pairs[:, 2] + size + 2 * d)
+        # windows of one item that overlap in a row are one stretch
+        new = np.ones(len(pairs), bool)
+        new[1:] = (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1) | (low[1:] > high[:-1])
+        heads = np.flatnonzero(new)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for w, pairs in by_size.items():
-            for k in range(0, len(pairs), 1024):
-                for row, i, start in self._proposed(pairs[k : k + 1024], w, hashes, rows):
-                    d = self.allowed[i]
-                    a, b = max(rows[row], start - 2 * d), min(rows[row + 1], start + w + 2 * d)
-                    edits, s, e = best_match(self.words[i], hashes[a:b])
-                    if edits <= d:
-                        found = (edits, int(a) + s - int(rows[row]), e - s)
-                        best[row, i] = min(best.get((row, i), found), found)
-        return [(row, i, start, n, edits) for (row, i), (edits, start, n) in sorted(best.items())]
-
-    def _proposed(self, pairs, w: int, hashes: np.ndarray, rows: np.ndarray):
-        """Pairs whose window shares a key with the item."""
-        row = np.array([p[0] for p in pairs])
-        at = np.array([p[2] for p in pairs])[:, None] + np.arange(w)
-        inside = (at >= rows[row][:, None]) & (at < rows[row + 1][:, None])
-        window = np.where(inside, hashes[np.clip(at, 0, len(hashes) - 1)], U(1))
-        for pair, keys in zip(pairs, lsh_keys(window).tolist(), strict=True):
-            if not self.keys[pair[1]].isdisjoint(keys):
-                yield pair
+        for k, end in zip(heads.tolist(), [*(heads[1:] - 1).tolist(), len(pairs) - 1], strict=True):
+            row, item = pairs[k, :2].tolist()
+            edits, s, e = best_match(self.words[item], hashes[low[k] : high[end]])
+            if edits <= d[k]:
+                found = (edits, int(low[k]) + s - int(rows[row]), e - s)
+                best[row, item] = min(best.get((row, item), found), found)
+        return [(row, item, start, n, edits) for (row, item), (edits, start, n) in sorted(best.items())]
 
 
 def words_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,10 +283,10 @@ def words_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return textnp.word_hashes(out, offsets)
 
 
-def item_blocks(benchmark: DataFrame, similarity: float, most: int = ITEMS_A_BLOCK):
-    """Items in blocks of about `most`, each small enough for every task."""
-    n = benchmark.count()
-    blocks = -(-n // most)
+def item_blocks(benchmark: DataFrame, similarity: float, most: int = ITEMS_A_BLOCK, most_bytes: int = BYTES_A_BLOCK):
+    """Items in blocks of about `most` items and `most_bytes` of text, each small enough for every task."""
+    n, size = benchmark.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(-(-n // most), -(-size // most_bytes), bool(n))
     for k in range(blocks):
         part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else benchmark
         rows = sorted(part.select("item_id", "text").collect(), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))

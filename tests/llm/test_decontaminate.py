@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -72,7 +73,7 @@ def test_blocks_of_items_change_nothing(spark, planted, monkeypatch):
     items, docs = planted
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     whole = {(r["doc_id"], r["item_id"]) for r in D.contaminated(df, bench).collect()}
-    monkeypatch.setattr(D.item_blocks, "__defaults__", (5,))
+    monkeypatch.setattr(D.item_blocks, "__defaults__", (5, 1 << 20))
     assert {(r["doc_id"], r["item_id"]) for r in D.contaminated(df, bench).collect()} == whole
 
 
@@ -89,8 +90,67 @@ def test_walks_of_equal_windows_are_equal():
     rng = np.random.default_rng(2)
     w = rng.integers(0, 2**63, (3, 20), dtype=np.uint64)
     w[2] = w[0]
-    walks = D.cgk(w, range(4))
-    assert (walks[0] == walks[2]).all() and (walks[0] != walks[1]).any() and walks.shape == (3, 4, 60)
+    places = D.places_of(20, 4, 3)
+    walks = D.cgk(w, places)
+    assert walks.shape == (3, 3, 4) and places.max() < D.walk_steps(20)
+    assert (walks[:, 0] == walks[:, 2]).all() and (walks[:, 0] != walks[:, 1]).any()
+
+
+def test_walk_against_a_plain_one():
+    rng = np.random.default_rng(5)
+    words = rng.integers(1, 2**63, 12, dtype=np.uint64)
+    places = np.array([[0, 7], [20, 3]])
+    got = D.cgk(words[None, :], places)
+    for walk in range(2):
+        at, seen = 0, []
+        for j in range(21):
+            here = int(words[at]) if at < 12 else 0
+            seen.append(here)
+            salt = (0x9E3779B97F4A7C15 * (walk + 1) + j) % 2**64
+            at = min(at + ((((here ^ salt) * 0xD6E8FEB86659FD93) % 2**64) >> 63), 12)
+        assert [int(got[k, 0, walk]) for k in range(2)] == [seen[p] for p in places[:, walk]]
+
+
+@pytest.mark.parametrize("words", [1, 4, 5, 9, 10, 25, 36, 60, 120, 250, 500])
+def test_recall_at_the_bound(words):
+    assert D.expected_recall(words) >= D.TARGET_RECALL
+
+
+def test_unrelated_windows_are_mostly_rejected():
+    """Windows that share one piece with an item and nothing else."""
+    rng = np.random.default_rng(3)
+    for w in (10, 20, 36, 60):
+        item = rng.integers(1, 2**62, w).astype(np.uint64)
+        items = D.Items.of_words([0], [item])
+        text = rng.integers(1, 2**62, 400 * w).astype(np.uint64)
+        text.reshape(400, w)[:, :4] = item[:4]
+        mine = items.windows(text, np.array([0, len(text)]))
+        window, _ = items.candidates(w, mine[:, 1], mine[:, 2], text, np.array([0, len(text)]))
+        assert len(mine) >= 390 and len(window) < 0.6 * len(mine), (w, len(window))
+
+
+def test_repeated_word_is_searched_fast():
+    """An item that ends in 40 equal words, and a document of that word alone; then one with the item inside."""
+    head = [f"w{i}" for i in range(460)]
+    items = D.Items([1], [" ".join(head + ["same"] * 40)])
+    begun = time.monotonic()
+    assert items.search(*D.words_of(pa.array(["same " * 3000]))) == []
+    assert time.monotonic() - begun < 5
+    hit = items.search(*D.words_of(pa.array(["same " * 3000 + " ".join(head) + " same" * 3000])))
+    assert hit == [(0, 0, 3000, 500, 0)]
+
+
+def test_very_long_item_and_text():
+    rng = np.random.default_rng(8)
+    item = rng.integers(1, 2**62, 2000).astype(np.uint64)
+    text = np.concatenate([rng.integers(1, 2**62, 50_000).astype(np.uint64), D.edited(item, 380, rng), rng.integers(1, 2**62, 900).astype(np.uint64)])
+    found = D.Items.of_words([0], [item]).search(text, np.array([0, len(text)]))
+    assert len(found) == 1 and found[0][4] <= 380
+
+
+def test_items_go_by_bytes_too(spark):
+    bench = spark.createDataFrame([(i, "word " * 300) for i in range(20)], "item_id long, text string")
+    assert len(list(D.item_blocks(bench, 0.8, most_bytes=4000))) > 5
 
 
 def test_empty(spark, planted):
