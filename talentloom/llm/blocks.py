@@ -54,7 +54,16 @@ def slices(batches, column: str, most: int):
         yield pa.Table.from_batches(held).combine_chunks(), size
 
 
-def write_blocks(docs: DataFrame, name: str, column: str = "text", most: int = BLOCK_BYTES, batch: int = 0) -> DataFrame:
+def text_bytes(docs: DataFrame, column: str = "text") -> int:
+    return int(docs.agg(F.sum(F.octet_length(column))).first()[0] or 0)
+
+
+def buckets_for(size: int, most: int) -> int:
+    """Buckets of about two blocks, so that the tasks that read them don't grow with the input."""
+    return max(1, -(-size // (2 * most)))
+
+
+def write_blocks(docs: DataFrame, name: str, column: str = "text", most: int = BLOCK_BYTES, batch: int = 0, buckets: int | None = None, path: str | None = None) -> DataFrame:
     """Pack all rows (all columns) into a table of blocks bucketed by block; batch tells apart blocks of later writes."""
 
     def run(batches):
@@ -63,7 +72,7 @@ def write_blocks(docs: DataFrame, name: str, column: str = "text", most: int = B
             yield pa.RecordBatch.from_pydict({"block": [first | k], "docs": [part.num_rows], "bytes": [size], "payload": [to_payload(part)]}, schema=_arrow(BLOCK_SCHEMA))
             k += 1
 
-    return bucketed(docs.mapInArrow(run, BLOCK_SCHEMA), "block", name)
+    return bucketed(docs.mapInArrow(run, BLOCK_SCHEMA), "block", name, buckets, path)
 
 
 _TYPES = {"long": pa.int64(), "binary": pa.binary(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}

@@ -57,7 +57,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, name: str, n: int | None = None) -> DataFrame:
+def bucketed(df: DataFrame, key: str, name: str, n: int | None = None, path: str | None = None) -> DataFrame:
     """Like materialize, in n buckets by key so that later grouping by it moves no rows.
 
     Each writing task holds few distinct keys, so it writes few files and no
@@ -66,7 +66,7 @@ def bucketed(df: DataFrame, key: str, name: str, n: int | None = None) -> DataFr
     spark = df.sparkSession
     ident = f"{name}_{uuid.uuid4().hex[:12]}"
     n = min(n or shuffle_partitions(spark), MOST_BUCKETS)
-    df.write.bucketBy(n, key).option("path", fresh_path(spark, name, ident)).format("parquet").saveAsTable(ident)
+    df.write.bucketBy(n, key).option("path", path or fresh_path(spark, name, ident)).format("parquet").saveAsTable(ident)
     return spark.table(ident)
 
 

@@ -3,12 +3,21 @@
 A window is ``window`` consecutive words of one document. Every window is
 represented by its anchor, the smallest hash of the ``ANCHOR_WORDS``-grams inside
 it (leftmost of equals), so equal windows have equal anchors at equal offsets.
-The index keeps, by key range, immutable sorted runs of anchor hashes. A batch
-of documents becomes blocks and a new run; the run is merge-joined with the
-historical runs, and windows under anchors that occur more than once are then
-verified by full 96-bit hashes of all their words. ``compact`` merges the
-runs of each range into one.
-
+The index keeps two kinds of immutable runs, each sorted by hash inside its key ranges: of
+the anchors of all history, and of the windows (96 bits of all their words) under anchors that
+occur more than once. An entry knows whether it occurred once or more often, and where if once.
+
+``add`` packs a batch into blocks and merge-joins its anchors with the historical runs. That tells which anchors of the batch
+repeat, and which of history, alone until now, do so from now on. The windows under both are
+verified: they are merge-joined with the window runs by the full hashes, which gives every
+place, in the batch or in history, where a window begins that occurs elsewhere too. These places
+are appended; old blocks are read again only where the batch hit them. ``compact``
+merges the runs of each key range, entry by entry, and widens the number of ranges as the index grows.
+A manifest in the index's folder names all parts after each change, so ``FingerprintIndex.open`` goes on
+where a lost driver stopped.
+
+A hash that is very common costs one entry a block, however often it occurs there: what
+repeats inside a block is known there and needs no answer.
 Results are whole: no window, document or group is capped or sampled.
 
 Defined cases: null or empty text has no words and stays as it is; documents
@@ -20,6 +29,8 @@ columns beside the text pass through untouched; an empty table gives none.
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +41,18 @@ from pyspark.sql import types as T
 
 from talentloom.llm import blocks as B
 from talentloom.llm import textnp
-from talentloom.llm.common import bucketed, materialize, shuffle_partitions, table
+from talentloom.llm.common import fresh_path, shuffle_partitions, table
 
 WINDOW = 35
 BLOCK_BYTES = 4 << 20
 ANCHOR_WORDS = 11
+#: Batches of the query and the pipeline's stage, and the number of runs that are merged into one.
+BATCHES, FAN = 3, 2
+CELL, PLACES, RUN = 0, 1, 2
+#: CELL: a block's sorted distinct keys of a range, vals (32 more bits, then a twice-here bit) and their places; PLACES: places
+#: (pos) of a block; RUN: a range's sorted keys, vals (last bit: more than once), homes (blocks of those that came once) and places.
+ENTRY_SCHEMA = "kind int, part long, block long, keys binary, vals binary, homes binary, pos binary"
+_ENTRIES = B._arrow(ENTRY_SCHEMA)
 
 
 class _Words:
@@ -78,175 +96,274 @@ class _Words:
         """Starts of windows whose anchor is repeated (a flag per anchor), with their two hashes."""
         starts = self.starts[repeated[np.searchsorted(self.anchors, self.anchor_at)]]
         if not len(starts):
-            return starts, np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+            return starts, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         one = textnp.span_sums(self.hash, starts, starts + self.window, 3)
         two = textnp.span_sums(self.hash2, starts, starts + self.window, 2)
-        return starts, one, (two >> textnp.U(32)).astype(np.uint32)
+        return starts, one, two >> textnp.U(32)
 
 
-def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the runs of equal values of a sorted array, and each entry's run."""
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    return np.flatnonzero(new), np.cumsum(new) - 1
+def _entries(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, schema=_ENTRIES)
 
 
-def anchor_cells(blocks: DataFrame, column: str, window: int, parts: int) -> DataFrame:
-    """The new batch's sorted anchor hashes with their counts, by key range and block."""
+def _groups(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, heads, group of each ordered entry) of equal (key, check)."""
+    order = np.lexsort((checks, keys))
+    k, c = keys[order], checks[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    return order, np.flatnonzero(new), np.cumsum(new) - 1
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            for row in batch.to_pylist():
-                words = _Words(B.from_payload(row["payload"]), column, window)
-                keys, counts = np.unique(words.keys, return_counts=True)
-                yield B.cell_rows(row["block"], keys, counts.astype(np.uint32), parts)
 
-    return blocks.select("block", "payload").mapInArrow(run, B.CELL_SCHEMA)
+def _cells(block: int, keys: np.ndarray, checks: np.ndarray, pos: np.ndarray, parts: int) -> tuple[list[dict], np.ndarray]:
+    """The CELL rows of a block, one entry a distinct (key, check), and the places of those that occur twice or more in the block."""
+    if not len(keys):
+        return [], pos
+    order, heads, group = _groups(keys, checks)
+    many = np.diff(np.append(heads, len(keys))) > 1
+    twice = np.sort(pos[order[many[group]]])
+    head = order[heads]
+    keys, vals, pos = keys[head], (checks[head].astype(np.uint64) << textnp.U(1)) | many.astype(np.uint64), np.where(many, 0, pos[head]).astype(np.uint32)
+    return _cut(keys, parts, lambda i, j: {"kind": CELL, "block": block, "keys": textnp.pack(keys[i:j], delta=True), "vals": textnp.pack(vals[i:j]), "pos": textnp.pack(pos[i:j])}), twice
 
 
-def merge_join(cells: DataFrame) -> DataFrame:
-    """A flag per key of each cell: does its anchor occur twice in all runs and cells together?"""
+def _cut(keys: np.ndarray, parts: int, row) -> list[dict]:
+    """row(i, j) of each key range of sorted keys."""
+    at = B.range_of(keys, parts)
+    cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(keys)] if len(keys) else [0]
+    return [{"part": int(at[i]), **row(i, j)} for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
-    def run(part: pa.Table) -> pa.Table:
-        keys, counts, order, sizes = B.merged(part, np.uint32)
-        heads, at = _runs(keys)
-        total = np.add.reduceat(counts.astype(np.int64), heads)
-        out = B.reply(part, order, sizes, (total[at] > 1).astype(np.uint8))
-        return out
 
-    return cells.groupBy("part").applyInArrow(run, B.REPLY_SCHEMA)
+def _places(block: int, pos: np.ndarray) -> dict:
+    # any range may carry them
+    return {"kind": PLACES, "part": int(block & 0xFFFF), "block": block, "pos": textnp.pack(np.sort(pos).astype(np.uint32), delta=True)}
+
 
+def anchor_cells(blocks: DataFrame, column: str, window: int, parts: int) -> DataFrame:
+    """The new batch's sorted anchor hashes by key range and block."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for row in batch.to_pylist():
+                words = _Words(B.from_payload(row["payload"]), column, window)
+                yield _entries(_cells(row["block"], words.keys, np.zeros(len(words.keys), np.uint64), words.anchors, parts)[0])
 
-def _anchor_flags(words: _Words, replies: pa.Table) -> np.ndarray:
-    keys = np.unique(words.keys)
-    flags = B.replies_of(replies, np.uint8).astype(bool)
-    if not len(flags):
-        return np.zeros(len(words.keys), bool)
-    return flags[np.searchsorted(keys, words.keys)]
+    return blocks.select("block", "payload").mapInArrow(run, ENTRY_SCHEMA)
 
 
-def window_cells(blocks: DataFrame, flags: DataFrame, column: str, window: int, parts: int) -> DataFrame:
-    """Hashes of the windows under repeated anchors; vals carry 32 more bits and a twice-here bit."""
+def window_cells(blocks: DataFrame, active: DataFrame, column: str, window: int, parts: int, fresh: bool) -> DataFrame:
+    """Hashes of the windows under active anchors (their places in a block are the rows of active); fresh: and under those that repeat inside the block.
+
+    Places of windows that repeat inside the block come too.
+    """
 
-    def run(block: pa.Table, replies: pa.Table) -> pa.Table:
+    def run(block: pa.Table, places: pa.Table) -> pa.Table:
         out = []
+        at = _positions(places)
         for row in block.to_pylist():
             words = _Words(B.from_payload(row["payload"]), column, window)
-            _, one, two = words.under(_anchor_flags(words, replies))
-            out.append(B.cell_rows(row["block"], *_distinct(one, two)[:2], parts))
-        return pa.Table.from_batches(out, schema=B._arrow(B.CELL_SCHEMA))
-
-    left = blocks.select("block", "payload").groupBy("block")
-    return left.cogroup(flags.groupBy("block")).applyInArrow(run, B.CELL_SCHEMA)
-
-
-def _distinct(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (one, two) in order: keys, vals (two, and a bit if it came twice), and each entry's place."""
-    order = np.lexsort((two, one))
-    one, two = one[order], two[order]
-    new = np.ones(len(one), bool)
-    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-    at = np.cumsum(new) - 1
-    heads = np.flatnonzero(new)
-    count = np.diff(np.append(heads, len(one)))
-    place = np.empty(len(order), np.int64)
-    place[order] = at
-    return one[heads], (two[heads].astype(np.uint64) << textnp.U(1)) | (count > 1).astype(np.uint64), place
-
-
-def verify(cells: DataFrame) -> DataFrame:
-    """A flag per window hash of each cell: does the same window occur elsewhere too?"""
-
-    def run(part: pa.Table) -> pa.Table:
-        keys, vals, order, sizes = B.merged(part, np.uint64)
-        inner = np.lexsort((vals >> textnp.U(1), keys))
-        keys, vals, order = keys[inner], vals[inner], order[inner]
-        check = vals >> textnp.U(1)
-        new = np.ones(len(keys), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (check[1:] != check[:-1])
-        heads, at = np.flatnonzero(new), np.cumsum(new) - 1
-        total = np.add.reduceat(1 + (vals & textnp.U(1)).astype(np.int64), heads)
-        return B.reply(part, order, sizes, (total[at] > 1).astype(np.uint8))
-
-    return cells.groupBy("part").applyInArrow(run, B.REPLY_SCHEMA)
-
-
-def covered(words: _Words, anchor_replies: pa.Table, window_replies: pa.Table) -> np.ndarray:
-    """Which words of a block some repeated window covers."""
-    n = len(words.hash)
-    starts, one, two = words.under(_anchor_flags(words, anchor_replies))
-    if not len(starts):
-        return np.zeros(n, bool)
-    hit = B.replies_of(window_replies, np.uint8).astype(bool)[_distinct(one, two)[2]]
+            repeated = np.isin(words.anchors, at)
+            if fresh and len(words.keys):
+                _, inverse, n = np.unique(words.keys, return_inverse=True, return_counts=True)
+                repeated |= n[inverse] > 1
+            starts, one, two = words.under(repeated) if len(words.starts) else (words.starts, words.keys, words.keys)
+            cells, twice = _cells(row["block"], one, two, starts, parts)
+            out += cells
+            if len(twice):
+                out.append(_places(row["block"], twice) | {"part": int(row["block"] % parts)})
+        return pa.Table.from_batches([_entries(out)], schema=_ENTRIES)
+
+    if not fresh:  # old blocks without a new active anchor are left alone
+        blocks = blocks.join(active.select(F.col("block").alias("_b")).distinct(), F.col("block") == F.col("_b"), "left_semi")
+    return blocks.select("block", "payload").groupBy("block").cogroup(active.groupBy("block")).applyInArrow(run, ENTRY_SCHEMA)
+
+
+def _positions(places: pa.Table) -> np.ndarray:
+    found = [textnp.unpack(x, np.uint32, delta=True) for x in places.column("pos").to_pylist()]
+    return np.unique(np.concatenate(found)).astype(np.int64) if found else np.zeros(0, np.int64)
+
+
+class _Column:
+    """All entries of a key range: keys, checks, whether more than once, home blocks and places."""
+
+    def __init__(self, rows: list[dict]) -> None:
+        keys = [textnp.unpack(r["keys"], np.uint64, delta=True) for r in rows]
+        sizes = [len(k) for k in keys]
+        vals = self._joined([textnp.unpack(r["vals"], np.uint64) for r in rows], np.uint64)
+        self.keys = self._joined(keys, np.uint64)
+        self.checks, self.many = vals >> textnp.U(1), (vals & textnp.U(1)).astype(bool)
+        homes = [np.full(n, r["block"], np.int64) if r["kind"] == CELL else textnp.unpack(r["homes"], np.int64) for r, n in zip(rows, sizes, strict=True)]
+        self.homes = self._joined(homes, np.int64)
+        self.pos = self._joined([textnp.unpack(r["pos"], np.uint32) for r in rows], np.uint32)
+
+    @staticmethod
+    def _joined(parts: list[np.ndarray], dtype) -> np.ndarray:
+        return np.concatenate(parts) if parts else np.zeros(0, dtype)
+
+    def run(self, parts: int) -> list[dict]:
+        """The RUN rows of these entries: equal ones become one."""
+        if not len(self.keys):
+            return []
+        order, heads, _ = _groups(self.keys, self.checks)
+        many = (np.diff(np.append(heads, len(order))) > 1) | np.logical_or.reduceat(self.many[order], heads)
+        head = order[heads]
+        keys, vals = self.keys[head], (self.checks[head] << textnp.U(1)) | many.astype(np.uint64)
+        homes, pos = np.where(many, 0, self.homes[head]), np.where(many, 0, self.pos[head]).astype(np.uint32)
+        pack = lambda i, j: {"kind": RUN, "keys": textnp.pack(keys[i:j], delta=True), "vals": textnp.pack(vals[i:j]), "homes": textnp.pack(homes[i:j]), "pos": textnp.pack(pos[i:j])}
+        return _cut(keys, parts, pack)
+
+
+def _merge(new: list[dict], old: list[dict], parts: int) -> list[dict]:
+    """The merge join of a key range: places where something repeats (with those of history that do so from now on), and the batch's run."""
+    out = [r for r in new if r["kind"] == PLACES]
+    mine = _Column([r for r in new if r["kind"] == CELL])
+    if not len(mine.keys):
+        return out
+    past = _Column(old)
+    keys, checks = np.concatenate([mine.keys, past.keys]), np.concatenate([mine.checks, past.checks])
+    order, heads, group = _groups(keys, checks)
+    many = np.concatenate([mine.many, past.many])
+    is_new = (order < len(mine.keys)).astype(np.int64)
+    total = np.add.reduceat(1 + many[order].astype(np.int64), heads)
+    fresh = np.add.reduceat(is_new, heads)
+    # places are known where an entry occurred once; of history, those that the batch meets and nothing met before
+    before = total - np.add.reduceat(is_new * (1 + many[order].astype(np.int64)), heads)
+    told = (total[group] > 1) & ~many[order] & ((is_new == 1) | ((before[group] == 1) & (fresh[group] > 0)))
+    hit = order[told]
+    block, pos = np.concatenate([mine.homes, past.homes])[hit], np.concatenate([mine.pos, past.pos])[hit]
+    by = np.argsort(block, kind="stable")
+    block, pos = block[by], pos[by]
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)] if len(block) else [0]
+    out += [_places(int(block[i]), pos[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+    return out + mine.run(parts)
+
+
+def merge_join(cells: DataFrame, runs: list[DataFrame], parts: int) -> DataFrame:
+    """PLACES and RUN rows of a batch's cells against the historical runs, by key range."""
+    grouped = cells.groupBy("part")
+    if not runs:
+        return grouped.applyInArrow(lambda new: pa.Table.from_batches([_entries(_merge(new.to_pylist(), [], parts))]), ENTRY_SCHEMA)
+
+    def run(new: pa.Table, old: pa.Table) -> pa.Table:
+        # ranges that the batch does not touch stay packed
+        return pa.Table.from_batches([_entries(_merge(new.to_pylist(), old.to_pylist(), parts) if new.num_rows else [])])
+
+    return grouped.cogroup(_union(runs).groupBy("part")).applyInArrow(run, ENTRY_SCHEMA)
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def covered(n: int, places: np.ndarray, window: int) -> np.ndarray:
+    """Which of n words a window that begins at one of the places covers."""
     step = np.zeros(n + 1, np.int64)
-    np.add.at(step, starts[hit], 1)
-    np.add.at(step, starts[hit] + words.window, -1)
+    np.add.at(step, places, 1)
+    np.add.at(step, places + window, -1)
     return np.cumsum(step[:-1]) > 0
 
 
 class FingerprintIndex:
-    """The index: blocks of documents and runs of anchor hashes in the shared folder.
+    """The index: blocks of documents, runs of anchors and windows, and places found, in one folder (of the shared folder, unless given).
 
-    ``add`` takes a batch; ``removals`` gives every document of all batches so far
-    with its words after removal; ``compact`` merges the runs of each key range.
-    Files are never changed: compaction writes a new run and forgets the old.
+    ``add`` takes a batch and returns the blocks that it changed, old ones included; ``removals`` gives every
+    document of all batches so far with its covered words; ``compact`` merges the runs. Files are never changed:
+    each step writes new ones and then a manifest.
     """
 
-    def __init__(self, spark: SparkSession, column: str = "text", window: int = WINDOW, parts: int | None = None) -> None:
-        self.spark, self.column, self.window = spark, column, window
-        self.parts = parts
+    def __init__(self, spark: SparkSession, column: str = "text", window: int = WINDOW, parts: int | None = None, path: str | None = None) -> None:
+        self.spark, self.column, self.window, self.parts = spark, column, window, parts
+        self.path = path or fresh_path(spark, "substring_index")
         self.blocks: list[DataFrame] = []
-        self.runs: list[DataFrame] = []
+        self.state = {"step": 0, "bytes": 0, "blocks": [], "anchors": [], "windows": [], "places": []}
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> FingerprintIndex:
+        """The index of a folder as its last manifest names it."""
+        rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").text(f"{path}/manifest").collect()
+        state = max((json.loads(r[0]) for r in rows), key=lambda s: s["step"])
+        out = cls(spark, state["column"], state["window"], state["parts"], path)
+        out.state = state
+        for at, n in state["blocks"]:
+            name = f"substring_blocks_{uuid.uuid4().hex[:12]}"
+            spark.sql(f"CREATE TABLE {name} (block BIGINT, docs BIGINT, bytes BIGINT, payload BINARY) USING parquet CLUSTERED BY (block) INTO {n} BUCKETS LOCATION '{at}'")
+            out.blocks.append(spark.table(name))
+        return out
 
-    def add(self, docs: DataFrame) -> None:
-        """Append a batch as blocks and one sorted run (cells stay separate inside the run)."""
-        blocks = B.write_blocks(docs, "substring_blocks", self.column, BLOCK_BYTES, len(self.blocks))
-        if self.parts is None:
-            self.parts = B.parts_for(B.totals(blocks)[1] // 60, shuffle_partitions(self.spark))
-        self.blocks.append(blocks)
-        cells = anchor_cells(blocks, self.column, self.window, self.parts)
-        self.runs.append(materialize(cells, "substring_run"))
+    def _commit(self) -> None:
+        self.state |= {"step": self.state["step"] + 1, "column": self.column, "window": self.window, "parts": self.parts}
+        text = self.spark.range(1).select(F.lit(json.dumps(self.state)).alias("value")).coalesce(1)
+        text.write.text(f"{self.path}/manifest/{self.state['step']:08d}")
 
-    def compact(self) -> None:
-        """Merge all runs into one that holds a single sorted cell for each range and source block."""
-        if len(self.runs) < 2:
-            return
-        schema = B.CELL_SCHEMA
+    def runs(self, level: str) -> list[DataFrame]:
+        return [self.spark.read.schema(ENTRY_SCHEMA).parquet(x).where(f"kind = {RUN}") for x in self.state[level]]
 
-        def run(part: pa.Table) -> pa.Table:
-            return part.sort_by("block").select([x.split()[0] for x in schema.split(", ")])
+    def _write(self, df: DataFrame, name: str) -> str:
+        at = f"{self.path}/{name}-{uuid.uuid4().hex[:12]}"
+        df.write.parquet(at)
+        return at
 
-        union = self.runs[0]
-        for more in self.runs[1:]:
-            union = union.unionByName(more)
-        self.runs = [materialize(union.groupBy("part").applyInArrow(run, schema), "substring_run")]
+    def _found(self, at: str) -> DataFrame:
+        return self.spark.read.schema(ENTRY_SCHEMA).parquet(at).where(f"kind = {PLACES}").select("block", "pos")
 
-    def removals(self, emit, schema: str) -> DataFrame:
+    def add(self, docs: DataFrame, size: int | None = None) -> DataFrame:
+        """Append a batch of about `size` bytes of text (counted if not given): (block) of the blocks that got new places, those of older batches included."""
+        size = B.text_bytes(docs, self.column) if size is None else size
+        want = B.parts_for((self.state["bytes"] + size) // 12, shuffle_partitions(self.spark))
+        if self.parts is None:
+            self.parts = want
+        if want > 2 * self.parts or len(self.state["anchors"]) >= FAN:
+            self.parts = max(self.parts, want)
+            self.compact(commit=False)
+        batch, n = len(self.blocks), B.buckets_for(size, BLOCK_BYTES)
+        location = f"{self.path}/blocks-{uuid.uuid4().hex[:12]}"
+        blocks = B.write_blocks(docs, "substring_blocks", self.column, BLOCK_BYTES, batch, n, location)
+        found = self._write(merge_join(anchor_cells(blocks, self.column, self.window, self.parts), self.runs("anchors"), self.parts), "anchors")
+        active = self._found(found)
+        cells = [window_cells(blocks, active, self.column, self.window, self.parts, fresh=True)]
+        cells += [window_cells(old, active.where(F.shiftright("block", 48) == k), self.column, self.window, self.parts, fresh=False) for k, old in enumerate(self.blocks)]
+        verified = self._write(merge_join(_union(cells), self.runs("windows"), self.parts), "windows")
+        self.blocks.append(blocks)
+        self.state["blocks"].append([location, n])
+        self.state["bytes"] += size
+        for level, at in (("anchors", found), ("windows", verified), ("places", verified)):
+            self.state[level].append(at)
+        self._commit()
+        return self._found(verified).select("block").distinct()
+
+    def compact(self, commit: bool = True) -> None:
+        """Merge all runs of each kind into one: equal entries become one, in ranges of the present width."""
+        parts = self.parts
+        for level in ("anchors", "windows"):
+            runs = self.runs(level)
+            if runs:
+                one = _union(runs).groupBy("part").applyInArrow(lambda rows: pa.Table.from_batches([_entries(_Column(rows.to_pylist()).run(parts))]), ENTRY_SCHEMA)
+                self.state[level] = [self._write(one, level)]
+        if commit:
+            self._commit()
+
+    def removals(self, emit, schema: str | T.StructType) -> DataFrame:
         """emit(block's table, covered words, word offsets by row) -> pa.Table for every block."""
-        runs, blocks = self.runs[0], self.blocks[0]
-        for more in self.runs[1:]:
-            runs = runs.unionByName(more)
-        for more in self.blocks[1:]:
-            blocks = blocks.unionByName(more)
-        if len(self.blocks) > 1:
-            # buckets of several tables don't line up: as one plain table, blocks are dealt anew
-            blocks = materialize(blocks.select("block", "payload"), "substring_blocks")
-        column, window, parts = self.column, self.window, self.parts
-        flags = bucketed(merge_join(runs).repartition(shuffle_partitions(self.spark), "block"), "block", "substring_flags")
-        hits = verify(window_cells(blocks, flags, column, window, parts))
-        both = flags.select("block", "part", "vals", F.lit(0).alias("kind")).unionByName(hits.select("block", "part", "vals", F.lit(1).alias("kind")))
-
-        def run(block: pa.Table, replies: pa.Table) -> pa.Table:
+        column, window = self.column, self.window
+        places = _union([self._found(x) for x in self.state["places"]])
+
+        def run(block: pa.Table, found: pa.Table) -> pa.Table:
+            at = _positions(found)
             out = []
-            kind = replies.column("kind").to_numpy()
             for row in block.to_pylist():
                 part = B.from_payload(row["payload"])
-                words = _Words(part, column, window)
-                gone = covered(words, replies.filter(pa.array(kind == 0)), replies.filter(pa.array(kind == 1)))
-                out.append(emit(part, gone, words.rows))
+                rows = textnp.word_rows(*textnp.buffers(part.column(column)))
+                out.append(emit(part, covered(int(rows[-1]), at, window), rows))
             return pa.concat_tables(out)
 
-        return blocks.select("block", "payload").groupBy("block").cogroup(both.groupBy("block")).applyInArrow(run, schema)
+        each = [
+            blocks.select("block", "payload").groupBy("block").cogroup(places.where(F.shiftright("block", 48) == k).groupBy("block")).applyInArrow(run, schema)
+            for k, blocks in enumerate(self.blocks)
+        ]
+        return _union(each)
 
 
 def kept_texts(part: pa.Table, column: str, gone: np.ndarray, rows: np.ndarray) -> list[bytes]:
@@ -259,15 +376,23 @@ def kept_texts(part: pa.Table, column: str, gone: np.ndarray, rows: np.ndarray)
     return out
 
 
+def indexed(docs: DataFrame, column: str = "text", window: int = WINDOW, batches: int = BATCHES) -> FingerprintIndex:
+    """An index of docs that came in batches: every row is in one of them."""
+    index = FingerprintIndex(docs.sparkSession, column, window)
+    deal = F.pmod(F.xxhash64(*[c for c in docs.columns if c != column] or [column]), F.lit(batches))
+    size = B.text_bytes(docs, column) // batches
+    for k in range(batches):
+        index.add(docs.where(deal == k), size)
+    return index
+
+
 def substring_dedup(docs: DataFrame, column: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with repeated windows removed from the text (untouched texts stay byte for byte), plus n_words, n_removed.
 
     Columns of docs named n_words or n_removed are replaced.
     """
-    spark = docs.sparkSession
     docs = docs.drop("n_words", "n_removed")
-    index = FingerprintIndex(spark, column, window)
-    index.add(docs)
+    index = indexed(docs, column, window)
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def emit(part: pa.Table, gone: np.ndarray, rows: np.ndarray) -> pa.Table:
@@ -285,8 +410,7 @@ def substring_dedup(docs: DataFrame, column: str = "text", window: int = WINDOW)
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query 10: removal of repeated 35-word windows from every document."""
-    index = FingerprintIndex(spark)
-    index.add(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    index = indexed(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
     def emit(part: pa.Table, gone: np.ndarray, rows: np.ndarray) -> pa.Table:
         total = np.concatenate([[0], np.cumsum(gone)])

@@ -103,6 +103,14 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def word_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Word offsets by row, without any hash."""
+    counts = [np.zeros(1, np.int64)]
+    for i, j in chunks(offsets):
+        counts.append(word_spans(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[2][1:] + counts[-1][-1])
+    return np.concatenate(counts)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False, second: bool = False):
     """64-bit hashes of all words of all rows and word offsets by row; second: an independent hash too."""
     parts, more, counts = [], [], [np.zeros(1, np.int64)]

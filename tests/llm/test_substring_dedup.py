@@ -1,6 +1,11 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+
+from talentloom.llm import blocks as B
+from talentloom.llm import textnp
 from talentloom.llm.substring_dedup import FingerprintIndex, kept_texts, op10_substring_dedup, substring_dedup
 
 
@@ -25,24 +30,69 @@ def test_query_matches_brute_force(spark, sf, corpus):
     assert got == brute(corpus, 35)
 
 
-def test_batches_and_compaction_change_nothing(spark, docs, corpus):
-    index = FingerprintIndex(spark, window=12)
-    for k in range(3):
-        index.add(docs.where(f"block % 3 = {k}").select("doc_id", "text"))
-    assert len(index.runs) == 3
+def digests(part, gone, rows):
+    total = np.concatenate([[0], np.cumsum(gone)])
+    hashes = [hashlib.sha256(x).hexdigest() for x in kept_texts(part, "text", gone, rows)]
+    return pa.table({"doc_id": part.column("doc_id"), "n": pa.array(np.diff(rows), pa.int64()), "gone": pa.array(total[rows[1:]] - total[rows[:-1]], pa.int64()), "h": hashes})
+
+
+def answers(index):
+    return sorted((tuple(r) for r in index.removals(digests, "doc_id long, n long, gone long, h string").collect()), key=str)
+
+
+def entries(index, level):
+    return sum(len(textnp.unpack(r["keys"], np.uint64, delta=True)) for run in index.runs(level) for r in run.collect())
+
+
+def test_each_batch_answers_for_all_so_far(spark, docs, corpus):
+    """After every batch, held against brute force over the batches until then; a batch tells which old blocks it changed."""
+    index, older = FingerprintIndex(spark, window=12), set()
+    for k in range(4):
+        changed = {r["block"] >> 48 for r in index.add(docs.where(f"block % 4 = {k}").select("doc_id", "text")).collect()}
+        assert answers(index) == brute([x for i, x in enumerate(corpus) if i % 4 <= k], 12)
+        assert len(index.runs("anchors")) <= 2
+        older |= changed - {k}
+    assert older  # blocks of earlier batches that later ones changed
+
+
+def test_compaction_shrinks_and_changes_nothing(spark, docs, corpus):
+    index = FingerprintIndex(spark, window=12, parts=3)
+    for k in range(2):
+        index.add(docs.where(f"block % 2 = {k}").select("doc_id", "text"))
+    before = {level: entries(index, level) for level in ("anchors", "windows")}
+    rows = sum(r.count() for r in index.runs("anchors"))
     index.compact()
-    assert len(index.runs) == 1
+    assert all(0 < entries(index, level) < n for level, n in before.items())
+    assert len(index.runs("anchors")) == 1 and sum(r.count() for r in index.runs("anchors")) < rows
+    assert answers(index) == brute(corpus, 12)
+    index.parts = 7  # ranges of another width
+    index.compact()
+    index.add(docs.select("doc_id", "text"))
+    assert answers(index) == brute(corpus + corpus, 12)
+
+
+def test_an_index_goes_on_from_its_manifest(spark, docs, corpus):
+    index = FingerprintIndex(spark, window=12)
+    index.add(docs.where("block % 2 = 0").select("doc_id", "text"))
+    again = FingerprintIndex.open(spark, index.path)
+    again.add(docs.where("block % 2 = 1").select("doc_id", "text"))
+    assert answers(again) == answers(FingerprintIndex.open(spark, index.path)) == brute(corpus, 12)
+
 
-    def emit(part, gone, rows):
-        import numpy as np
-        import pyarrow as pa
+def test_runs_are_sorted_and_without_repeats(spark, docs):
+    index = FingerprintIndex(spark, window=12, parts=5)
+    index.add(docs.select("doc_id", "text"))
+    for r in index.runs("anchors")[0].collect():
+        keys = textnp.unpack(r["keys"], np.uint64, delta=True)
+        assert (keys[1:] > keys[:-1]).all() and set(B.range_of(keys, 5).tolist()) == {r["part"]}
 
-        total = np.concatenate([[0], np.cumsum(gone)])
-        digests = [hashlib.sha256(x).hexdigest() for x in kept_texts(part, "text", gone, rows)]
-        return pa.table({"doc_id": part.column("doc_id"), "n": pa.array(np.diff(rows), pa.int64()), "gone": pa.array(total[rows[1:]] - total[rows[:-1]], pa.int64()), "h": digests})
 
-    got = sorted((tuple(r) for r in index.removals(emit, "doc_id long, n long, gone long, h string").collect()), key=str)
-    assert got == brute(corpus, 12)
+def test_passage_that_repeats_inside_one_document_alone(spark):
+    text = " ".join(f"a{i}" for i in range(40))
+    rows = [(1, text + " mid " + text), (2, " ".join(f"b{i}" for i in range(90))), (3, "w " * 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup(df).collect()}
+    assert got == {1: (81, 80), 2: (90, 0), 3: (3000, 3000)}
 
 
 def test_texts_and_other_columns(docs, corpus):
