@@ -10,6 +10,8 @@ occurs, and ranges of hashes are even, so no task is hot.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -21,6 +23,7 @@ from talentloom.llm.common import bucketed
 
 BLOCK_BYTES = 8 << 20
 KEYS_PER_RANGE = 1 << 20
+GROW_FROM = 1 << 36
 BLOCK_SCHEMA = "block long, docs long, bytes long, payload binary"
 CELL_SCHEMA = "part long, block long, keys binary, vals binary"
 REPLY_SCHEMA = "part long, block long, vals binary"
@@ -82,9 +85,17 @@ def _arrow(ddl: str) -> pa.Schema:
     return pa.schema([(n, _TYPES[t]) for n, t in (x.split() for x in ddl.split(", "))])
 
 
-def parts_for(keys: int, least: int) -> int:
-    """Key ranges so that an owner holds about KEYS_PER_RANGE keys, whatever the input's size."""
-    return max(1, least, -(-keys // KEYS_PER_RANGE))
+def growth(size: int) -> int:
+    """How many times the least size blocks and ranges have: cells are blocks times ranges, so both grow with the root of the input.
+
+    1 up to GROW_FROM bytes of text, 8 from 64 times that on, where a task needs about 1.5 GB.
+    """
+    return min(8, max(1, math.isqrt(size // GROW_FROM)))
+
+
+def parts_for(keys: int, least: int, grown: int = 1) -> int:
+    """Key ranges so that an owner holds about KEYS_PER_RANGE keys (grown: times that), whatever the input's size."""
+    return max(1, least, -(-keys // (KEYS_PER_RANGE * grown)))
 
 
 def range_of(keys: np.ndarray, parts: int) -> np.ndarray:

@@ -1,15 +1,15 @@
-"""LM scoring (operator 9): a bigram model by deleted interpolation.
+"""LM scoring (operator 9): an n-gram model (trigrams unless told otherwise) by deleted interpolation.
 
-Maximum-likelihood estimates of bigrams and unigrams and a smoothed floor are
-mixed with weights that depend on how often the context was seen (one bucket per
-power of two). The weights are learned by expectation-maximisation on the counts
+Maximum-likelihood estimates of all orders and a smoothed floor are
+mixed with weights that depend on the longest context that was seen and on how often it was seen (one bucket per
+order and power of two). The weights are learned by expectation-maximisation on the counts
 of a deleted part of the training documents, under estimates from the kept part;
 the final estimates use all training documents.
 
 Counts cover all documents and stay distributed: every block sends its distinct
-unigram and bigram keys to their ranges' owners and gets their corpus counts
+n-gram keys to their ranges' owners and gets their corpus counts
 back (see blocks.py). The driver sees sums and one histogram whose size is bound
-by its quantisation (quarter powers of two), never by the corpus.
+by its quantisation (half powers of two), never by the corpus.
 
 Defined cases: null text is empty and holds one end token; words are bytes
 between white space; repeated rows count each time; a null document id counts as
@@ -30,51 +30,61 @@ from talentloom.llm.common import bucketed, shuffle_partitions, table
 
 END, START = textnp.U(0x5E1D_0FFE_0000_0001), textnp.U(0x57A2_7000_0000_0003)
 COUNTS = np.dtype([("kept", "<u8"), ("cut", "<u8")])
-EM_ROUNDS, STEP = 60, 4
+#: The order of an n-gram stands in the last bits of its key.
+ORDER, ORDER_BITS = 3, 3
+BLOCK_BYTES = 4 << 20
+EM_ROUNDS, STEP = 60, 2
 HELD, KEPT, CUT = 0, 1, 2
 U = textnp.U
 
 
 class _Tokens:
-    """Tokens of a block's rows (words, then one end) and their distinct keys."""
+    """Tokens of a block's rows (words, then one end) and their distinct n-gram keys."""
 
-    def __init__(self, part: pa.Table, column: str) -> None:
+    def __init__(self, part: pa.Table, column: str, order: int) -> None:
         data, offsets = textnp.buffers(part.column(column))
         words, rows = textnp.word_hashes(data, offsets, lower=True)
         n = part.num_rows
         self.rows = rows + np.arange(n + 1)
         self.n = np.diff(self.rows)
-        self.words = np.empty(len(words) + n, np.uint64)
-        last = np.zeros(len(self.words), bool)
-        last[self.rows[1:] - 1] = True
-        self.words[last], self.words[~last] = END, words
-        before = np.empty_like(self.words)
-        before[1:] = self.words[:-1]
-        before[self.rows[:-1]] = START
-        one = textnp.mix(self.words) & ~U(1)
-        two = textnp.mix(textnp.mix(before ^ U(0x1F83D9ABFB41BD6B)) + self.words) | U(1)
         self.first = self.rows[:-1]
-        self.keys, place = np.unique(np.concatenate([one, two]), return_inverse=True)
-        self.one, self.two = place[: len(one)], place[len(one) :]
-        self.end = np.searchsorted(self.keys, textnp.mix(np.array([END])) & ~U(1))[0]
+        tokens = np.empty(len(words) + n, np.uint64)
+        last = np.zeros(len(tokens), bool)
+        last[self.rows[1:] - 1] = True
+        tokens[last], tokens[~last] = END, words
+        gram, grams = textnp.mix(tokens), []
+        for k in range(order):
+            if k:  # the gram of one word less that ends before, then this word
+                before = np.empty_like(gram)
+                before[1:] = gram[:-1]
+                before[self.first] = textnp.mix(np.array([START + U(k)]))[0]
+                gram = textnp.mix(textnp.mix(before ^ U(0x1F83D9ABFB41BD6B)) + tokens)
+            grams.append(_tagged(gram, k))
+        self.keys, place = np.unique(np.concatenate(grams), return_inverse=True)
+        #: For each order the place of each token's n-gram in keys.
+        self.at = place.reshape(order, -1)
+        self.end = np.searchsorted(self.keys, _tagged(textnp.mix(np.array([END])), 0))[0]
 
     def part_of_rows(self, fold: np.ndarray) -> np.ndarray:
         return np.repeat(fold, self.n)
 
 
-def count_cells(blocks: DataFrame, column: str, parts: int) -> DataFrame:
+def _tagged(gram: np.ndarray, order: int) -> np.ndarray:
+    return (gram >> U(ORDER_BITS) << U(ORDER_BITS)) | U(order)
+
+
+def count_cells(blocks: DataFrame, column: str, parts: int, order: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 part = B.from_payload(row["payload"])
                 if not part.num_rows:
                     continue
-                tokens = _Tokens(part, column)
+                tokens = _Tokens(part, column, order)
                 fold = tokens.part_of_rows(part.column("_fold").to_numpy())
                 counts = np.zeros(len(tokens.keys), COUNTS)
                 for name, f in (("kept", KEPT), ("cut", CUT)):
-                    both = np.concatenate([tokens.one[fold == f], tokens.two[fold == f]])
-                    counts[name] = np.bincount(both, minlength=len(counts))
+                    counts[name] = np.bincount(tokens.at[:, fold == f].reshape(-1), minlength=len(counts))
                 yield B.cell_rows(row["block"], tokens.keys, counts, parts)
 
     return blocks.select("block", "payload").mapInArrow(run, B.CELL_SCHEMA)
@@ -91,7 +101,7 @@ def corpus_counts(cells: DataFrame) -> DataFrame:
         total = np.zeros(len(heads), COUNTS)
         for name in COUNTS.names:
             total[name] = np.add.reduceat(counts[name], heads)
-        words = total[(keys[heads] & U(1)) == 0]
+        words = total[(keys[heads] & U((1 << ORDER_BITS) - 1)) == 0]
         everything = words["kept"] + words["cut"]
         sums = np.array([everything.sum(), (everything > 0).sum(), words["kept"].sum(), (words["kept"] > 0).sum()], np.uint64)
         stats = pa.table({"part": [part.column("part")[0].as_py()], "block": [-1], "vals": [sums.tobytes()]}, schema=B._arrow(B.REPLY_SCHEMA))
@@ -115,39 +125,48 @@ def corpus_sums(stats: DataFrame) -> list[float]:
 
 
 def _levels(x: np.ndarray) -> np.ndarray:
-    """Quarter powers of two above zero; 0 for zero."""
-    out = np.zeros(len(x), np.int64)
+    """Half powers of two above zero; -1000 for zero."""
+    out = np.full(len(x), -1000)
     some = x > 0
     out[some] = np.rint(np.log2(x[some]) * STEP).astype(np.int64)
     return out
 
 
-def buckets(context: np.ndarray) -> np.ndarray:
-    """0 for an unseen context, else one more than the floor of its count's log2."""
-    out = np.zeros(len(context), np.int64)
-    some = context > 0
-    out[some] = np.floor(np.log2(context[some])).astype(np.int64) + 1
-    return out
-
-
 class _Counts:
-    """Counts by token: of its word, its context and both, from kept or all training documents."""
+    """Counts by token and order: of the n-gram and of its context, from kept or all training documents."""
 
     def __init__(self, tokens: _Tokens, counts: np.ndarray, everything: bool) -> None:
         c = counts["kept"] + counts["cut"] if everything else counts["kept"]
         c = c.astype(np.float64)
-        self.word, self.pair = c[tokens.one], c[tokens.two]
-        self.context = np.empty_like(self.word)
-        self.context[1:] = self.word[:-1]
-        self.context[tokens.first] = c[tokens.end]
+        self.gram = [c[at] for at in tokens.at]
+        self.word = self.gram[0]
+        self.context = []
+        for shorter in self.gram[:-1]:
+            context = np.empty_like(shorter)
+            context[1:] = shorter[:-1]
+            context[tokens.first] = c[tokens.end]  # as many starts as ends
+            self.context.append(context)
+
+    def ratios(self) -> list[np.ndarray]:
+        """Maximum-likelihood estimates of orders 2 and up."""
+        return [np.divide(g, c, out=np.zeros_like(g), where=c > 0) for g, c in zip(self.gram[1:], self.context, strict=True)]
+
+    def buckets(self) -> np.ndarray:
+        """0 where no context was seen, else 64 times the number of words of the longest that was, plus the floor of its count's log2."""
+        out = np.zeros(len(self.word), np.int64)
+        for k, context in enumerate(self.context, 1):
+            some = context > 0
+            out[some] = 64 * k + np.floor(np.log2(context[some])).astype(np.int64)
+        return out
 
 
 def _floor(word: np.ndarray, n: float, v: float) -> np.ndarray:
     return (word + 0.5) / (n + 0.5 * (v + 1))
 
 
-def held_out_events(blocks: DataFrame, counts: DataFrame, column: str) -> DataFrame:
-    """How often each quantised (context bucket, pair estimate, word count) occurs in the cut part."""
+def held_out_events(blocks: DataFrame, counts: DataFrame, column: str, order: int) -> DataFrame:
+    """How often each quantised (context bucket, word count, estimates of orders 2 and up) occurs in the cut part."""
+    names = ["bucket", *(f"q{k}" for k in range(1, order + 1))]
 
     def run(block: pa.Table, replies: pa.Table) -> pa.Table:
         out = []
@@ -155,65 +174,73 @@ def held_out_events(blocks: DataFrame, counts: DataFrame, column: str) -> DataFr
             part = B.from_payload(row["payload"])
             if not part.num_rows:
                 continue
-            tokens = _Tokens(part, column)
+            tokens = _Tokens(part, column, order)
             c = _Counts(tokens, B.replies_of(replies, COUNTS), everything=False)
             mine = tokens.part_of_rows(part.column("_fold").to_numpy()) == CUT
-            word, pair, context = c.word[mine], c.pair[mine], c.context[mine]
-            ratio = np.divide(pair, context, out=np.zeros_like(pair), where=context > 0)
-            # ratios are at most 1, so their levels are at most 0; -1000 marks zero
-            q2 = np.where(ratio > 0, _levels(ratio), -1000)
-            q1 = np.where(word > 0, _levels(word), -1)
-            event = np.stack([buckets(context), q2, q1])
+            event = np.stack([c.buckets()[mine], _levels(c.word[mine]), *(_levels(r[mine]) for r in c.ratios())])
             kinds, n = np.unique(event, axis=1, return_counts=True)
-            out.append(pa.table({"bucket": kinds[0], "q2": kinds[1], "q1": kinds[2], "n": n}))
-        return pa.concat_tables(out) if out else pa.table({k: pa.array([], pa.int64()) for k in ("bucket", "q2", "q1", "n")})
+            out.append(pa.table({**dict(zip(names, kinds, strict=True)), "n": n}))
+        return pa.concat_tables(out) if out else pa.table({k: pa.array([], pa.int64()) for k in [*names, "n"]})
 
-    schema = "bucket long, q2 long, q1 long, n long"
+    schema = ", ".join(f"{x} long" for x in [*names, "n"])
     events = blocks.select("block", "payload").groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(run, schema)
-    return events.groupBy("bucket", "q2", "q1").agg(F.sum("n").alias("n"))
+    return events.groupBy(*names).agg(F.sum("n").alias("n"))
 
 
-def learn_weights(events: np.ndarray, n: float, v: float) -> np.ndarray:
-    """Expectation-maximisation of the weights (pair, word, floor) of each of 64 buckets.
+def learn_weights(events: np.ndarray, n: float, v: float, order: int = ORDER) -> np.ndarray:
+    """Expectation-maximisation of the weights (floor, word, orders 2 and up) of each bucket.
 
-    events: rows (bucket, q2, q1, count). A bucket without events mixes word and floor evenly.
+    events: rows (bucket, word level, levels of orders 2 and up, count). A bucket without events
+    mixes its orders evenly; orders whose context the bucket has not seen weigh nothing.
     """
-    weights = np.tile([1 / 3, 1 / 3, 1 / 3], (65, 1))
-    weights[0] = [0, 0.5, 0.5]
+    known = 1 + np.minimum(np.arange(64 * order) // 64 + 1, order)  # floor, word and as many orders as there are contexts
+    weights = (np.arange(order + 1) < known[:, None]) / known[:, None]
     if not len(events):
-        weights[1:] = [0, 0.5, 0.5]
         return weights
-    bucket, q2, q1, count = events.T
-    pair = np.where(q2 > -1000, 2.0 ** (q2 / STEP), 0.0)
-    word = np.where(q1 >= 0, 2.0 ** (q1 / STEP), 0.0)
-    parts = np.stack([pair, word / max(n, 1), _floor(word, n, v)], axis=1)
+    bucket, count = events[:, 0], events[:, -1]
+    parts = np.where(events[:, 1:-1] > -1000, 2.0 ** (events[:, 1:-1] / STEP), 0.0)
+    word = parts[:, 0]
+    parts = np.column_stack([_floor(word, n, v), word / max(n, 1), parts[:, 1:]])
+    even = weights.copy()
     for _ in range(EM_ROUNDS):
         share = weights[bucket] * parts
         share *= (count / share.sum(axis=1))[:, None]
-        for k in range(3):
-            weights[:, k] = np.bincount(bucket, share[:, k], 65) + (1e-3 if k else 1e-6)
+        weights = np.stack([np.bincount(bucket, s, len(weights)) for s in share.T], axis=1) + 1e-3 * even
         weights /= weights.sum(axis=1, keepdims=True)
-    weights[0] = [0, *(weights[0, 1:] / weights[0, 1:].sum())]
     return weights
 
 
-def lm_score(docs: DataFrame, train: F.Column, cut: F.Column, column: str = "text") -> DataFrame:
+def mixture(c: _Counts, weights: np.ndarray, n: float, v: float) -> np.ndarray:
+    """The model's probability of each token."""
+    w = weights[c.buckets()]
+    p = w[:, 0] * _floor(c.word, n, v) + w[:, 1] * c.word / max(n, 1)
+    for k, ratio in enumerate(c.ratios(), 2):
+        p += w[:, k] * ratio
+    return p
+
+
+def lm_score(docs: DataFrame, train: F.Column, cut: F.Column, column: str = "text", order: int = ORDER) -> DataFrame:
     """docs without the text, with n_tokens, n_known, train_tokens, base_score and score (log10).
 
     train: whether to learn from a row; cut: whether a training row belongs to the deleted part.
     Columns of docs with these names (and _fold) are replaced.
     """
+    if not 1 <= order <= 1 << ORDER_BITS:
+        raise ValueError("the order must be between 1 and 8")
     spark = docs.sparkSession
     docs = docs.drop("_fold", "n_tokens", "n_known", "train_tokens", "base_score", "score")
     fold = F.when(~F.coalesce(train, F.lit(False)), HELD).when(F.coalesce(cut, F.lit(False)), CUT).otherwise(KEPT)
-    blocks = B.write_blocks(docs.withColumn("_fold", fold.cast("int")), "lm_blocks", column)
-    parts = B.parts_for(B.totals(blocks)[1] // 4, shuffle_partitions(spark))
-    answers = corpus_counts(count_cells(blocks, column, parts))
-    counts = bucketed(answers.repartition(shuffle_partitions(spark), "block"), "block", "lm_counts")
+    size = B.text_bytes(docs, column)
+    grown = B.growth(size)
+    n_buckets = B.buckets_for(size, BLOCK_BYTES * grown)
+    blocks = B.write_blocks(docs.withColumn("_fold", fold.cast("int")), "lm_blocks", column, BLOCK_BYTES * grown, buckets=n_buckets)
+    parts = B.parts_for(size * order // 6, shuffle_partitions(spark), grown)
+    replies = corpus_counts(count_cells(blocks, column, parts, order))
+    counts = bucketed(replies.repartition(n_buckets, "block"), "block", "lm_counts", n_buckets)
     n, v, n_kept, v_kept = corpus_sums(counts.where("block = -1"))
     answers = counts.where("block >= 0")
-    events = held_out_events(blocks, answers, column)
-    weights = learn_weights(np.array([tuple(r) for r in events.collect()], np.int64).reshape(-1, 4), n_kept, v_kept)
+    events = held_out_events(blocks, answers, column, order)
+    weights = learn_weights(np.array([tuple(r) for r in events.collect()], np.int64).reshape(-1, order + 2), n_kept, v_kept, order)
     fields = [f for f in docs.schema.fields if f.name != column]
     more = [T.StructField(x, T.LongType()) for x in ("n_tokens", "n_known", "train_tokens")] + [T.StructField(x, T.DoubleType()) for x in ("base_score", "score")]
     names = [f.name for f in fields]
@@ -222,15 +249,12 @@ def lm_score(docs: DataFrame, train: F.Column, cut: F.Column, column: str = "tex
         out = []
         for row in block.to_pylist():
             part = B.from_payload(row["payload"])
-            tokens = _Tokens(part, column)
+            tokens = _Tokens(part, column, order)
             c = _Counts(tokens, B.replies_of(replies, COUNTS), everything=True)
-            floor = _floor(c.word, n, v)
-            ratio = np.divide(c.pair, c.context, out=np.zeros_like(c.pair), where=c.context > 0)
-            w = weights[buckets(c.context)]
-            p = w[:, 0] * ratio + w[:, 1] * c.word / max(n, 1) + w[:, 2] * floor
             add = lambda x: np.add.reduceat(x, tokens.first)
+            base, score = add(np.log10(_floor(c.word, n, v))), add(np.log10(mixture(c, weights, n, v)))
             part = part.select(names)
-            for name, values in (("n_tokens", tokens.n), ("n_known", add((c.word > 0).astype(np.int64))), ("train_tokens", np.full(len(tokens.n), int(n))), ("base_score", add(np.log10(floor))), ("score", add(np.log10(p)))):
+            for name, values in (("n_tokens", tokens.n), ("n_known", add((c.word > 0).astype(np.int64))), ("train_tokens", np.full(len(tokens.n), int(n))), ("base_score", base), ("score", score)):
                 part = part.append_column(name, pa.array(values))
             out.append(part)
         return pa.concat_tables(out)
