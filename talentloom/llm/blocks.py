@@ -103,9 +103,10 @@ def range_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> textnp.U(32)) * textnp.U(parts)) >> textnp.U(32)
 
 
-def cell_rows(block: int, keys: np.ndarray, vals: np.ndarray, parts: int):
-    """One batch of cells of a block's sorted distinct keys; vals: one integer per key."""
-    at = range_of(keys, parts)
+def cell_rows(block: int, keys: np.ndarray, vals: np.ndarray, parts: int, first: int = 0, shift: int = 0):
+    """One batch of cells of a block's sorted distinct keys; vals: one integer per key; the last `shift` bits of keys are zero and not sent."""
+    at = range_of(keys, parts) + textnp.U(first)
+    keys = keys >> textnp.U(shift)
     cuts = np.flatnonzero(np.diff(at)) + 1
     bounds = [0, *cuts.tolist(), len(keys)] if len(keys) else [0]
     rows = list(zip(bounds[:-1], bounds[1:], strict=True))
@@ -120,12 +121,12 @@ def cell_rows(block: int, keys: np.ndarray, vals: np.ndarray, parts: int):
     )
 
 
-def merged(cells: pa.Table, dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+def merged(cells: pa.Table, dtype, shift: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
     """All keys and vals of a range's cells in key order, the order, and the cells' sizes."""
     keys = [textnp.unpack(x, np.uint64, delta=True) for x in cells.column("keys").to_pylist()]
     vals = [textnp.unpack(x, dtype) for x in cells.column("vals").to_pylist()]
     sizes = [len(x) for x in keys]
-    keys, vals = np.concatenate(keys), np.concatenate(vals)
+    keys, vals = np.concatenate(keys) << textnp.U(shift), np.concatenate(vals)
     order = np.argsort(keys, kind="stable")  # runs are sorted: a merge
     return keys[order], vals[order], order, sizes
 

@@ -9,7 +9,8 @@ the final estimates use all training documents.
 Counts cover all documents and stay distributed: every block sends its distinct
 n-gram keys to their ranges' owners and gets their corpus counts
 back (see blocks.py). The driver sees sums and one histogram whose size is bound
-by its quantisation (half powers of two), never by the corpus.
+by its quantisation (half powers of two), never by the corpus. Words go by 64-bit hashes, longer n-grams by names whose bits grow
+with the input, so that less than one in 2**SPARE_BITS shares its name with another.
 
 Defined cases: null text is empty and holds one end token; words are bytes
 between white space; repeated rows count each time; a null document id counts as
@@ -30,8 +31,10 @@ from talentloom.llm.common import bucketed, shuffle_partitions, table
 
 END, START = textnp.U(0x5E1D_0FFE_0000_0001), textnp.U(0x57A2_7000_0000_0003)
 COUNTS = np.dtype([("kept", "<u8"), ("cut", "<u8")])
-#: The order of an n-gram stands in the last bits of its key.
+#: The order of an n-gram stands in the last bits of its name.
 ORDER, ORDER_BITS = 3, 3
+#: Names of n-grams have so many bits more than there may be n-grams; words have 64.
+SPARE_BITS = 14
 BLOCK_BYTES = 4 << 20
 EM_ROUNDS, STEP = 60, 2
 HELD, KEPT, CUT = 0, 1, 2
@@ -41,7 +44,7 @@ U = textnp.U
 class _Tokens:
     """Tokens of a block's rows (words, then one end) and their distinct n-gram keys."""
 
-    def __init__(self, part: pa.Table, column: str, order: int) -> None:
+    def __init__(self, part: pa.Table, column: str, order: int, shift: int) -> None:
         data, offsets = textnp.buffers(part.column(column))
         words, rows = textnp.word_hashes(data, offsets, lower=True)
         n = part.num_rows
@@ -53,44 +56,47 @@ class _Tokens:
         last[self.rows[1:] - 1] = True
         tokens[last], tokens[~last] = END, words
         gram, grams = textnp.mix(tokens), []
-        for k in range(order):
-            if k:  # the gram of one word less that ends before, then this word
-                before = np.empty_like(gram)
-                before[1:] = gram[:-1]
-                before[self.first] = textnp.mix(np.array([START + U(k)]))[0]
-                gram = textnp.mix(textnp.mix(before ^ U(0x1F83D9ABFB41BD6B)) + tokens)
-            grams.append(_tagged(gram, k))
-        self.keys, place = np.unique(np.concatenate(grams), return_inverse=True)
-        #: For each order the place of each token's n-gram in keys.
-        self.at = place.reshape(order, -1)
-        self.end = np.searchsorted(self.keys, _tagged(textnp.mix(np.array([END])), 0))[0]
+        self.words, place = np.unique(gram, return_inverse=True)
+        for k in range(1, order):  # the gram of one word less that ends before, then this word
+            before = np.empty_like(gram)
+            before[1:] = gram[:-1]
+            before[self.first] = textnp.mix(np.array([START + U(k)]))[0]
+            gram = textnp.mix(textnp.mix(before ^ U(0x1F83D9ABFB41BD6B)) + tokens)
+            grams.append(((gram >> U(shift + ORDER_BITS) << U(ORDER_BITS)) | U(k)) << U(shift))
+        self.longer, more = np.unique(np.concatenate([np.zeros(0, np.uint64), *grams]), return_inverse=True)
+        #: For each order the place of each token's n-gram in words, then longer.
+        self.at = np.concatenate([place, more + len(self.words)]).reshape(order, -1)
+        self.end = np.searchsorted(self.words, textnp.mix(np.array([END])))[0]
+
+    def __len__(self) -> int:
+        return len(self.words) + len(self.longer)
 
     def part_of_rows(self, fold: np.ndarray) -> np.ndarray:
         return np.repeat(fold, self.n)
 
 
-def _tagged(gram: np.ndarray, order: int) -> np.ndarray:
-    return (gram >> U(ORDER_BITS) << U(ORDER_BITS)) | U(order)
+def count_cells(blocks: DataFrame, column: str, parts: tuple[int, int], order: int, shift: int) -> DataFrame:
+    """Counts of words in the first parts[0] ranges, of longer n-grams in the next parts[1]."""
 
-
-def count_cells(blocks: DataFrame, column: str, parts: int, order: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 part = B.from_payload(row["payload"])
                 if not part.num_rows:
                     continue
-                tokens = _Tokens(part, column, order)
+                tokens = _Tokens(part, column, order, shift)
                 fold = tokens.part_of_rows(part.column("_fold").to_numpy())
-                counts = np.zeros(len(tokens.keys), COUNTS)
+                counts = np.zeros(len(tokens), COUNTS)
                 for name, f in (("kept", KEPT), ("cut", CUT)):
                     counts[name] = np.bincount(tokens.at[:, fold == f].reshape(-1), minlength=len(counts))
-                yield B.cell_rows(row["block"], tokens.keys, counts, parts)
+                n = len(tokens.words)
+                yield B.cell_rows(row["block"], tokens.words, counts[:n], parts[0])
+                yield B.cell_rows(row["block"], tokens.longer, counts[n:], parts[1], parts[0], shift)
 
     return blocks.select("block", "payload").mapInArrow(run, B.CELL_SCHEMA)
 
 
-def corpus_counts(cells: DataFrame) -> DataFrame:
+def corpus_counts(cells: DataFrame, word_parts: int) -> DataFrame:
     """Each cell's keys answered with corpus counts; a row of block -1 holds the range's sums."""
 
     def run(part: pa.Table) -> pa.Table:
@@ -101,7 +107,7 @@ def corpus_counts(cells: DataFrame) -> DataFrame:
         total = np.zeros(len(heads), COUNTS)
         for name in COUNTS.names:
             total[name] = np.add.reduceat(counts[name], heads)
-        words = total[(keys[heads] & U((1 << ORDER_BITS) - 1)) == 0]
+        words = total if part.column("part")[0].as_py() < word_parts else total[:0]
         everything = words["kept"] + words["cut"]
         sums = np.array([everything.sum(), (everything > 0).sum(), words["kept"].sum(), (words["kept"] > 0).sum()], np.uint64)
         stats = pa.table({"part": [part.column("part")[0].as_py()], "block": [-1], "vals": [sums.tobytes()]}, schema=B._arrow(B.REPLY_SCHEMA))
@@ -164,7 +170,7 @@ def _floor(word: np.ndarray, n: float, v: float) -> np.ndarray:
     return (word + 0.5) / (n + 0.5 * (v + 1))
 
 
-def held_out_events(blocks: DataFrame, counts: DataFrame, column: str, order: int) -> DataFrame:
+def held_out_events(blocks: DataFrame, counts: DataFrame, column: str, order: int, shift: int) -> DataFrame:
     """How often each quantised (context bucket, word count, estimates of orders 2 and up) occurs in the cut part."""
     names = ["bucket", *(f"q{k}" for k in range(1, order + 1))]
 
@@ -174,7 +180,7 @@ def held_out_events(blocks: DataFrame, counts: DataFrame, column: str, order: in
             part = B.from_payload(row["payload"])
             if not part.num_rows:
                 continue
-            tokens = _Tokens(part, column, order)
+            tokens = _Tokens(part, column, order, shift)
             c = _Counts(tokens, B.replies_of(replies, COUNTS), everything=False)
             mine = tokens.part_of_rows(part.column("_fold").to_numpy()) == CUT
             event = np.stack([c.buckets()[mine], _levels(c.word[mine]), *(_levels(r[mine]) for r in c.ratios())])
@@ -234,12 +240,13 @@ def lm_score(docs: DataFrame, train: F.Column, cut: F.Column, column: str = "tex
     grown = B.growth(size)
     n_buckets = B.buckets_for(size, BLOCK_BYTES * grown)
     blocks = B.write_blocks(docs.withColumn("_fold", fold.cast("int")), "lm_blocks", column, BLOCK_BYTES * grown, buckets=n_buckets)
-    parts = B.parts_for(size * order // 6, shuffle_partitions(spark), grown)
-    replies = corpus_counts(count_cells(blocks, column, parts, order))
+    parts = tuple(B.parts_for(n, shuffle_partitions(spark), grown) for n in (size // 24, size * (order - 1) // 6))
+    shift = max(0, 64 - ORDER_BITS - SPARE_BITS - (size * order).bit_length())
+    replies = corpus_counts(count_cells(blocks, column, parts, order, shift), parts[0])
     counts = bucketed(replies.repartition(n_buckets, "block"), "block", "lm_counts", n_buckets)
     n, v, n_kept, v_kept = corpus_sums(counts.where("block = -1"))
     answers = counts.where("block >= 0")
-    events = held_out_events(blocks, answers, column, order)
+    events = held_out_events(blocks, answers, column, order, shift)
     weights = learn_weights(np.array([tuple(r) for r in events.collect()], np.int64).reshape(-1, order + 2), n_kept, v_kept, order)
     fields = [f for f in docs.schema.fields if f.name != column]
     more = [T.StructField(x, T.LongType()) for x in ("n_tokens", "n_known", "train_tokens")] + [T.StructField(x, T.DoubleType()) for x in ("base_score", "score")]
@@ -249,7 +256,7 @@ def lm_score(docs: DataFrame, train: F.Column, cut: F.Column, column: str = "tex
         out = []
         for row in block.to_pylist():
             part = B.from_payload(row["payload"])
-            tokens = _Tokens(part, column, order)
+            tokens = _Tokens(part, column, order, shift)
             c = _Counts(tokens, B.replies_of(replies, COUNTS), everything=True)
             add = lambda x: np.add.reduceat(x, tokens.first)
             base, score = add(np.log10(_floor(c.word, n, v))), add(np.log10(mixture(c, weights, n, v)))
