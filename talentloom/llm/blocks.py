@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talentloom.llm import textnp
-from talentloom.llm.common import bucketed
+from talentloom.llm.common import bucketed, shuffle_partitions
 
 BLOCK_BYTES = 8 << 20
 KEYS_PER_RANGE = 1 << 20
@@ -27,7 +27,7 @@ GROW_FROM = 1 << 36
 BLOCK_SCHEMA = "block long, docs long, bytes long, payload binary"
 CELL_SCHEMA = "part long, block long, keys binary, vals binary"
 REPLY_SCHEMA = "part long, block long, vals binary"
-_IPC = pa.ipc.IpcWriteOptions(compression="zstd")
+_IPC = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))
 
 
 def to_payload(batch: pa.RecordBatch | pa.Table) -> bytes:
@@ -150,6 +150,11 @@ def replies_of(table: pa.Table, dtype) -> np.ndarray:
     return np.concatenate([textnp.unpack(x, dtype) for x in table.column("vals").to_pylist()])
 
 
+def by_part(rows: DataFrame, parts: int) -> DataFrame:
+    """rows dealt by part, about two ranges a task, so that a range's task does not grow with the input."""
+    return rows.repartition(max(shuffle_partitions(rows.sparkSession), parts // 2), "part")
+
+
 def totals(blocks: DataFrame) -> tuple[int, int]:
     row = blocks.agg(F.sum("docs"), F.sum("bytes")).first()
     return int(row[0] or 0), int(row[1] or 0)

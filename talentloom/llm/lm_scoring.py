@@ -33,8 +33,8 @@ END, START = textnp.U(0x5E1D_0FFE_0000_0001), textnp.U(0x57A2_7000_0000_0003)
 COUNTS = np.dtype([("kept", "<u8"), ("cut", "<u8")])
 #: The order of an n-gram stands in the last bits of its name.
 ORDER, ORDER_BITS = 3, 3
-#: Names of n-grams have so many bits more than there may be n-grams; words have 64.
-SPARE_BITS = 14
+#: Names of n-grams have so many bits more than the count of n-grams has, and at least LEAST_BITS; words have 64.
+SPARE_BITS, LEAST_BITS = 10, 40
 BLOCK_BYTES = 4 << 20
 EM_ROUNDS, STEP = 60, 2
 HELD, KEPT, CUT = 0, 1, 2
@@ -74,6 +74,16 @@ class _Tokens:
     def part_of_rows(self, fold: np.ndarray) -> np.ndarray:
         return np.repeat(fold, self.n)
 
+    def counts(self, part: pa.Table, elsewhere: np.ndarray | int = 0) -> np.ndarray:
+        """Counts of the distinct n-grams in this block, plus those elsewhere."""
+        fold = self.part_of_rows(part.column("_fold").to_numpy())
+        out = np.zeros(len(self), COUNTS)
+        for name, f in (("kept", KEPT), ("cut", CUT)):
+            out[name] = np.bincount(self.at[:, fold == f].reshape(-1), minlength=len(out))
+            if len(np.shape(elsewhere)):
+                out[name] += elsewhere[name]
+        return out
+
 
 def count_cells(blocks: DataFrame, column: str, parts: tuple[int, int], order: int, shift: int) -> DataFrame:
     """Counts of words in the first parts[0] ranges, of longer n-grams in the next parts[1]."""
@@ -85,10 +95,7 @@ def count_cells(blocks: DataFrame, column: str, parts: tuple[int, int], order: i
                 if not part.num_rows:
                     continue
                 tokens = _Tokens(part, column, order, shift)
-                fold = tokens.part_of_rows(part.column("_fold").to_numpy())
-                counts = np.zeros(len(tokens), COUNTS)
-                for name, f in (("kept", KEPT), ("cut", CUT)):
-                    counts[name] = np.bincount(tokens.at[:, fold == f].reshape(-1), minlength=len(counts))
+                counts = tokens.counts(part)
                 n = len(tokens.words)
                 yield B.cell_rows(row["block"], tokens.words, counts[:n], parts[0])
                 yield B.cell_rows(row["block"], tokens.longer, counts[n:], parts[1], parts[0], shift)
@@ -96,8 +103,8 @@ def count_cells(blocks: DataFrame, column: str, parts: tuple[int, int], order: i
     return blocks.select("block", "payload").mapInArrow(run, B.CELL_SCHEMA)
 
 
-def corpus_counts(cells: DataFrame, word_parts: int) -> DataFrame:
-    """Each cell's keys answered with corpus counts; a row of block -1 holds the range's sums."""
+def corpus_counts(cells: DataFrame, word_parts: int, parts: int) -> DataFrame:
+    """Each cell's keys answered with the counts in all other blocks; a row of block -1 holds the range's sums."""
 
     def run(part: pa.Table) -> pa.Table:
         keys, counts, order, sizes = B.merged(part, COUNTS)
@@ -111,9 +118,12 @@ def corpus_counts(cells: DataFrame, word_parts: int) -> DataFrame:
         everything = words["kept"] + words["cut"]
         sums = np.array([everything.sum(), (everything > 0).sum(), words["kept"].sum(), (words["kept"] > 0).sum()], np.uint64)
         stats = pa.table({"part": [part.column("part")[0].as_py()], "block": [-1], "vals": [sums.tobytes()]}, schema=B._arrow(B.REPLY_SCHEMA))
-        return pa.concat_tables([B.reply(part, order, sizes, total[at]), stats])
+        others = np.zeros(len(keys), COUNTS)
+        for name in COUNTS.names:
+            others[name] = total[name][at] - counts[name]
+        return pa.concat_tables([B.reply(part, order, sizes, others), stats])
 
-    return cells.groupBy("part").applyInArrow(run, B.REPLY_SCHEMA)
+    return B.by_part(cells, parts).groupBy("part").applyInArrow(run, B.REPLY_SCHEMA)
 
 
 def corpus_sums(stats: DataFrame) -> list[float]:
@@ -181,7 +191,7 @@ def held_out_events(blocks: DataFrame, counts: DataFrame, column: str, order: in
             if not part.num_rows:
                 continue
             tokens = _Tokens(part, column, order, shift)
-            c = _Counts(tokens, B.replies_of(replies, COUNTS), everything=False)
+            c = _Counts(tokens, tokens.counts(part, B.replies_of(replies, COUNTS)), everything=False)
             mine = tokens.part_of_rows(part.column("_fold").to_numpy()) == CUT
             event = np.stack([c.buckets()[mine], _levels(c.word[mine]), *(_levels(r[mine]) for r in c.ratios())])
             kinds, n = np.unique(event, axis=1, return_counts=True)
@@ -241,8 +251,8 @@ def lm_score(docs: DataFrame, train: F.Column, cut: F.Column, column: str = "tex
     n_buckets = B.buckets_for(size, BLOCK_BYTES * grown)
     blocks = B.write_blocks(docs.withColumn("_fold", fold.cast("int")), "lm_blocks", column, BLOCK_BYTES * grown, buckets=n_buckets)
     parts = tuple(B.parts_for(n, shuffle_partitions(spark), grown) for n in (size // 24, size * (order - 1) // 6))
-    shift = max(0, 64 - ORDER_BITS - SPARE_BITS - (size * order).bit_length())
-    replies = corpus_counts(count_cells(blocks, column, parts, order, shift), parts[0])
+    shift = max(0, 64 - ORDER_BITS - max(LEAST_BITS, SPARE_BITS + (size * order // 6).bit_length()))
+    replies = corpus_counts(count_cells(blocks, column, parts, order, shift), parts[0], sum(parts))
     counts = bucketed(replies.repartition(n_buckets, "block"), "block", "lm_counts", n_buckets)
     n, v, n_kept, v_kept = corpus_sums(counts.where("block = -1"))
     answers = counts.where("block >= 0")
@@ -257,7 +267,7 @@ def lm_score(docs: DataFrame, train: F.Column, cut: F.Column, column: str = "tex
         for row in block.to_pylist():
             part = B.from_payload(row["payload"])
             tokens = _Tokens(part, column, order, shift)
-            c = _Counts(tokens, B.replies_of(replies, COUNTS), everything=True)
+            c = _Counts(tokens, tokens.counts(part, B.replies_of(replies, COUNTS)), everything=True)
             add = lambda x: np.add.reduceat(x, tokens.first)
             base, score = add(np.log10(_floor(c.word, n, v))), add(np.log10(mixture(c, weights, n, v)))
             part = part.select(names)
