@@ -48,6 +48,8 @@ BLOCK_BYTES = 4 << 20
 ANCHOR_WORDS = 11
 #: Batches of the query and the pipeline's stage, and the number of runs that are merged into one.
 BATCHES, FAN = 3, 2
+#: Numbers of hit blocks that are sent to every task; more are joined by a shuffle.
+BROADCAST_BLOCKS = 1 << 20
 CELL, PLACES, RUN = 0, 1, 2
 #: CELL: a block's sorted distinct keys of a range, vals (32 more bits, then a twice-here bit) and their places; PLACES: places
 #: (pos) of a block; RUN: a range's sorted keys, vals (last bit: more than once), homes (blocks of those that came once) and places.
@@ -151,7 +153,7 @@ def anchor_cells(blocks: DataFrame, column: str, window: int, parts: int) -> Dat
     return blocks.select("block", "payload").mapInArrow(run, ENTRY_SCHEMA)
 
 
-def window_cells(blocks: DataFrame, active: DataFrame, column: str, window: int, parts: int, fresh: bool) -> DataFrame:
+def window_cells(blocks: DataFrame, buckets: int, active: DataFrame, column: str, window: int, parts: int, fresh: bool) -> DataFrame:
     """Hashes of the windows under active anchors (their places in a block are the rows of active); fresh: and under those that repeat inside the block.
 
     Places of windows that repeat inside the block come too.
@@ -173,8 +175,10 @@ def window_cells(blocks: DataFrame, active: DataFrame, column: str, window: int,
                 out.append(_places(row["block"], twice) | {"part": int(row["block"] % parts)})
         return pa.Table.from_batches([_entries(out)], schema=_ENTRIES)
 
+    active = active.repartition(buckets, "block")  # like the blocks' buckets, which stay where they are
     if not fresh:  # old blocks without a new active anchor are left alone
-        blocks = blocks.join(active.select(F.col("block").alias("_b")).distinct(), F.col("block") == F.col("_b"), "left_semi")
+        hit = active.select(F.col("block").alias("_b")).distinct()
+        blocks = blocks.join(F.broadcast(hit) if hit.count() <= BROADCAST_BLOCKS else hit, F.col("block") == F.col("_b"), "left_semi")
     return blocks.select("block", "payload").groupBy("block").cogroup(active.groupBy("block")).applyInArrow(run, ENTRY_SCHEMA)
 
 
@@ -240,7 +244,7 @@ def _merge(new: list[dict], old: list[dict], parts: int) -> list[dict]:
 
 def merge_join(cells: DataFrame, runs: list[DataFrame], parts: int) -> DataFrame:
     """PLACES and RUN rows of a batch's cells against the historical runs, by key range."""
-    grouped = cells.groupBy("part")
+    grouped = B.by_part(cells, parts).groupBy("part")
     if not runs:
         return grouped.applyInArrow(lambda new: pa.Table.from_batches([_entries(_merge(new.to_pylist(), [], parts))]), ENTRY_SCHEMA)
 
@@ -248,7 +252,7 @@ def merge_join(cells: DataFrame, runs: list[DataFrame], parts: int) -> DataFrame
         # ranges that the batch does not touch stay packed
         return pa.Table.from_batches([_entries(_merge(new.to_pylist(), old.to_pylist(), parts) if new.num_rows else [])])
 
-    return grouped.cogroup(_union(runs).groupBy("part")).applyInArrow(run, ENTRY_SCHEMA)
+    return grouped.cogroup(B.by_part(_union(runs), parts).groupBy("part")).applyInArrow(run, ENTRY_SCHEMA)
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -323,8 +327,8 @@ class FingerprintIndex:
         blocks = B.write_blocks(docs, "substring_blocks", self.column, BLOCK_BYTES, batch, n, location)
         found = self._write(merge_join(anchor_cells(blocks, self.column, self.window, self.parts), self.runs("anchors"), self.parts), "anchors")
         active = self._found(found)
-        cells = [window_cells(blocks, active, self.column, self.window, self.parts, fresh=True)]
-        cells += [window_cells(old, active.where(F.shiftright("block", 48) == k), self.column, self.window, self.parts, fresh=False) for k, old in enumerate(self.blocks)]
+        cells = [window_cells(blocks, n, active.where(F.shiftright("block", 48) == batch), self.column, self.window, self.parts, fresh=True)]
+        cells += [window_cells(old, self.state["blocks"][k][1], active.where(F.shiftright("block", 48) == k), self.column, self.window, self.parts, fresh=False) for k, old in enumerate(self.blocks)]
         verified = self._write(merge_join(_union(cells), self.runs("windows"), self.parts), "windows")
         self.blocks.append(blocks)
         self.state["blocks"].append([location, n])
@@ -340,7 +344,7 @@ class FingerprintIndex:
         for level in ("anchors", "windows"):
             runs = self.runs(level)
             if runs:
-                one = _union(runs).groupBy("part").applyInArrow(lambda rows: pa.Table.from_batches([_entries(_Column(rows.to_pylist()).run(parts))]), ENTRY_SCHEMA)
+                one = B.by_part(_union(runs), parts).groupBy("part").applyInArrow(lambda rows: pa.Table.from_batches([_entries(_Column(rows.to_pylist()).run(parts))]), ENTRY_SCHEMA)
                 self.state[level] = [self._write(one, level)]
         if commit:
             self._commit()
@@ -360,7 +364,7 @@ class FingerprintIndex:
             return pa.concat_tables(out)
 
         each = [
-            blocks.select("block", "payload").groupBy("block").cogroup(places.where(F.shiftright("block", 48) == k).groupBy("block")).applyInArrow(run, schema)
+            blocks.select("block", "payload").groupBy("block").cogroup(places.where(F.shiftright("block", 48) == k).repartition(self.state["blocks"][k][1], "block").groupBy("block")).applyInArrow(run, schema)
             for k, blocks in enumerate(self.blocks)
         ]
         return _union(each)
