@@ -43,7 +43,7 @@ from talentloom.llm.common import table
 SIMILARITY = 0.8
 PIECE = 4
 TARGET_RECALL = 0.99
-REPEATS, EACH, SAMPLED = 32, 125, 2
+REPEATS, EACH, SAMPLED = 64, 125, 2
 ITEMS_A_BLOCK, BYTES_A_BLOCK = 1 << 14, 8 << 20
 CHUNK = 1 << 20
 #: Words and walks of the windows that are embedded at once.
