@@ -118,3 +118,24 @@ def source_format(path: Column) -> Column:
     has = lambda *names: F.arrays_overlap(parts, F.array(*[F.lit(n) for n in names]))
     ext = F.regexp_extract(F.lower(path), r"\.([a-z0-9]+)$", 1)
     return F.when(has("scans"), "scans").when(has("images"), "images").when(has("docx"), "docx").when(has("pdf"), "pdf").when(ext == "pdf", "pdf").when(ext == "docx", "docx").when(ext.isin("png", "jpg", "jpeg", "tif", "tiff"), "images").otherwise("unknown")
+
+
+# Limits of the text layer of paged files.
+TEXT_PAGE_CHARS, NATIVE_MEAN_CHARS, NATIVE_TEXT_SHARE, NATIVE_WORDS, IMAGE_SHARE, IMAGE_MEAN_CHARS = 40, 80.0, 0.5, 200, 0.8, 140.0
+
+
+def paged_route(pages: Column, chars: Column, words: Column, text_pages: Column, image_pages: Column) -> Column:
+    """(route scanned, hybrid or native, ocr, reasons) of a file from counts over its pages.
+
+    text_pages: pages of at least TEXT_PAGE_CHARS characters. A file full of images with little text is scanned, and so is one without a
+    usable text layer; a usable layer of few words is hybrid and is read by OCR too.
+    """
+    n = F.greatest(pages, F.lit(1))
+    mean, text_share, image_share = chars / n, text_pages / n, image_pages / n
+    by_images = (image_share >= IMAGE_SHARE) & (mean < IMAGE_MEAN_CHARS)
+    usable = (chars >= TEXT_PAGE_CHARS) & (mean >= NATIVE_MEAN_CHARS) & (text_share >= NATIVE_TEXT_SHARE)
+    route = F.when(by_images | ~usable, "scanned").when(words < NATIVE_WORDS, "hybrid").otherwise("native")
+    reason = F.when(by_images, "images with weak text").when(~usable, "text below limits").when(words < NATIVE_WORDS, "too few native words").otherwise("text above limits")
+    facts = [("pages", pages.cast("string")), ("chars", chars.cast("string")), ("words", words.cast("string")), ("mean_chars", F.format_string("%.1f", mean)), ("text_share", F.format_string("%.2f", text_share)), ("image_share", F.format_string("%.2f", image_share))]
+    reasons = F.array(*[F.concat(F.lit(k + "="), v) for k, v in facts], reason)
+    return F.struct(route.alias("route"), (route != "native").alias("ocr"), reasons.alias("reasons"))

@@ -156,3 +156,13 @@ def profile_kind(score: Column, supported: Column, status: Column) -> Column:
 
 def unsupported_risk(unsupported: Column) -> Column:
     return F.when(unsupported == 0, "low").when(unsupported <= 2, "medium").otherwise("high")
+
+
+def alignment(some: Column, half: Column, most: Column) -> Column:
+    """How far a corpus serves a job: shares of candidates with any, half and four fifths of the required skills."""
+    return F.round(some * 0.2 + half * 0.4 + most * 0.4, 4)
+
+
+def job_decision(score: Column, pool: Column) -> Column:
+    """keep, adjust or replace a job; pool: candidates with four fifths of its skills."""
+    return F.when((score >= 0.35) & (pool >= 3), "keep").when(score >= 0.15, "adjust").otherwise("replace")

@@ -30,6 +30,9 @@ DOMAIN_RULES = [
     ("data_engineering", r"\b(data engineer|etl|spark|hadoop|data pipeline)\b"),
 ]
 TITLE_HINT = r"(?i)\b(engineer|developer|scientist|analyst|manager|architect|specialist|intern)\b"
+PLACE = r"[A-Z][A-Za-z .-]+(?:,\s*[A-Z][A-Za-z .-]+)?"
+LOCATION_PATTERNS = [rf"\bbased in ({PLACE})", rf"(?i)\blocation[:\s]+({PLACE})", rf"\bin ({PLACE})"]
+LOCATION_END = r"(?i)\s+(?:and follows|and is|with|for|where)\b.*|\b(?:remote|hybrid|on[- ]site|onsite)\b.*"
 YEARS_PATTERNS = [r"(?i)(\d+)\+?\s+years? of experience", r"(?i)minimum of (\d+)\s+years?", r"(?i)at least (\d+)\s+years?"]
 
 
@@ -50,8 +53,25 @@ def skills_in(parts: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(parts, hit)))
 
 
+def location(text: Column) -> Column:
+    """The place named by the first pattern that matches, up to where the sentence goes on; null if none or nothing is left."""
+    found = F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in LOCATION_PATTERNS])
+    place = F.regexp_replace(collapse(F.regexp_replace(found, r"\.+$", "")), LOCATION_END, "")
+    return F.nullif(collapse(F.regexp_replace(place, r"[, ]+$", "")), F.lit(""))
+
+
+def confidence(title: Column, skills: Column, duties: Column, level: Column, years: Column, place: Column, remote: Column, warnings: Column) -> Column:
+    """Of a structured job: flags, the number of required skills and the number of warnings."""
+    plus = lambda c, x: F.when(c, x).otherwise(0.0)
+    score = (
+        0.35 + plus(title, 0.15) + F.least(F.lit(0.2), skills * 0.03) + plus(duties, 0.1) + plus(level, 0.05) + plus(years, 0.05) + plus(place, 0.03) + plus(remote, 0.03)
+        - F.least(F.lit(0.2), warnings * 0.04)
+    )
+    return round4(F.least(F.greatest(score, F.lit(0.0)), F.lit(0.99)))
+
+
 def job_profiles(jobs: DataFrame, text: str = "description") -> DataFrame:
-    """jobs with title, skills, duties, years, seniority, domain, remote policy, contract, languages, warnings, confidence."""
+    """jobs with title, skills, duties, years, seniority, domain, location, remote policy, contract, languages, warnings, confidence."""
     t = F.col(text)
     parts = F.filter(F.transform(sentences(t), collapse), lambda s: s.isNotNull())
     lines = F.slice(F.filter(F.transform(F.split(t, "\n"), collapse), lambda s: s.isNotNull()), 1, 3)
@@ -64,6 +84,7 @@ def job_profiles(jobs: DataFrame, text: str = "description") -> DataFrame:
     out = out.withColumn("required_skills", skills_in(F.filter("_p", lambda s: ~nice(s)))).withColumn("nice_to_have_skills", skills_in(F.filter("_p", nice)))
     out = out.withColumn("responsibilities", distinct_folded(F.slice(F.filter("_p", duty), 1, 6))).withColumn("years_experience_required", years)
     out = out.withColumn("seniority_level", seniority(first_label(F.concat_ws("\n", "job_title", t), SENIORITY_RULES)))
+    out = out.withColumn("location", location(t))
     out = out.withColumn("domain", most_frequent(t, DOMAIN_RULES)).withColumn("remote_policy", first_label(t, REMOTE_RULES)).withColumn("contract_type", first_label(t, CONTRACT_RULES))
     out = out.withColumn("language_requirements", F.array_compact(F.array(*[F.when(t.rlike(rf"(?i)\b{x}\b"), x) for x in LANGUAGES])))
     warn = F.array_compact(
@@ -73,16 +94,14 @@ def job_profiles(jobs: DataFrame, text: str = "description") -> DataFrame:
             F.when(F.size("responsibilities") == 0, "missing_responsibilities_signal"),
             F.when(F.col("seniority_level").isNull(), "missing_seniority_signal"),
             F.when(F.col("years_experience_required").isNull(), "missing_years_experience_signal"),
-            F.when(F.col("remote_policy").isNull(), "missing_location_or_remote_signal"),
+            F.when(F.col("location").isNull() & F.col("remote_policy").isNull(), "missing_location_or_remote_signal"),
             F.when(F.size(F.split(F.coalesce(collapse(t), F.lit("")), " ")) < 25, "low_information_job_description"),
         )
     )
     out = out.withColumn("warnings", warn)
-    plus = lambda c, x: F.when(c, x).otherwise(0.0)
-    score = (
-        0.35 + 0.15 + F.least(F.lit(0.2), F.size("required_skills") * 0.03) + plus(F.size("responsibilities") > 0, 0.1) + plus(F.col("seniority_level").isNotNull(), 0.05)
-        + plus(F.col("years_experience_required").isNotNull(), 0.05) + plus(F.col("remote_policy").isNotNull(), 0.03) - F.least(F.lit(0.2), F.size("warnings") * 0.04)
-    )
-    out = out.withColumn("confidence", round4(F.least(F.greatest(score, F.lit(0.0)), F.lit(0.99))))
+    has = lambda c: F.col(c).isNotNull()
+    # a missing title is named "Unknown Role", which counts as one
+    score = confidence(F.lit(True), F.size("required_skills"), F.size("responsibilities") > 0, has("seniority_level"), has("years_experience_required"), has("location"), has("remote_policy"), F.size("warnings"))
+    out = out.withColumn("confidence", score)
     out = out.withColumn("job_title", F.coalesce("job_title", F.lit("Unknown Role")))
     return out.withColumn("job_id", alnum_key(F.col("job_title"), "_")).drop("_p")

@@ -42,27 +42,30 @@ def positive_score(scored: DataFrame) -> DataFrame:
     return scored.withColumn("ml_score", vector_to_array("probability")[1])
 
 
-def with_groups(rows: DataFrame, group: str, folds: int) -> DataFrame:
-    return rows.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(folds)).cast("int"))
+def leave_one_group_out(rows: DataFrame, features: list[str], label: str, group: str, names: tuple[str, ...] = ("logistic", "forest", "boosted"), trees: int = 200, rounds: int = 120) -> DataFrame:
+    """Metrics of each model and left-out group: trained on all other groups, tried on that one. Folds whose training rows have one class only are left out.
 
-
-def leave_one_group_out(rows: DataFrame, features: list[str], label: str, fold: str, names: tuple[str, ...] = ("logistic",)) -> DataFrame:
-    """Metrics of each model over the rows of the group that was left out, all groups together."""
+    Groups are few by nature (jobs that were annotated); null is one.
+    """
+    rows = rows.withColumn("_group", F.coalesce(F.col(group).cast("string"), F.lit("")))
+    folds = [r[0] for r in rows.select("_group").distinct().orderBy("_group").collect()]
     out = None
-    folds = [r[0] for r in rows.select(fold).distinct().orderBy(fold).collect()]  # a stated handful
-    for name in names:
-        parts = None
-        for f in folds:
-            train = balanced(rows.where(F.col(fold) != f), label)
-            if train.select(label).distinct().count() < 2:
-                continue
-            scored = positive_score(models(features, label)[name].fit(train).transform(rows.where(F.col(fold) == f).withColumn("weight", F.lit(1.0))))
+    for held in folds:
+        train = balanced(rows.where(F.col("_group") != held), label)
+        if train.select(label).distinct().count() < 2:
+            continue
+        test = rows.where(F.col("_group") == held).withColumn("weight", F.lit(1.0))
+        for name in names:
+            scored = positive_score(models(features, label, trees, rounds)[name].fit(train).transform(test))
             part = scored.select(F.col(label), (F.col("ml_score") >= 0.5).cast("int").alias("_p"))
-            parts = part if parts is None else parts.unionByName(part)
-        if parts is not None:
-            m = binary_metrics(parts, label, "_p").withColumn("model", F.lit(name))
+            m = binary_metrics(part, label, "_p").withColumn("model", F.lit(name)).withColumn("left_out", F.lit(held))
             out = m if out is None else out.unionByName(m)
-    return out if out is not None else rows.sparkSession.createDataFrame([], "accuracy double, precision double, recall double, macro_f1 double, model string")
+    return out if out is not None else rows.sparkSession.createDataFrame([], "accuracy double, precision double, recall double, macro_f1 double, model string, left_out string")
+
+
+def mean_metrics(folds: DataFrame) -> DataFrame:
+    """Each model's mean over the folds."""
+    return folds.groupBy("model").agg(F.count("*").alias("folds"), *[F.avg(c).alias(c) for c in ("accuracy", "precision", "recall", "macro_f1")])
 
 
 def importances(rows: DataFrame, features: list[str], label: str, trees: int = 50) -> DataFrame:

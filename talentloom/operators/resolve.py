@@ -2,30 +2,69 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talentloom.functions.text import stable_id
 
 CONFIDENCE = {"real_email": 0.98, "real_phone": 0.95, "linkedin_url": 0.99, "github_url": 0.99}
 
 
+def blocks_ratio(a: str, b: str) -> float:
+    """Twice the characters in matching blocks (the longest first, then those on both sides of it) over both lengths."""
+    return SequenceMatcher(None, a, b).ratio()
+
+
+@F.pandas_udf(T.DoubleType())
+def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else blocks_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
 def name_similarity(a: Column, b: Column) -> Column:
-    """1 where one name holds the other (or one is empty), else 1 - edits / length of the longer."""
-    near = 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
-    return F.when((a == "") | (b == "") | a.contains(b) | b.contains(a), 1.0).otherwise(near)
+    """1 where one name holds the other (or one is empty), else the ratio of their matching blocks."""
+    same = (a == "") | (b == "") | a.contains(b) | b.contains(a)
+    return F.when(same, 1.0).otherwise(_ratios(F.when(~same, a), F.when(~same, b)))
 
 
-def conflicting_keys(rows: DataFrame, key: str, name: str, least: float = 0.62) -> DataFrame:
-    """Keys whose members' names differ materially.
+def worst_pair(names: list[str], least: float) -> tuple[str, str, float] | None:
+    """The first pair of names (in order) that differ materially."""
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            if a not in b and b not in a and (ratio := blocks_ratio(a, b)) < least:
+                return a, b, ratio
+    return None
+
 
-    Defined against the key's least and greatest name (one aggregation), not between all members, so that a
-    large group never becomes pairs: a key conflicts if some name is too far from either end.
+def name_conflicts(rows: DataFrame, key: str, name: str, least: float = 0.62) -> DataFrame:
+    """(key, left, right, similarity): of each key whose members' names differ materially one pair that does.
+
+    Names are compared once each, however many members share them. Each is first held against the key's least name, a join-free
+    aggregation that settles most keys; only keys whose names are all near to the least one
+    are looked at pair by pair, up to the first conflict, so no group is turned into pairs.
     """
-    named = rows.where((F.col(name).isNotNull()) & (F.col(name) != ""))
-    ends = named.groupBy(key).agg(F.min(name).alias("_a"), F.max(name).alias("_b"))
-    apart = F.least(name_similarity(F.col(name), F.col("_a")), name_similarity(F.col(name), F.col("_b"))) < least
-    return named.join(ends, key).where(apart).select(key).distinct()
+    named = rows.where(F.col(name).isNotNull() & (F.col(name) != "")).select(key, name).distinct()
+    low = named.groupBy(key).agg(F.min(name).alias("_low"), F.count("*").alias("_n")).where("_n > 1").withColumnRenamed(key, "_key")
+    pairs = named.join(low, F.col(key) == F.col("_key")).where(F.col(name) != F.col("_low")).withColumn("_s", name_similarity(F.col("_low"), F.col(name)))
+    judged = pairs.groupBy(key).agg(F.min(F.struct("_s", name)).alias("_worst"), F.first("_low").alias("_low"))
+    told = judged.where(F.col("_worst._s") < least).select(key, F.col("_low").alias("left"), F.col(f"_worst.{name}").alias("right"), F.round("_worst._s", 4).alias("similarity"))
+    near = judged.where(F.col("_worst._s") >= least).select(F.col(key).alias("_near"))
+    rest = named.join(near, F.col(key) == F.col("_near"), "left_semi")
+    kind = rows.schema[key].dataType.simpleString()
+
+    def look(group: pd.DataFrame) -> pd.DataFrame:
+        found = worst_pair(sorted(group[name]), least)
+        return pd.DataFrame([(group[key].iloc[0], found[0], found[1], round(found[2], 4))] if found else [], columns=[key, "left", "right", "similarity"])
+
+    return told.unionByName(rest.groupBy(key).applyInPandas(look, f"{key} {kind}, left string, right string, similarity double"))
+
+
+def conflicting_keys(rows: DataFrame, key: str, name: str, least: float = 0.62) -> DataFrame:
+    """Keys whose members' names differ materially."""
+    return name_conflicts(rows, key, name, least).select(key)
 
 
 def resolve(profiles: DataFrame, evidence: list[tuple[str, str]], name: str, id_column: str) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def rank_by(group: str | None, order: list[Column]) -> Column:
-    return F.row_number().over((Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))).orderBy(*order))
+def rank_by(group: str, order: list[Column]) -> Column:
+    return F.row_number().over(Window.partitionBy(group).orderBy(*order))
 
 
 def min_max(value: Column, group: str) -> Column:
@@ -18,9 +18,10 @@ def min_max(value: Column, group: str) -> Column:
 
 
 def agreement(a: Column, b: Column, c: Column, near: int = 3, far: int = 10) -> Column:
-    """How three ranks (rules, two models) agree."""
+    """How the rank by rules and those of two models agree: both models must gain, or lose, at least `far` ranks to promote or demote."""
     gap = F.greatest(a, b, c) - F.least(a, b, c)
-    return F.when(gap <= near, "agreement_high").when((b < a) & (c < a) & (F.abs(b - c) <= near), "ml_promoted").when((b > a) & (c > a) & (F.abs(b - c) <= near), "ml_demoted").when(gap >= far, "review_needed").otherwise("review_needed")
+    gain, loss = F.least(a - b, a - c), F.greatest(a - b, a - c)
+    return F.when(gap <= near, "agreement_high").when(gain >= far, "ml_promoted").when(loss <= -far, "ml_demoted").otherwise("review_needed")
 
 
 def movement(old: Column, new: Column) -> Column:

@@ -107,11 +107,19 @@ def format_inference(spark, d):
     return table(spark, d, "documents").select("doc_id", Q.source_format(path).alias("source_format"))
 
 
-@query("routing", f"""WITH pages_of AS (SELECT source AS doc, doc_id % 50 AS page, CAST(n_chars AS DOUBLE) AS text_chars, doc_id % 3 AS images FROM documents), g AS (SELECT doc, count(*) AS pages, sum(text_chars) AS chars, sum(images) AS images, avg(text_chars) AS per_page, avg(CASE WHEN text_chars < 400 THEN 1.0 ELSE 0.0 END) AS empty_share FROM pages_of GROUP BY doc)
-SELECT doc, pages, round(per_page, 4) AS per_page, CASE WHEN empty_share >= 0.6 THEN 'scanned' WHEN empty_share >= 0.2 THEN 'hybrid' ELSE 'native' END AS route FROM g""")
+@query("routing", r"""WITH p AS (SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS doc, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g')) AS t, contains(html, 'class="ad"') AS image FROM pages),
+w AS (SELECT doc, length(t) AS chars, CASE WHEN t = '' THEN 0 ELSE length(t) - length(replace(t, ' ', '')) + 1 END AS words, image FROM p),
+g AS (SELECT doc, count(*) AS pages, CAST(sum(chars) AS BIGINT) AS chars, CAST(sum(words) AS BIGINT) AS words, count(*) FILTER (WHERE chars >= 40) AS text_pages, count(*) FILTER (WHERE image) AS image_pages FROM w GROUP BY doc)
+SELECT doc, pages, chars, words, CASE WHEN image_pages / pages >= 0.8 AND chars / pages < 140 THEN 'scanned' WHEN NOT (chars >= 40 AND chars / pages >= 80 AND text_pages / pages >= 0.5) THEN 'scanned' WHEN words < 200 THEN 'hybrid' ELSE 'native' END AS route,
+ CASE WHEN image_pages / pages >= 0.8 AND chars / pages < 140 THEN 'images with weak text' WHEN NOT (chars >= 40 AND chars / pages >= 80 AND text_pages / pages >= 0.5) THEN 'text below limits' WHEN words < 200 THEN 'too few native words' ELSE 'text above limits' END AS reason FROM g""")
 def routing(spark, d):
-    g = table(spark, d, "documents").groupBy(C("source").alias("doc")).agg(F.count("*").alias("pages"), F.avg(C("n_chars").cast("double")).alias("per_page"), F.avg((C("n_chars") < 400).cast("double")).alias("empty"))
-    return g.select("doc", "pages", F.round("per_page", 4).alias("per_page"), F.when(C("empty") >= 0.6, "scanned").when(C("empty") >= 0.2, "hybrid").otherwise("native").alias("route"))
+    """Hosts as files and their pages as pages; an advertisement stands for an image."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), "[ \t\n\r]+", " "))
+    p = table(spark, d, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("doc"), plain.alias("t"), C("html").contains('class="ad"').alias("image"))
+    w = p.select("doc", F.char_length("t").alias("chars"), F.when(C("t") == "", 0).otherwise(F.size(F.split("t", " "))).alias("words"), "image")
+    g = w.groupBy("doc").agg(F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.sum("words").alias("words"), F.count_if(C("chars") >= Q.TEXT_PAGE_CHARS).alias("text_pages"), F.count_if("image").alias("image_pages"))
+    r = g.withColumn("r", Q.paged_route(C("pages"), C("chars"), C("words"), C("text_pages"), C("image_pages")))
+    return r.select("doc", "pages", "chars", "words", "r.route", F.element_at("r.reasons", -1).alias("reason"))
 
 
 @query("order_coherence", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 1.0 WHEN 2 THEN round(4.0 / 6, 6) ELSE 0.0 END AS coherence FROM documents")

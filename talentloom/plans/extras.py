@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talentloom.functions import repair
+from talentloom.functions import scoring as S
 from talentloom.operators import grounding, jobs, render, rerank
 from talentloom.plans.registry import PROFILES_SQL, profiles, query, table
 from talentloom.plans.scores import SCORED_SQL, scored
@@ -136,10 +137,15 @@ def nullify_templates(spark, d):
     return table(spark, d, "documents").select("doc_id", F.when(~bad, name).alias("name"), F.concat_ws("|", F.when(bad, "name")).alias("nullified"))
 
 
-@query("job_decisions", f"WITH {SCORED_SQL}, g AS (SELECT job_id, avg(coverage) AS c, count(*) FILTER (WHERE coverage >= 0.6) AS pool FROM final GROUP BY job_id) SELECT job_id, CASE WHEN c >= 0.5 THEN 'keep' WHEN pool >= 5 THEN 'adjust' ELSE 'replace' END AS decision, pool FROM g")
+@query("job_decisions", f"""WITH {SCORED_SQL}, g AS (SELECT job_id, count(*) AS n, count(*) FILTER (WHERE coverage > 0) AS k_any, count(*) FILTER (WHERE coverage >= 0.5) AS k_half, count(*) FILTER (WHERE coverage >= 0.8) AS k_most FROM final GROUP BY job_id),
+a AS (SELECT *, round(k_any / n * 0.2 + k_half / n * 0.4 + k_most / n * 0.4, 4) AS alignment FROM g)
+SELECT job_id, alignment, k_most AS pool, CASE WHEN alignment >= 0.35 AND k_most >= 3 THEN 'keep' WHEN alignment >= 0.15 THEN 'adjust' ELSE 'replace' END AS decision FROM a""")
 def job_decisions(spark, d):
-    g = scored(spark, d).groupBy("job_id").agg(F.avg("coverage").alias("c"), F.count_if(C("coverage") >= 0.6).alias("pool"))
-    return g.select("job_id", F.when(C("c") >= 0.5, "keep").when(C("pool") >= 5, "adjust").otherwise("replace").alias("decision"), "pool")
+    share = lambda c: F.avg(c.cast("double"))
+    c = C("coverage")
+    score = S.alignment(share(c > 0), share(c >= 0.5), share(c >= 0.8))
+    g = scored(spark, d).groupBy("job_id").agg(score.alias("alignment"), F.count_if(c >= 0.8).alias("pool"))
+    return g.select("job_id", "alignment", "pool", S.job_decision(C("alignment"), C("pool")).alias("decision"))
 
 
 @query("corpus_features", r"SELECT doc_id, concat_ws('|', CASE WHEN contains(lower(text), 'the') THEN 'the' END, CASE WHEN contains(lower(text), 'der') THEN 'der' END) AS keywords, length(text) < 500 AS short FROM documents")

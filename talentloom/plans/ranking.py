@@ -118,7 +118,7 @@ def rank_shift(spark, d):
 
 
 @query("rank_agreement", f"""WITH {MODEL_SQL} SELECT job_id, profile_id, greatest(base_rank, rf_rank, gb_rank) - least(base_rank, rf_rank, gb_rank) AS gap,
- CASE WHEN greatest(base_rank, rf_rank, gb_rank) - least(base_rank, rf_rank, gb_rank) <= 3 THEN 'agreement_high' WHEN rf_rank < base_rank AND gb_rank < base_rank AND abs(rf_rank - gb_rank) <= 3 THEN 'ml_promoted' WHEN rf_rank > base_rank AND gb_rank > base_rank AND abs(rf_rank - gb_rank) <= 3 THEN 'ml_demoted' ELSE 'review_needed' END AS agreement FROM ranks""")
+ CASE WHEN greatest(base_rank, rf_rank, gb_rank) - least(base_rank, rf_rank, gb_rank) <= 3 THEN 'agreement_high' WHEN base_rank - rf_rank >= 10 AND base_rank - gb_rank >= 10 THEN 'ml_promoted' WHEN base_rank - rf_rank <= -10 AND base_rank - gb_rank <= -10 THEN 'ml_demoted' ELSE 'review_needed' END AS agreement FROM ranks""")
 def rank_agreement(spark, d):
     a, b, c = C("base_rank"), C("rf_rank"), C("gb_rank")
     return model_ranks(spark, d).select("job_id", "profile_id", (F.greatest(a, b, c) - F.least(a, b, c)).alias("gap"), W.agreement(a, b, c).alias("agreement"))

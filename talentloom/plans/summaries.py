@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talentloom.functions import scoring as S
+from talentloom.operators import jobs
 from talentloom.operators.ocr import cer, summarize, wer
 from talentloom.plans.registry import PROFILES_SQL, profiles, query, table
 from talentloom.plans.scores import SCORED_SQL, scored
@@ -156,8 +157,7 @@ def identity_keys(spark, d):
     return profiles(spark, d).select("profile_id", key.getField("confidence").alias("confidence"), key.getField("ambiguous").alias("ambiguous"))
 
 
-@query("job_confidence", f"WITH {PROFILES_SQL} SELECT profile_id, round(least(greatest(0.35 + CASE WHEN required > 0 THEN 0.25 ELSE 0.0 END + CASE WHEN required_years IS NOT NULL THEN 0.15 ELSE 0.0 END + CASE WHEN job_seniority IS NOT NULL THEN 0.10 ELSE 0.0 END - 0.04 * flags, 0.0), 1.0), 4) AS confidence FROM profiles")
+@query("job_confidence", f"WITH {PROFILES_SQL} SELECT profile_id, round(least(greatest(0.35 + CASE WHEN NOT weak_name THEN 0.15 ELSE 0.0 END + least(0.2, required * 0.03) + CASE WHEN has_experience THEN 0.1 ELSE 0.0 END + CASE WHEN seniority <> 'unknown' THEN 0.05 ELSE 0.0 END + CASE WHEN required_years IS NOT NULL THEN 0.05 ELSE 0.0 END + CASE WHEN lang IS NOT NULL THEN 0.03 ELSE 0.0 END + CASE WHEN route <> 'other' THEN 0.03 ELSE 0.0 END - least(0.2, flags * 0.04), 0.0), 0.99) + 1e-9, 4) AS confidence FROM profiles")
 def job_confidence(spark, d):
-    add = lambda c, x: F.when(c, x).otherwise(0.0)
-    score = 0.35 + add(C("required") > 0, 0.25) + add(C("required_years").isNotNull(), 0.15) + add(C("job_seniority").isNotNull(), 0.10) - 0.04 * C("flags")
-    return profiles(spark, d).select("profile_id", F.round(S.clip01(score), 4).alias("confidence"))
+    score = jobs.confidence(~C("weak_name"), C("required"), C("has_experience"), C("seniority") != "unknown", C("required_years").isNotNull(), C("lang").isNotNull(), C("route") != "other", C("flags"))
+    return profiles(spark, d).select("profile_id", score.alias("confidence"))

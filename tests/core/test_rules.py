@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from talentloom.functions import dates, names, quality, scoring, text
-from talentloom.operators import metrics, ocr, topk, windows
+from talentloom.operators import graph, jobs, learning, metrics, ocr, topk, windows
+from talentloom.operators import resolve as R
 
 C = F.col
 
@@ -114,8 +115,66 @@ def test_auc_with_ties(spark):
 
 
 def test_agreement(spark):
-    cases = [(5, 6, 4), (20, 5, 6), (3, 15, 16), (1, 8, 2)]
-    assert [one(spark, windows.agreement(F.lit(a), F.lit(b), F.lit(c))) for a, b, c in cases] == ["agreement_high", "ml_promoted", "ml_demoted", "review_needed"]
+    # gains and losses count only when both models bring ten ranks or more
+    cases = [(5, 6, 8, "agreement_high"), (30, 10, 15, "ml_promoted"), (5, 30, 25, "ml_demoted"), (30, 25, 10, "review_needed"), (20, 12, 13, "review_needed"), (12, 2, 2, "ml_promoted"), (1, 5, 5, "review_needed"), (20, 30, 10, "review_needed")]
+    assert [one(spark, windows.agreement(F.lit(a), F.lit(b), F.lit(c))) for a, b, c, _ in cases] == [x[3] for x in cases]
+
+
+def test_paged_route(spark):
+    # pages, chars, words, pages with text, pages with images
+    cases = [(2, 200, 40, 2, 2, "scanned"), (2, 280, 250, 2, 2, "native"), (1, 39, 8, 0, 0, "scanned"), (4, 320, 60, 2, 0, "hybrid"), (4, 319, 300, 4, 0, "scanned"), (4, 4000, 700, 1, 0, "scanned"), (3, 3000, 200, 3, 3, "native"), (0, 0, 0, 0, 0, "scanned")]
+    for *given, route in cases:
+        got = one(spark, quality.paged_route(*[F.lit(x) for x in given]))
+        assert (got["route"], got["ocr"]) == (route, route != "native") and got["reasons"][0] == f"pages={given[0]}" and len(got["reasons"]) == 7
+
+
+def test_job_decisions(spark):
+    cases = [(0.35, 3, "keep"), (0.35, 2, "adjust"), (0.3499, 9, "adjust"), (0.15, 0, "adjust"), (0.1499, 50, "replace")]
+    assert [one(spark, scoring.job_decision(F.lit(a), F.lit(n))) for a, n, _ in cases] == [x[2] for x in cases]
+    assert one(spark, scoring.alignment(F.lit(0.5), F.lit(0.25), F.lit(0.125))) == 0.25
+
+
+def test_job_confidence_and_location(spark):
+    yes, no = F.lit(True), F.lit(False)
+    assert one(spark, jobs.confidence(yes, F.lit(7), yes, yes, yes, yes, yes, F.lit(0))) == 0.96
+    assert one(spark, jobs.confidence(yes, F.lit(2), no, no, no, no, no, F.lit(5))) == 0.36
+    assert one(spark, jobs.confidence(no, F.lit(0), no, no, no, no, no, F.lit(9))) == 0.15
+    places = [("We are based in Tunis, Tunisia and is growing", "Tunis, Tunisia"), ("Location: paris remote", "paris"), ("You work in Berlin.", "Berlin"), ("nothing here", None), ("based in Lyon with us", "Lyon")]
+    assert [one(spark, jobs.location(F.lit(t))) for t, _ in places] == [x[1] for x in places]
+
+
+def test_source_roles_and_ways(spark):
+    roles = graph.role_tables(spark, [("alpha", ["a", "b"], ["c"]), ("beta", ["d"], []), ("gamma", [], [])])
+    rows = spark.createDataFrame([(1, ["a", "c"], ""), (2, [], "beta lead"), (3, ["a"], "gamma dev"), (4, [], ""), (5, ["a"], "known beta")], "id long, skills array<string>, titles string")
+    got = {r["id"]: (r["source_role"], r["role_score"]) for r in graph.source_role(rows, roles, "id", "skills", "titles", {"dev": "gamma", "known": "beta"}).collect()}
+    assert got == {1: ("alpha", 1.5), 2: ("beta", 1.0), 3: ("gamma", 2.0), 4: ("alpha", 0.0), 5: ("beta", 2.0)}
+    people = rows.withColumn("source", F.when(F.col("id") == 1, "beta").otherwise("gamma"))
+    ways = [("beta", ["a", "x"]), ("beta", ["c"]), ("gamma", ["a", "y", "z"])]
+    out = {r["id"]: r for r in graph.transferability(people, "id", "skills", "source", ["a", "b"], ["c", "b"], ["z"], ways).collect()}
+    # 1: core 1/3, adjacent 1/2, best way 1.0; b is near, z blocks
+    assert out[1]["transferability_score"] == round(0.55 / 3 + 0.2 / 2 + 0.15 - 0.1 / 3, 4) and out[1]["gaps_blocking"] == ["z"]
+    # 3: one of three conditions met, which makes z compensable
+    assert out[3]["transferability_score"] == round(0.55 / 3 + 0.15 * 0.3333, 4) and sorted(out[3]["gaps_compensable"]) == ["b", "z"]
+    assert out[2]["transferability_score"] == 0.0 and out[2]["gaps_blocking"] == ["a", "z"]
+
+
+def test_name_similarity_and_conflicts(spark):
+    pairs = [("ann lee", "ann lee"), ("ann", "ann lee"), ("", "x"), ("ali ben salah", "sara mansour"), ("mohamed trabelsi", "mohammed trabelsi"), ("jean dupont", "dupont jean")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = [r[0] for r in df.select(R.name_similarity(F.col("a"), F.col("b"))).collect()]
+    assert got[:3] == [1.0, 1.0, 1.0] and got[3] < 0.62 and round(got[4], 4) == 0.9697 and round(got[5], 4) == 0.5455
+    # keys: two ends near to the least but not to one another; same names; one that differs from all
+    rows = [("p", "abcd"), ("p", "abcdxxxx"), ("p", "abcdyyyy"), ("q", "ann lee"), ("q", "ann lee"), ("q", "ann leo"), ("r", "ann lee"), ("r", "zoe kim"), ("s", None), ("s", "x")]
+    found = {r["k"]: (r["left"], r["right"]) for r in R.name_conflicts(spark.createDataFrame(rows, "k string, name string"), "k", "name").collect()}
+    assert found == {"p": ("abcdxxxx", "abcdyyyy"), "r": ("ann lee", "zoe kim")}
+
+
+def test_one_group_is_left_out_at_a_time(spark):
+    rows = [(g, float(x), float(x % 3), int(x > 5)) for g in ("a", "b", None) for x in range(12)]
+    df = spark.createDataFrame(rows, "job string, f double, g double, y int")
+    folds = learning.leave_one_group_out(df, ["f", "g"], "y", "job", ("logistic",)).collect()
+    assert sorted(r["left_out"] for r in folds) == ["", "a", "b"] and all(r["accuracy"] > 0.9 for r in folds)
+
 
 
 def test_vector_search_refuses_unbounded_queries(spark):
