@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_QUERY_ROWS = 1000
+MAX_QUERY_ROWS, ROWS_AT_ONCE = 1000, 2048
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -24,18 +26,46 @@ def search_width(top_k: int, n: int) -> int:
     return min(max(5 * top_k, top_k, 20), n)
 
 
+def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best scores, ties by the smaller id."""
+    at = np.arange(len(score))
+    if len(score) > k:  # everything that ties with the k-th best stays until ids decide
+        at = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+    return at[np.lexsort((ids[at], -score[at]))][:k]
+
+
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, q_id: str, q_vec: str, c_id: str, c_vec: str, per_query_limit: int = MAX_QUERY_ROWS) -> DataFrame:
     """Exact inner-product top-k: every stated query against all rows.
 
-    The query side is a stated set of at most per_query_limit rows (checked), so it is broadcast in
-    one block; ties go to the smaller corpus id. Rank pruning runs before the shuffle (group limit).
+    The query side is a stated set of at most per_query_limit rows (checked), so it goes to every task as
+    one matrix. A task multiplies its rows block by block and keeps the k best of each query, so that no more than k rows
+    a query and task are shuffled. Scores count to ten decimals, so that equal vectors tie; ties go to the smaller corpus id. Ids are longs.
     """
-    n = queries.limit(per_query_limit + 1).count()
-    if n > per_query_limit:
-        raise ValueError(f"{n}+ query rows; search in blocks of {per_query_limit}")
-    q = queries.select(F.col(q_id).alias("query_id"), F.col(q_vec).alias("_q"))
-    c = corpus.select(F.col(c_id).alias("match_id"), F.col(c_vec).alias("_c"))
-    scored = c.join(F.broadcast(q)).select("query_id", "match_id", dot(F.col("_q"), F.col("_c")).alias("score"))
+    rows = queries.where(F.col(q_vec).isNotNull()).select(q_id, q_vec).limit(per_query_limit + 1).collect()
+    if len(rows) > per_query_limit:
+        raise ValueError(f"more than {per_query_limit} query rows; search in blocks of {per_query_limit}")
+    asked = np.array([r[0] for r in rows], np.int64)
+    matrix = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
+    shared = queries.sparkSession.sparkContext.broadcast((asked, matrix))
+    schema = pa.schema([("query_id", pa.int64()), ("match_id", pa.int64()), ("score", pa.float64())])
+
+    def run(batches):
+        asked, matrix = shared.value
+        kept, kept_ids = np.zeros((len(asked), 0)), np.zeros((len(asked), 0), np.int64)
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(i, ROWS_AT_ONCE)
+                ids, vectors = part.column(0).to_numpy(), part.column(1)
+                block = vectors.flatten().to_numpy().astype(np.float64).reshape(len(ids), -1)
+                score = np.round(matrix @ block.T, 10)
+                score, every = np.concatenate([kept, score], axis=1), np.concatenate([kept_ids, np.broadcast_to(ids, score.shape)], axis=1)
+                order = np.stack([_best(score[j], every[j], k) for j in range(len(asked))])
+                kept, kept_ids = np.take_along_axis(score, order, 1), np.take_along_axis(every, order, 1)
+        width = kept.shape[1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, width)), pa.array(kept_ids.reshape(-1)), pa.array(kept.reshape(-1))], schema=schema)
+
+    found = corpus.where(F.col(c_vec).isNotNull()).select(F.col(c_id).cast("long"), c_vec)
+    scored = found.mapInArrow(run, "query_id long, match_id long, score double") if rows else queries.sparkSession.createDataFrame([], "query_id long, match_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "match_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

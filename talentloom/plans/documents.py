@@ -8,7 +8,7 @@ from talentloom.functions import dates as D
 from talentloom.functions import quality as Q
 from talentloom.functions import text as X
 from talentloom.operators import windows as W
-from talentloom.plans.registry import ORACLES, PROFILES_SQL, profiles, query, table
+from talentloom.plans.registry import PROFILES_SQL, profiles, query, table
 
 C = F.col
 QUALITY_SQL = f"""{PROFILES_SQL}, sig AS (SELECT *, CAST(matched AS DOUBLE) / 6 AS completeness, similarity AS ordering, reliability AS segmentation, CAST(nullified AS DOUBLE) / 20 AS noise, CAST(flags AS DOUBLE) / 10 AS weird FROM profiles),
@@ -280,19 +280,10 @@ def template_flags(spark, d):
     return table(spark, d, "documents").select("doc_id", F.concat_ws("|", flags).alias("flags"))
 
 
-@query("char_error_rate", "WITH p AS (SELECT item_id, substr(text, 1, 200) AS truth, replace(replace(substr(text, 1, 200), 'e', 'c'), 'th', 'h') AS said FROM benchmark) SELECT item_id, round(CAST(levenshtein(truth, said) AS DOUBLE) / greatest(length(truth), 1), 6) AS cer FROM p")
+@query("char_error_rate", "WITH p AS (SELECT item_id, text AS truth, replace(replace(text, 'e', 'c'), 'th', 'h') AS said FROM benchmark) SELECT item_id, round(CAST(levenshtein(truth, said) AS DOUBLE) / greatest(length(truth), 1), 6) AS cer FROM p")
 def char_error_rate(spark, d):
     from talentloom.operators.ocr import cer
 
-    said = F.replace(F.replace(F.substring("text", 1, 200), F.lit("e"), F.lit("c")), F.lit("th"), F.lit("h"))
-    return table(spark, d, "benchmark").select("item_id", F.round(cer(F.substring("text", 1, 200), said), 6).alias("cer"))
-
-
-@query("char_error_rate_whole", ORACLES["char_error_rate"].replace("substr(text, 1, 200)", "text"))
-def char_error_rate_whole(spark, d):
-    """char_error_rate over whole texts, not their first 200 characters."""
-    from talentloom.operators.ocr import cer
-
     said = F.replace(F.replace("text", F.lit("e"), F.lit("c")), F.lit("th"), F.lit("h"))
     return table(spark, d, "benchmark").select("item_id", F.round(cer(C("text"), said), 6).alias("cer"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from talentloom.functions.text import distinct_folded, distinct_folded_long
+from talentloom.functions.text import distinct_folded_long
 from talentloom.operators import resolve as R
 from talentloom.operators import windows as W
 from talentloom.plans.registry import PROFILES_SQL, profiles, query, table
@@ -162,14 +162,10 @@ def peer_best_value(spark, d):
     return profiles(spark, d).select("profile_id", R.peer_value(C("lang"), F.struct("reliability", "profile_id"), C("candidate_id")).alias("peer_lang"))
 
 
-@query("ordered_distinct", "WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(substr(text, 1, 120), '[ \\t\\n\\r]+'), lambda x: x <> '') AS w FROM documents) SELECT doc_id, array_to_string(list_filter(w, lambda x, i: list_position(list_transform(w, lambda y: lower(y)), lower(x)) = i), ' ') AS words FROM t")
+@query("ordered_distinct", r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: x <> '') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM t), k AS (SELECT doc_id, arg_min(w, p) AS w, min(p) AS p FROM w GROUP BY doc_id, lower(w)), j AS (SELECT doc_id, string_agg(w, ' ' ORDER BY p) AS words FROM k GROUP BY doc_id)
+SELECT t.doc_id, CASE WHEN t.ws IS NOT NULL THEN coalesce(words, '') END AS words FROM t LEFT JOIN j ON t.doc_id = j.doc_id""")
 def ordered_distinct(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(distinct_folded(F.split(F.substring("text", 1, 120), "[ \t\n\r]+")), " ").alias("words"))
-
-
-@query("ordered_distinct_whole")
-def ordered_distinct_whole(spark, d):
-    """ordered_distinct over whole texts, not their first 120 characters (its SQL would be quadratic)."""
     return table(spark, d, "documents").select("doc_id", F.array_join(distinct_folded_long(F.split("text", "[ \t\n\r]+")), " ").alias("words"))
 
 
@@ -181,10 +177,10 @@ def key_cascade_lookup(spark, d):
     return R.key_cascade(cards, "card", ["k1", "k2"], prof, "profile").select("card", "found_profile", "found_level")
 
 
-@query("upsert_by_key", "WITH o AS (SELECT doc_id, 1 AS created_at, 1 AS updated_at, quality FROM labels), n AS (SELECT doc_id, CAST(doc_id % 2 AS INT) AS quality FROM documents WHERE doc_id % 3 <> 0) SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, CASE WHEN n.doc_id IS NOT NULL THEN n.quality ELSE o.quality END AS quality, coalesce(o.created_at, 9) AS created_at, CASE WHEN n.doc_id IS NOT NULL THEN 9 ELSE o.updated_at END AS updated_at, CASE WHEN o.doc_id IS NULL THEN 'created' WHEN n.doc_id IS NULL THEN 'kept' ELSE 'updated' END AS action FROM o FULL JOIN n ON o.doc_id = n.doc_id")
+@query("upsert_by_key", "WITH o AS (SELECT doc_id, 1 AS created_at, 1 AS updated_at, quality FROM labels), n AS (SELECT doc_id, CAST(doc_id % 2 AS INT) AS quality FROM documents) SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, CASE WHEN n.doc_id IS NOT NULL THEN n.quality ELSE o.quality END AS quality, coalesce(o.created_at, 9) AS created_at, CASE WHEN n.doc_id IS NOT NULL THEN 9 ELSE o.updated_at END AS updated_at, CASE WHEN o.doc_id IS NULL THEN 'created' WHEN n.doc_id IS NULL THEN 'kept' ELSE 'updated' END AS action FROM o FULL JOIN n ON o.doc_id = n.doc_id")
 def upsert_by_key(spark, d):
     old = table(spark, d, "labels").select("doc_id", "quality", F.lit(1).alias("created_at"), F.lit(1).alias("updated_at"))
-    new = table(spark, d, "documents").where("doc_id % 3 <> 0").select("doc_id", (C("doc_id") % 2).cast("int").alias("quality"))
+    new = table(spark, d, "documents").select("doc_id", (C("doc_id") % 2).cast("int").alias("quality"))
     return R.upsert(old, new, "doc_id", F.lit(9))
 
 

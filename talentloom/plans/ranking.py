@@ -8,54 +8,34 @@ from pyspark.sql import functions as F
 from talentloom.functions.scoring import round4
 from talentloom.operators import metrics
 from talentloom.operators import windows as W
-from talentloom.operators.topk import dot, norm, search_width, top, vector_topk, vector_topk_blocks
-from talentloom.plans.registry import ORACLES, PROFILES_SQL, profiles, query, table
+from talentloom.operators.topk import dot, norm, search_width, top, vector_topk_blocks
+from talentloom.plans.registry import PROFILES_SQL, profiles, query, table
 from talentloom.plans.scores import LABELLED_SQL, SCORED_SQL, labelled, scored
 
 C = F.col
-N_QUERIES, K = 5, 10
+K = 10
 DOT = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
-VEC_SQL = f"""pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS match_id, {DOT} AS score FROM embeddings a, embeddings b WHERE a.vec_id < {N_QUERIES}),
+VEC_SQL = f"""pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS match_id, {DOT} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, match_id) AS rank FROM pairs)"""
 
 
 def neighbours(spark, d, k):
-    e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    return vector_topk(e.where(C("vec_id") < N_QUERIES), e, k, "vec_id", "embedding", "vec_id", "embedding")
-
-
-def neighbours_whole(spark, d, k):
     """Every row whose id is divisible by 20 against all rows, whatever the table's size."""
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
     return vector_topk_blocks(e.where(C("vec_id") % 20 == 0), e, k, "vec_id", "embedding", "vec_id", "embedding")
 
 
-def whole_sql(name):
-    return ORACLES[name].replace(f"a.vec_id < {N_QUERIES}", "a.vec_id % 20 = 0")
-
-
 @query("vec_topk_exact", f"WITH {VEC_SQL} SELECT query_id, match_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= {K}")
 def vec_topk_exact(spark, d):
     return neighbours(spark, d, K).select("query_id", "match_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("vec_topk_exact_whole", whole_sql("vec_topk_exact"))
-def vec_topk_exact_whole(spark, d):
-    return neighbours_whole(spark, d, K).select("query_id", "match_id", F.round("score", 6).alias("score"), "rank")
-
-
 @query("vec_search_width", f"WITH {VEC_SQL}, n AS (SELECT count(*) AS n FROM embeddings) SELECT query_id, match_id, rank FROM ranked, n WHERE rank <= least(greatest(5 * {K}, {K}, 20), n)")
 def vec_search_width(spark, d):
     width = search_width(K, table(spark, d, "embeddings").count())
     return neighbours(spark, d, width).select("query_id", "match_id", "rank")
 
 
-@query("vec_search_width_whole", whole_sql("vec_search_width"))
-def vec_search_width_whole(spark, d):
-    width = search_width(K, table(spark, d, "embeddings").count())
-    return neighbours_whole(spark, d, width).select("query_id", "match_id", "rank")
-
-
 @query("vec_unit_norm", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS length FROM embeddings")
 def vec_unit_norm(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(norm(C("embedding")), 6).alias("length"))
@@ -66,9 +46,9 @@ def vec_unit_norm(spark, d):
 best AS (SELECT *, row_number() OVER (PARTITION BY query_id, candidate_id ORDER BY total DESC, grounded DESC, match_id) AS rn FROM joined),
 topk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, grounded DESC, match_id) AS final_rank FROM best WHERE rn = 1)
 SELECT query_id, match_id, candidate_id, total, final_rank FROM topk WHERE final_rank <= 10""")
-def flagship_ranking(spark, d, search=neighbours):
+def flagship_ranking(spark, d):
     """Vector retrieval, must-have coverage, tiered penalty, best profile per entity, top-k per query."""
-    hits = search(spark, d, 50).drop("rank")
+    hits = neighbours(spark, d, 50).drop("rank")
     joined = hits.join(scored(spark, d), hits["match_id"] == C("profile_id"))
     total = round4(F.least(F.greatest(round4((C("score") + 1) / 2) * C("penalty"), F.lit(0.0)), F.lit(1.0)))
     order = [F.desc("total"), F.desc("grounded"), C("match_id")]
@@ -76,11 +56,6 @@ def flagship_ranking(spark, d, search=neighbours):
     return best.withColumn("final_rank", W.rank_by("query_id", order)).where("final_rank <= 10").select("query_id", "match_id", "candidate_id", "total", "final_rank")
 
 
-@query("flagship_ranking_whole", whole_sql("flagship_ranking"))
-def flagship_ranking_whole(spark, d):
-    return flagship_ranking(spark, d, neighbours_whole)
-
-
 @query("top_candidates", f"WITH {SCORED_SQL} SELECT profile_id, final_score, grounded FROM final ORDER BY final_score DESC, grounded DESC, profile_id LIMIT 20")
 def top_candidates(spark, d):
     return top(scored(spark, d), [F.desc("final_score"), F.desc("grounded"), C("profile_id")], 20).select("profile_id", "final_score", "grounded")
@@ -219,19 +194,14 @@ def roc_auc(spark, d):
 
 
 @query("vec_label_precision", f"WITH {VEC_SQL} SELECT query_id, round(sum(CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END) / 10, 6) AS precision_at_10 FROM ranked JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = match_id WHERE rank <= 10 GROUP BY query_id")
-def vec_label_precision(spark, d, search=neighbours):
+def vec_label_precision(spark, d):
     e = table(spark, d, "embeddings")
-    hits = search(spark, d, 10)
+    hits = neighbours(spark, d, 10)
     a, b = e.select(C("vec_id").alias("query_id"), C("label").alias("_a")), e.select(C("vec_id").alias("match_id"), C("label").alias("_b"))
     joined = hits.join(a, "query_id").join(b, "match_id")
     return joined.groupBy("query_id").agg(F.round(F.sum((C("_a") == C("_b")).cast("double")) / 10, 6).alias("precision_at_10"))
 
 
-@query("vec_label_precision_whole", whole_sql("vec_label_precision"))
-def vec_label_precision_whole(spark, d):
-    return vec_label_precision(spark, d, neighbours_whole)
-
-
 @query("dot_self_check", "SELECT vec_id, round(list_sum(list_transform(list_zip(embedding, embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 5) AS self FROM embeddings")
 def dot_self_check(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(dot(C("embedding"), C("embedding")), 5).alias("self"))

@@ -52,10 +52,11 @@ def failure_taxonomy(spark, d):
     return n.crossJoin(F.broadcast(total)).select("cause", "n", F.round(C("n") / C("_t"), 4).alias("share"))
 
 
-@query("union_by_job_counts", f"WITH {PROFILES_SQL}, u AS (SELECT job_id, profile_id, 'a' AS part FROM profiles WHERE profile_id % 2 = 0 UNION ALL SELECT job_id, profile_id, 'b' FROM profiles WHERE profile_id % 3 = 0) SELECT job_id, part, count(*) AS n FROM u GROUP BY 1, 2")
+@query("union_by_job_counts", f"WITH {PROFILES_SQL}, u AS (SELECT job_id, profile_id, 'all' AS part FROM profiles UNION ALL SELECT job_id, profile_id, 'labelled' FROM profiles WHERE profile_id IN (SELECT doc_id FROM labels)) SELECT job_id, part, count(*) AS n FROM u GROUP BY 1, 2")
 def union_by_job_counts(spark, d):
     p = profiles(spark, d).select("job_id", "profile_id")
-    u = p.where("profile_id % 2 = 0").withColumn("part", F.lit("a")).unionByName(p.where("profile_id % 3 = 0").withColumn("part", F.lit("b")))
+    labelled = p.join(table(spark, d, "labels").select(C("doc_id").alias("_l")), C("profile_id") == C("_l"), "left_semi")
+    u = p.withColumn("part", F.lit("all")).unionByName(labelled.withColumn("part", F.lit("labelled")))
     return u.groupBy("job_id", "part").agg(F.count("*").alias("n"))
 
 
@@ -99,23 +100,23 @@ def readiness_checks(spark, d):
     return one(docs, "documents", F.count("*") > 0).unionByName(one(strays, "labels_known", F.count("*") == 0)).unionByName(one(docs, "unique_ids", F.count("*") == F.count_distinct("doc_id")))
 
 
-@query("ocr_engine_summary", "WITH s AS (SELECT item_id, substr(text, 1, 200) AS t, e.engine, CASE e.engine WHEN 'a' THEN replace(substr(text, 1, 200), 'e', 'c') ELSE replace(substr(text, 1, 200), 'h', '') END AS said FROM benchmark, (VALUES ('a'), ('b')) e(engine)) SELECT engine, count(*) AS ok, round(avg(CAST(levenshtein(t, said) AS DOUBLE) / greatest(length(t), 1)), 6) AS mean_cer FROM s GROUP BY engine")
+def engine_samples(spark, d):
+    """Two made-up engines over whole texts; a text that is missing is a failure."""
+    engines = spark.createDataFrame([("a",), ("b",)], "engine string")  # two rows
+    said = F.when(C("engine") == "a", F.replace("text", F.lit("e"), F.lit("c"))).otherwise(F.replace("text", F.lit("h"), F.lit("")))
+    s = table(spark, d, "benchmark").join(F.broadcast(engines)).select("engine", F.when(C("text").isNull(), "failed").otherwise("success").alias("status"), "text", said.alias("said"))
+    return summarize(s.select("engine", "status", cer(C("text"), C("said")).alias("cer"), wer(C("text"), C("said")).alias("wer")))
+
+
+@query("ocr_engine_summary", "WITH s AS (SELECT item_id, text AS t, e.engine, CASE e.engine WHEN 'a' THEN replace(text, 'e', 'c') ELSE replace(text, 'h', '') END AS said FROM benchmark, (VALUES ('a'), ('b')) e(engine)) SELECT engine, count(t) AS ok, count(*) - count(t) AS failed, round(avg(CAST(levenshtein(t, said) AS DOUBLE) / greatest(length(t), 1)), 6) AS mean_cer FROM s GROUP BY engine")
 def ocr_engine_summary(spark, d):
-    engines = spark.createDataFrame([("a",), ("b",)], "engine string")
-    t = F.substring("text", 1, 200)
-    said = F.when(C("engine") == "a", F.replace(t, F.lit("e"), F.lit("c"))).otherwise(F.replace(t, F.lit("h"), F.lit("")))
-    s = table(spark, d, "benchmark").join(F.broadcast(engines)).select("engine", F.lit("success").alias("status"), cer(t, said).alias("cer"), F.lit(0.0).alias("wer"))
-    return summarize(s).select("engine", "ok", F.round("mean_cer", 6).alias("mean_cer"))
+    return engine_samples(spark, d).select("engine", "ok", "failed", F.round("mean_cer", 6).alias("mean_cer"))
 
 
 @query("ocr_engine_summary_whole")
 def ocr_engine_summary_whole(spark, d):
-    """ocr_engine_summary over whole texts, with word error rates (SQL has no edits on words)."""
-    engines = spark.createDataFrame([("a",), ("b",)], "engine string")
-    said = F.when(C("engine") == "a", F.replace("text", F.lit("e"), F.lit("c"))).otherwise(F.replace("text", F.lit("h"), F.lit("")))
-    s = table(spark, d, "benchmark").join(F.broadcast(engines)).select("engine", F.lit("success").alias("status"), "text", said.alias("said"))
-    s = s.select("engine", "status", cer(C("text"), C("said")).alias("cer"), wer(C("text"), C("said")).alias("wer"))
-    return summarize(s).select("engine", "ok", F.round("mean_cer", 6).alias("mean_cer"), F.round("mean_wer", 6).alias("mean_wer"))
+    """With word error rates (SQL has no edits on words)."""
+    return engine_samples(spark, d).select("engine", "ok", F.round("mean_cer", 6).alias("mean_cer"), F.round("mean_wer", 6).alias("mean_wer"))
 
 
 @query("ocr_best_variant", f"WITH {PROFILES_SQL} SELECT candidate_id, arg_max(profile_id, reliability * 1000000 + CAST(profile_id AS DOUBLE) / 1000000) AS variant FROM profiles GROUP BY candidate_id")
