@@ -5,7 +5,9 @@ A text is lower-cased, everything but letters becomes one space, and its byte
 mean over the whole text goes through a linear softmax. Embeddings and softmax are trained
 together by stochastic gradient descent in numpy on a bounded sample of labelled
 rows (``SAMPLE`` rows, dealt evenly over the languages); a fifth of it is held
-back to calibrate a temperature and the rejection threshold. Because the model is
+back to calibrate a temperature and the rejection threshold: smaller models, each fitted without one language, are tried on that
+language, and the threshold is the least one that refuses what they and the model itself get wrong, as far as right answers stay.
+Because the model is
 linear in the mean, embeddings and softmax fold into one table, and a text
 costs two look-ups a byte.
 
@@ -34,8 +36,10 @@ BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 DIM, EPOCHS, BATCH, RATE = 16, 8, 16, 0.5
 SAMPLE = 3000
-#: A right answer is kept in at least this share of the calibration rows, and never refused above REJECT_BELOW.
+#: Right answers are kept in at least this share of the calibration rows; REJECT_BELOW holds where there is nothing to refuse.
 KEEP_SHARE, REJECT_BELOW = 0.999, 0.5
+#: Of the fitted rows, how many each model without one language sees, and how often.
+FOREIGN_SHARE, FOREIGN_EPOCHS = 4, 4
 UND = "und"
 _OTHER = re.compile(r"[\W\d_]+")
 CHUNK = 1 << 18
@@ -88,14 +92,14 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def sgd(ids: list[np.ndarray], counts: list[np.ndarray], label: np.ndarray, n_labels: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def sgd(ids: list[np.ndarray], counts: list[np.ndarray], label: np.ndarray, n_labels: int, seed: int = 7, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
     """Embeddings (BUCKETS, DIM) and softmax weights (DIM, n_labels)."""
     rng = np.random.default_rng(seed)
     embedding = rng.normal(0, 1 / DIM, (BUCKETS, DIM))
     weights = rng.normal(0, 1 / DIM, (DIM, n_labels))
     share = [c / c.sum() for c in counts]
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         order = rng.permutation(len(label))
         for start in range(0, len(order), BATCH):
             rows = order[start : start + BATCH]
@@ -112,18 +116,47 @@ def sgd(ids: list[np.ndarray], counts: list[np.ndarray], label: np.ndarray, n_la
     return embedding, weights
 
 
-def calibrate(logits: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Scale of the logits with the least loss, and the rejection threshold."""
-    if not len(label):
-        return 1.0, REJECT_BELOW
-    scales = np.geomspace(0.1, 10, 81)
+def best_scale(logits: np.ndarray, label: np.ndarray) -> float:
+    """Scale of the logits with the least loss."""
     rows = np.arange(len(label))
+    scales = np.geomspace(0.1, 10, 81)
     loss = [-np.log(np.maximum(softmax(logits * s)[rows, label], 1e-12)).mean() for s in scales]
-    scale = float(scales[int(np.argmin(loss))])
+    return float(scales[int(np.argmin(loss))])
+
+
+def calibrate(logits: np.ndarray, label: np.ndarray, foreign: np.ndarray) -> tuple[float, float]:
+    """Scale of the logits, and the rejection threshold. foreign: scores that texts of unknown languages got."""
+    if not len(label):
+        return 1.0, REJECT_BELOW
+    scale = best_scale(logits, label)
     p = softmax(logits * scale)
-    right = p.max(axis=1)[p.argmax(axis=1) == label]
-    floor = float(np.quantile(right, 1 - KEEP_SHARE)) if len(right) else REJECT_BELOW
-    return scale, min(REJECT_BELOW, floor)
+    good = p.argmax(axis=1) == label
+    right, wrong = p.max(axis=1)[good], p.max(axis=1)[~good]
+    most = float(np.quantile(right, 1 - KEEP_SHARE, method="lower")) if len(right) else REJECT_BELOW
+    bad = np.concatenate([wrong, foreign])
+    bad = bad[bad < most]
+    return scale, float(np.nextafter(bad.max(), 1.0)) if len(bad) else min(REJECT_BELOW, most)
+
+
+def _logits(folded: np.ndarray, ids: list[np.ndarray], n: list[np.ndarray]) -> np.ndarray:
+    return np.array([(folded[i] * k[:, None]).sum(axis=0) / k.sum() for i, k in zip(ids, n, strict=True)]).reshape(-1, folded.shape[1])
+
+
+def foreign_scores(ids: list[np.ndarray], n: list[np.ndarray], label: np.ndarray, fit: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """The scores that held-back rows get from models fitted without their language."""
+    out = [np.zeros(0)]
+    for language in range(int(label.max()) + 1):
+        some = fit[::FOREIGN_SHARE]
+        some = some[label[some] != language]
+        known = np.unique(label[some])
+        strange, usual = held[label[held] == language], held[np.isin(label[held], known)]
+        if len(known) < 2 or not len(strange) or not len(usual):
+            continue
+        embedding, weights = sgd([ids[i] for i in some], [n[i] for i in some], np.searchsorted(known, label[some]), len(known), epochs=FOREIGN_EPOCHS)
+        folded = embedding @ weights
+        scale = best_scale(_logits(folded, [ids[i] for i in usual], [n[i] for i in usual]), np.searchsorted(known, label[usual]))
+        out.append(softmax(scale * _logits(folded, [ids[i] for i in strange], [n[i] for i in strange])).max(axis=1))
+    return np.concatenate(out)
 
 
 def train(docs: DataFrame, column: str = "text", lang: str = "lang", sample: int = SAMPLE, key: str = "doc_id") -> Model:
@@ -158,8 +191,8 @@ def train(docs: DataFrame, column: str = "text", lang: str = "lang", sample: int
     fit, held = np.flatnonzero(~back), np.flatnonzero(back)
     embedding, weights = sgd([ids[i] for i in fit], [n[i] for i in fit], label[fit], len(languages))
     folded = embedding @ weights
-    logits = np.array([(folded[ids[i]] * n[i][:, None]).sum(axis=0) / n[i].sum() for i in held]).reshape(-1, len(languages))
-    scale, threshold = calibrate(logits, label[held])
+    logits = _logits(folded, [ids[i] for i in held], [n[i] for i in held])
+    scale, threshold = calibrate(logits, label[held], foreign_scores(ids, n, label, fit, held))
     return Model(languages, folded * scale, threshold)
 
 

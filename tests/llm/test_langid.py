@@ -56,3 +56,55 @@ def test_clashing_columns(labelled):
 
 def test_signs_that_are_no_letters():
     assert [L.letters(x) for x in ("½ ²³ Ⅷ", "\u0301", "12_3", "ª½", "Æ1")] == ["", "", "", "ª½", "æ"]
+
+
+def test_foreign_text_is_rejected_and_known_text_kept(spark, labelled):
+    df, _, _ = labelled
+    model = L.train(df)
+    rng = random.Random(5)
+    words = ["привет", "мир", "καλημέρα", "κόσμε", "zzyzx", "qwlth", "ommw"]
+    strange = [(i, " ".join(rng.choice(words) for _ in range(20))) for i in range(60)]
+    known = [(100 + i, " ".join(rng.choice(STEMS[x]) for _ in range(20))) for i, x in enumerate(list(STEMS) * 40)]
+    out = {r["doc_id"]: r["accepted"] for r in L.predict(spark.createDataFrame(strange + known, "doc_id long, text string"), model).collect()}
+    assert sum(out[i] for i, _ in strange) <= 6 and sum(out[i] for i, _ in known) >= 118
+
+
+def test_threshold_by_hand():
+    import numpy as np
+
+    logits = np.array([[4.0, 0.0], [3.0, 0.0], [0.0, 5.0], [0.2, 0.0]])
+    scale, low = L.calibrate(logits, np.array([0, 0, 1, 0]), np.array([]))
+    right = L.softmax(logits * scale).max(axis=1)
+    assert low == min(0.5, right.min())  # nothing to refuse
+    _, mid = L.calibrate(logits, np.array([0, 0, 1, 1]), np.array([0.6, 0.7, 0.9999999]))
+    assert 0.7 < mid < 0.9999999  # above what can be refused, below the right answers
+    assert L.calibrate(np.zeros((0, 2)), np.zeros(0, int), np.zeros(0)) == (1.0, 0.5)
+
+
+def plain_features(text):
+    """Bucket ids of one text by plain arithmetic."""
+    raw = b" " + text.encode() + b" \0\0\0"
+    out = []
+    for i in range(len(raw) - 3):
+        three = raw[i] | raw[i + 1] << 8 | raw[i + 2] << 16
+        four = three | raw[i + 3] << 24
+        m = 2**32
+        out.append((((three * 0x9E3779B1 % m) ^ (three >> 15)) * 0x85EBCA77 % m) >> (32 - L.BUCKET_BITS))
+        out.append((((four * 0xC2B2AE3D % m) ^ (four >> 13)) * 0x27D4EB2F % m) >> (32 - L.BUCKET_BITS))
+    return out
+
+
+def test_predictions_match_a_plain_model(spark, labelled):
+    import math
+
+    df, _, rows = labelled
+    model = L.train(df)
+    got = {r["doc_id"]: r for r in L.predict(df, model).collect()}
+    for i, (_, text, _) in list(rows.items())[:60]:
+        if not (t := L.letters(text)):
+            continue
+        f = plain_features(t)
+        logits = [sum(float(model.table[b, k]) for b in f) / len(f) for k in range(len(model.languages))]
+        p = [math.exp(x - max(logits)) for x in logits]
+        best = max(range(len(p)), key=lambda k: p[k])
+        assert got[i]["lang_pred"] == model.languages[best] and abs(got[i]["score"] - p[best] / sum(p)) < 1e-4
