@@ -7,8 +7,11 @@ shard. Each shard is a BK-tree: children hang under their parent by integer
 Hamming distance, and a search follows only edges within the radius. The trees
 of all shards of a task are built and searched together, level by level.
 
+A shard of more than ``LARGE`` fingerprints is split again: its members agree on the shard's bits and differ in at most
+``RADIUS`` others, so of ``RADIUS`` + 1 sets of the other bits they agree on one.
+
 Shard trees are not broadcast: their total size grows with the corpus, so no
-bound can be proven. They meet their queries through one shuffle of
+bound can be proven, and a broadcast would take all fingerprints through the driver. They meet their queries through one shuffle of
 fingerprints (never texts). Equal fingerprints are merged before, and a shard
 gives a spanning forest of its links, not its pairs.
 
@@ -36,6 +39,9 @@ RADIUS, SHINGLE, SEED = 4, 4, 42
 NO_ID = 2**63 - 1
 _LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 FRONTIER = 1 << 20
+#: Fingerprints of a shard beyond which it is split, up to SPLITS times.
+LARGE, SPLITS = 1 << 15, 3
+BROADCAST_SHARDS = 1 << 16
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -148,11 +154,27 @@ def _masks(radius: int, same: int) -> list[int]:
     return [x - (1 << 64) if x >= 1 << 63 else x for x in out]
 
 
+def split(rows: DataFrame, level: int, radius: int) -> DataFrame:
+    """rows (shard, used: the bits on which a shard agrees, _fp, _id) in the smaller shards of radius + 1 sets of the other bits each."""
+    n = radius + 1
+    sets = [sum(1 << j for j in range(64) if j // n**level % n == i) for i in range(n)]
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m - (1 << 64) if m >> 63 else m).alias("bits")) for i, m in enumerate(sets)]))
+    deeper = rows.select("*", each.alias("m")).withColumn("_bits", F.col("m.bits").bitwiseAND(F.bitwise_not("used")))
+    return deeper.select(F.xxhash64("shard", "m.i", F.col("_fp").bitwiseAND(F.col("_bits"))).alias("shard"), F.col("used").bitwiseOR(F.col("_bits")).alias("used"), "_fp", "_id")
+
+
 def links(nodes: DataFrame, radius: int = RADIUS, same: int = 2) -> DataFrame:
     """Links between distinct fingerprints (_fp, _id): (src, dst) ids, a spanning forest of each shard."""
     masks = F.array(*[F.struct(F.lit(i).alias("pick"), F.lit(m).alias("mask")) for i, m in enumerate(_masks(radius, same))])
-    rows = nodes.select("_fp", "_id", F.explode(masks).alias("m")).select(F.xxhash64(F.col("m.pick"), F.col("_fp").bitwiseAND(F.col("m.mask"))).alias("shard"), "_fp", "_id")
-    sharded = rows.repartition("shard").sortWithinPartitions("shard")
+    rows = nodes.select("_fp", "_id", F.explode(masks).alias("m")).select(F.xxhash64(F.col("m.pick"), F.col("_fp").bitwiseAND(F.col("m.mask"))).alias("shard"), F.col("m.mask").alias("used"), "_fp", "_id")
+    for level in range(SPLITS):
+        large = rows.groupBy("shard").agg(F.count("*").alias("_n")).where(F.col("_n") > LARGE).select(F.col("shard").alias("_large"))
+        large = materialize(large, "large_shards")
+        if not (n := large.count()):
+            break
+        told = rows.join(F.broadcast(large) if n <= BROADCAST_SHARDS else large, F.col("shard") == F.col("_large"), "left")
+        rows = materialize(told.where("_large is null").drop("_large").unionByName(split(told.where("_large is not null").drop("_large"), level, radius)), "shard_rows")
+    sharded = rows.select("shard", "_fp", "_id").repartition("shard").sortWithinPartitions("shard")
 
     def solve(shard, fp, ident):
         _, at, size = np.unique(shard, return_inverse=True, return_counts=True)

@@ -2,6 +2,7 @@ import numpy as np
 import xxhash
 
 from talentloom.llm import simhash as S
+from talentloom.llm.components import connected_components
 
 
 def plain(text):
@@ -84,3 +85,37 @@ def test_near_dedup_keeps_unrelated_texts_under_null_and_repeated_ids(spark):
 
 def test_empty_table(empty):
     assert S.near_dedup(empty).collect() == []
+
+
+def test_large_shards_are_split_without_losing_links(spark, monkeypatch):
+    """Fingerprints that agree on two fields, far more than a shard may hold, among others."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 150, dtype=np.uint64)
+    base[:110] = (base[:110] >> np.uint64(22) << np.uint64(22)) | np.uint64(0x2ABCDE)
+    noise = np.zeros((4, 150), np.uint64)
+    for _ in range(2):
+        noise ^= np.uint64(1) << rng.integers(0, 64, (4, 150), dtype=np.uint64)
+    fps = np.unique(np.concatenate([base, (base ^ noise).reshape(-1)]))
+    nodes = spark.createDataFrame([(int(x), k) for k, x in enumerate(fps.view(np.int64))], "_fp long, _id long")
+    want = brute([int(x) for x in fps])
+    monkeypatch.setattr(S, "LARGE", 20)
+    label = {r["node"]: r["component"] for r in connected_components(S.links(nodes)).collect()}
+    assert [label.get(i, i) for i in range(len(fps))] == want
+
+
+def test_split_keeps_every_link_together(spark):
+    """Two fingerprints of one shard that differ in 4 bits meet in some smaller shard at every level."""
+    rng = np.random.default_rng(9)
+    used = 0x3FFFFF
+    rows = []
+    for k in range(40):
+        a = int(rng.integers(0, 2**63))
+        b = a
+        for j in rng.choice(np.arange(22, 64), 4, replace=False):
+            b ^= 1 << int(j)
+        rows += [(k, used, int(np.uint64(x).view(np.int64)), k) for x in (a, b)]
+    df = spark.createDataFrame(rows, "shard long, used long, _fp long, _id long")
+    for level in range(S.SPLITS):
+        df = S.split(df, level, S.RADIUS)
+        met = {r["_id"] for r in df.groupBy("shard", "_id").count().where("count = 2").collect()}
+        assert met == set(range(40))
