@@ -47,7 +47,7 @@ REPEATS, EACH, SAMPLED = 64, 125, 2
 ITEMS_A_BLOCK, BYTES_A_BLOCK = 1 << 14, 8 << 20
 CHUNK = 1 << 20
 #: Words and walks of the windows that are embedded at once.
-AT_ONCE = 1 << 22
+AT_ONCE = 1 << 19
 U = textnp.U
 #: Word bytes as themselves, everything else as a space (texts are lower-cased before).
 _BYTES = np.full(256, 0x20, np.uint8)
@@ -162,12 +162,14 @@ class _Table:
     def __init__(self, key: np.ndarray, *columns: np.ndarray) -> None:
         order = np.argsort(key, kind="stable")
         self.key, self.columns = key[order], [c[order] for c in columns]
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[(self.key >> U(44)).astype(np.int64)] = True
+        # flags of first bits, about eight for each key: small tables stay small
+        self.shift = U(64 - min(20, 3 + len(key).bit_length()))
+        self.seen = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.seen[(self.key >> self.shift).astype(np.int64)] = True
 
     def join(self, key: np.ndarray) -> tuple[np.ndarray, ...]:
         """(place in key, the columns) of all pairs of equal keys."""
-        hit = np.flatnonzero(self.seen[(key >> U(44)).astype(np.int64)])
+        hit = np.flatnonzero(self.seen[(key >> self.shift).astype(np.int64)])
         low = np.searchsorted(self.key, key[hit])
         n = np.searchsorted(self.key, key[hit], side="right") - low
         at = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
