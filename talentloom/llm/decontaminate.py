@@ -76,7 +76,8 @@ def places_of(words: int, repeats: int, sampled: int = SAMPLED) -> np.ndarray:
 def cgk(words: np.ndarray, places: np.ndarray) -> np.ndarray:
     """The sampled places of the walks of windows (rows of word hashes), a walk for each column of places: (places, rows, walks)."""
     n, w = words.shape
-    padded = np.concatenate([words, np.zeros((n, 1), np.uint64)], axis=1).reshape(-1)
+    # behind the end stands a mark of the last word, so that two ends alone are no likeness
+    padded = np.concatenate([words, textnp.mix(words[:, -1:])], axis=1).reshape(-1)
     base = (np.arange(n) * (w + 1))[:, None]
     walks = places.shape[1]
     at = np.zeros((n, walks), np.int64)

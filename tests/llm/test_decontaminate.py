@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 
 from talentloom.llm import decontaminate as D
+from talentloom.llm import textnp
 from tests.llm.conftest import prose
 
 
@@ -104,7 +105,7 @@ def test_walk_against_a_plain_one():
     for walk in range(2):
         at, seen = 0, []
         for j in range(21):
-            here = int(words[at]) if at < 12 else 0
+            here = int(words[at]) if at < 12 else int(textnp.mix(words[-1:])[0])
             seen.append(here)
             salt = (0x9E3779B97F4A7C15 * (walk + 1) + j) % 2**64
             at = min(at + ((((here ^ salt) * 0xD6E8FEB86659FD93) % 2**64) >> 63), 12)
