@@ -69,8 +69,13 @@ def repeats_for(words: int) -> int:
 
 
 def places_of(words: int, repeats: int, sampled: int = SAMPLED) -> np.ndarray:
-    """The places sampled of each repeat's walk over windows of this size: (sampled, repeats)."""
-    return np.random.default_rng([repeats, words]).integers(0, walk_steps(words), (sampled, repeats))
+    """The places sampled of each repeat's walk over windows of this size: (sampled, repeats).
+
+    Those of one repeat lie a quarter of the walk apart or more, so that a single shared piece does not fill them.
+    """
+    rng, steps = np.random.default_rng([repeats, words]), walk_steps(words)
+    apart = np.arange(sampled)[:, None] * max(1, steps // (2 * sampled)) + np.sort(rng.integers(0, max(1, steps // 2), (sampled, repeats)), axis=0)
+    return (apart + rng.integers(0, steps, repeats)) % steps
 
 
 def cgk(words: np.ndarray, places: np.ndarray) -> np.ndarray:
