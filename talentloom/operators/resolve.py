@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talentloom.functions.text import stable_id
 
+# small helpers travel with the tasks, so that workers need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 CONFIDENCE = {"real_email": 0.98, "real_phone": 0.95, "linkedin_url": 0.99, "github_url": 0.99}
 
 

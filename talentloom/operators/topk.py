@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import sys
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_QUERY_ROWS, ROWS_AT_ONCE = 1000, 2048
+# small helpers travel with the tasks, so that workers need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def dot(a: Column, b: Column) -> Column:
