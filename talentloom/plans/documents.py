@@ -122,10 +122,12 @@ def routing(spark, d):
     return r.select("doc", "pages", "chars", "words", "r.route", F.element_at("r.reasons", -1).alias("reason"))
 
 
-@query("order_coherence", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 1.0 WHEN 2 THEN round(4.0 / 6, 6) ELSE 0.0 END AS coherence FROM documents")
+@query("order_coherence", r"""WITH l AS (SELECT page_id, list_transform(regexp_split_to_array(url, '[/?&=.]'), lambda x: length(x)) AS p FROM pages WHERE url IS NOT NULL), n AS (SELECT page_id, p, len(p) AS n, list_sum(list_transform(range(1, len(p) + 1), lambda i: len(list_filter(p[i + 1:], lambda y: y < p[i])))) AS inv FROM l)
+SELECT page_id, round(CASE WHEN n = 1 THEN 1.0 ELSE 1 - inv / (n * (n - 1) / 2) END, 6) AS coherence FROM n""")
 def order_coherence(spark, d):
-    case = F.element_at(F.array(*[F.array(*[F.lit(x) for x in xs]).cast("array<int>") for xs in ([], [3], [0, 2, 3, 1], [2, 1, 0])]), (C("doc_id") % 4 + 1).cast("int"))
-    return table(spark, d, "documents").select("doc_id", F.round(W.order_coherence(case), 6).alias("coherence"))
+    """Lengths of an address' parts as positions."""
+    parts = F.transform(F.split("url", "[/?&=.]"), F.char_length)
+    return table(spark, d, "pages").where("url IS NOT NULL").select("page_id", F.round(W.order_coherence(parts), 6).alias("coherence"))
 
 
 @query("normalised_quality", f"WITH {PROFILES_SQL} SELECT profile_id, round(least(greatest(1 - 0.15 * flags - 0.10 * (6 - required) - CASE WHEN chars < 400 THEN 0.20 ELSE 0.0 END, 0.0), 1.0) + 1e-9, 4) AS score FROM profiles")
@@ -144,9 +146,9 @@ def alnum_keys(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(X.alnum_key(C("text"), "-")).alias("k"))
 
 
-@query("skill_normalise", "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Node.js' WHEN 1 THEN 'FastAPI' WHEN 2 THEN 'PowerBI' WHEN 3 THEN 'C++' WHEN 4 THEN 'SQL' ELSE 'Data Mesh' END AS skill FROM part")
+@query("skill_normalise", "SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: CASE WHEN length(w) <= 3 THEN upper(w) ELSE upper(w[1]) || w[2:] END), ' ') AS skill FROM part")
 def skill_normalise(spark, d):
-    raw = F.element_at(F.array(*[F.lit(x) for x in ("Node.js", "fast-api", "power_bi", "c++", "sql", " data  MESH ")]), (C("p_partkey") % 6 + 1).cast("int"))
+    raw = F.concat(F.lit(" "), F.replace(F.upper("p_name"), F.lit(" "), F.lit("  ")))
     return table(spark, d, "part").select("p_partkey", X.normal_skill(raw).alias("skill"))
 
 
@@ -224,18 +226,20 @@ def domain_by_count(spark, d):
     return table(spark, d, "documents").select("doc_id", F.when(n("tion") >= n("the"), "abstract").otherwise("plain").alias("domain"))
 
 
-@query("top_n_request", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 5 WHEN 1 THEN 10 ELSE 3 END AS top_k FROM documents")
+@query("top_n_request", r"SELECT conv_id, turn, CAST(coalesce(least(greatest(CASE WHEN text IS NOT NULL THEN coalesce(TRY_CAST(nullif(regexp_extract(lower(text), '\btop\s*(\d+)\b', 1), '') AS INTEGER), turn) END, 1), 10), 3) AS INTEGER) AS top_k FROM conversations")
 def top_n_request(spark, d):
-    message = F.element_at(F.array(F.lit("Give me the top 5"), F.lit("TOP 40 please"), F.lit("no number")), (C("doc_id") % 3 + 1).cast("int"))
+    """Every message asks, at its end, for as many as its turn says."""
+    message = F.concat("text", F.lit("\nGive me the Top "), C("turn").cast("string"))
     n = F.nullif(F.regexp_extract(F.lower(message), r"\btop\s*(\d+)\b", 1), F.lit("")).cast("int")
-    return table(spark, d, "documents").select("doc_id", F.when(n.isNull(), 3).otherwise(F.least(F.greatest(n, F.lit(1)), F.lit(10))).alias("top_k"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.when(n.isNull(), 3).otherwise(F.least(F.greatest(n, F.lit(1)), F.lit(10))).alias("top_k"))
 
 
-@query("experience_phrases", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 5.0 WHEN 1 THEN 4.0 WHEN 2 THEN 10.0 WHEN 3 THEN 2.0 END AS years, CASE doc_id % 5 WHEN 0 THEN 'mid_level' WHEN 1 THEN 'mid_level' WHEN 2 THEN 'senior' WHEN 3 THEN 'mid_level' END AS level FROM documents")
+@query("experience_phrases", "SELECT p_partkey, CAST(p_size AS DOUBLE) AS years, CAST(p_size AS DOUBLE) + 1.5 AS mean_years, CASE WHEN p_size < 2 THEN 'junior' WHEN p_size <= 5 THEN 'mid_level' ELSE 'senior' END AS level FROM part")
 def experience_phrases(spark, d):
-    raw = F.element_at(F.array(*[F.lit(x) for x in ("5+", "3-5", "10 ans", "2020 - 2022", "present")]), (C("doc_id") % 5 + 1).cast("int"))
-    years = D.experience_value(raw)
-    return table(spark, d, "documents").select("doc_id", years.alias("years"), D.level_of_years(years).alias("level"))
+    size = lambda more: (C("p_size") + more).cast("string")
+    years = D.experience_value(F.concat(size(0), F.lit(" ans")))
+    mean = D.experience_value(F.concat(size(0), F.lit("-"), size(3), F.lit(" years")))
+    return table(spark, d, "part").select("p_partkey", years.alias("years"), mean.alias("mean_years"), D.level_of_years(years).alias("level"))
 
 
 @query("years_buckets", f"WITH {PROFILES_SQL} SELECT CASE WHEN required_years IS NULL THEN 'unknown' WHEN required_years < 1 THEN '0-1' WHEN required_years < 3 THEN '1-3' WHEN required_years < 5 THEN '3-5' WHEN required_years < 8 THEN '5-8' ELSE '8+' END AS bucket, count(*) AS n FROM profiles GROUP BY 1")
@@ -243,10 +247,10 @@ def years_buckets(spark, d):
     return profiles(spark, d).groupBy(D.years_bucket(C("required_years")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query("month_tokens", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 2020 * 12 + 3 WHEN 1 THEN 2019 * 12 + 12 WHEN 2 THEN 2026 * 12 + 12 END AS month FROM documents")
+@query("month_tokens", "SELECT o_orderkey, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INTEGER) AS month, CAST(year(o_orderdate) * 12 + 12 AS INTEGER) AS last_month FROM orders")
 def month_tokens(spark, d):
-    raw = F.element_at(F.array(*[F.lit(x) for x in ("03/2020", "2019", "Present", "soon")]), (C("doc_id") % 4 + 1).cast("int"))
-    return table(spark, d, "documents").select("doc_id", D.month_index(raw, True, 2026).alias("month"))
+    month, last = (D.month_index(F.date_format("o_orderdate", p), True, 2026) for p in ("MM/yyyy", "yyyy"))
+    return table(spark, d, "orders").select("o_orderkey", month.alias("month"), last.alias("last_month"))
 
 
 @query("field_support", r"""WITH f AS (SELECT doc_id, text, substr(text, 1, 20) AS v FROM documents), g AS (SELECT *, regexp_replace(lower(v), '[^a-z0-9]+', '', 'g') AS cv, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS ct, list_distinct(list_filter(regexp_extract_all(lower(v), '[a-z0-9][a-z0-9+.#/@-]*'), lambda t: length(t) > 1 AND t NOT IN ('and', 'the', 'with', 'for', 'from'))) AS w FROM f)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from talentloom.functions import repair
@@ -40,14 +41,18 @@ def address_repair(spark, d):
     return table(spark, d, "documents").select("doc_id", repair.repair_addresses(pick(["mail a . b @ x . org now", "see https : / / x.org / a"])).alias("fixed"))
 
 
-@query("spaced_letters", "SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'SKILLS here' ELSE 'a b' END AS fixed FROM documents")
+@query("spaced_letters", r"WITH t AS (SELECT p_partkey, replace(p_name, ' ', '') AS w FROM part) SELECT p_partkey, CASE WHEN length(w) BETWEEN 3 AND 16 THEN w ELSE trim(regexp_replace(w, '(.)', '\1 ', 'g')) END AS fixed FROM t")
 def spaced_letters(spark, d):
-    return table(spark, d, "documents").select("doc_id", repair.join_spaced(pick(["S K I L L S here", "a b"])).alias("fixed"))
+    spaced = F.trim(F.regexp_replace(F.replace("p_name", F.lit(" "), F.lit("")), "(.)", "$1 "))
+    return table(spark, d, "part").select("p_partkey", repair.join_spaced(spaced).alias("fixed"))
 
 
-@query("mojibake_repair", "SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'café' ELSE 'plain' END AS fixed FROM documents")
+@query("mojibake_repair", r"WITH t AS (SELECT doc_id, text, regexp_matches(text, '[\x{80}-\x{ff}]') OR NOT regexp_matches(text, '[^\x00-\x7f]') AS restored FROM documents) SELECT doc_id, restored, CASE WHEN restored THEN md5(text) END AS fixed FROM t")
 def mojibake_repair(spark, d):
-    return table(spark, d, "documents").select("doc_id", repair.mojibake(pick(["cafÃ©", "plain"])).alias("fixed"))
+    """Whole texts read as Latin-1 by mistake come back, where a sign of that mistake is in them."""
+    fixed = repair.mojibake(F.decode(F.encode("text", "UTF-8"), "ISO-8859-1"))
+    rows = table(spark, d, "documents").select("doc_id", "text", fixed.alias("fixed")).withColumn("restored", C("fixed") == C("text"))
+    return rows.select("doc_id", "restored", F.when(C("restored"), F.md5("fixed")).alias("fixed"))
 
 
 @query("glued_text", "SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'data Science 101 x, y. z' ELSE 'a/b & c' END AS fixed FROM documents")
@@ -55,15 +60,23 @@ def glued_text(spark, d):
     return table(spark, d, "documents").select("doc_id", repair.glued(pick(["dataScience101x,y.z", "a / b&c"])).alias("fixed"))
 
 
-@query("line_cleaning", "SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'Title' || chr(10) || chr(10) || 'text here' ELSE 'kept line' END AS cleaned FROM documents")
+@query("line_cleaning", r"""WITH s AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda s: trim(regexp_replace(s, '[ \t\n\r\f\x0B]+', ' ', 'g'))) AS ls FROM documents),
+k AS (SELECT doc_id, array_to_string(list_filter(ls, lambda s: NOT (s <> '' AND (regexp_matches(regexp_replace(s, '^[#*\- ]+|[#*\- ]+$', '', 'g'), '(?i)^(<!-- *image *-->|image|page +[0-9]+|blank|copyright|usage guidelines)$') OR length(regexp_replace(s, '^[#*\- ]+|[#*\- ]+$', '', 'g')) <= 2
+ OR (length(regexp_replace(s, '^[#*\- ]+|[#*\- ]+$', '', 'g')) <= 20 AND regexp_matches(regexp_replace(s, '^[#*\- ]+|[#*\- ]+$', '', 'g'), '^[^A-Za-z]+$'))))), chr(10)) AS t FROM s)
+SELECT doc_id, md5(regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g')) AS cleaned FROM k""")
 def line_cleaning(spark, d):
-    return table(spark, d, "documents").select("doc_id", repair.clean_lines(pick(["Title\n\n\n\nPage 3\n text   here \n--", "image\nkept line\n12/34"])).alias("cleaned"))
+    return table(spark, d, "documents").select("doc_id", F.md5(repair.clean_lines(C("text"))).alias("cleaned"))
 
 
-@query("summary_support", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'supported' WHEN 1 THEN 'weakly_supported' ELSE 'unsupported' END AS support FROM documents")
+@query("summary_support", r"""WITH s AS (SELECT conv_id, turn, text AS v, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, text NULLS FIRST) AS src FROM conversations),
+w AS (SELECT *, list_distinct(list_filter(regexp_extract_all(lower(v), '[a-z0-9][a-z0-9+.#/@-]*'), lambda t: length(t) > 3 AND t NOT IN (%s))) AS ws, regexp_replace(lower(v), '[^a-z0-9]+', '', 'g') AS cv, regexp_replace(lower(src), '[^a-z0-9]+', '', 'g') AS cs FROM s),
+c AS (SELECT *, len(ws) AS n, len(list_filter(ws, lambda t: contains(lower(src), t))) / greatest(len(ws), 1) AS share FROM w)
+SELECT conv_id, turn, CASE WHEN v IS NULL OR trim(v) = '' THEN 'missing' WHEN cv <> '' AND contains(cs, cv) THEN 'supported' WHEN n = 0 THEN 'unsupported' WHEN share >= 0.6 THEN 'supported' WHEN share >= 0.4 THEN 'weakly_supported' ELSE 'unsupported' END AS support FROM c""" % ", ".join(f"'{w}'" for w in grounding.STOPWORDS))
 def summary_support(spark, d):
-    source = F.lit("engineer who designs pipelines and tests services")
-    return table(spark, d, "documents").select("doc_id", grounding.summary_support(pick(["Designs pipelines, tests!", "designs pipelines quickly alone mostly", "bakes bread"]), source).alias("support"))
+    """Each message as a claim, the message before it as its source."""
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn", "text"))
+    said = table(spark, d, "conversations").select("conv_id", "turn", "text", before.alias("src"))
+    return said.select("conv_id", "turn", grounding.summary_support(C("text"), C("src")).alias("support"))
 
 
 @query("list_support", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'supported' WHEN 1 THEN 'weakly_supported' ELSE 'missing' END AS support FROM documents")
@@ -105,10 +118,15 @@ def bbox_normalise(spark, d):
     return profiles(spark, d).select("profile_id", b["left"].alias("left_x"), b["right"].alias("right_x"))
 
 
-@query("casefold_intersection", "SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'sql' ELSE '' END AS shared FROM documents")
+@query("casefold_intersection", r"""WITH s AS (SELECT conv_id, turn, regexp_split_to_array(lower(text), '[ \t\n\r\f\x0B]+') AS a, lag(regexp_split_to_array(lower(text), '[ \t\n\r\f\x0B]+')) OVER (PARTITION BY conv_id ORDER BY turn, text NULLS FIRST) AS b FROM conversations)
+SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(a, lambda x: x <> '' AND list_contains(b, x)))), '|') AS shared FROM s""")
 def casefold_intersection(spark, d):
-    fold = lambda x: F.transform(F.split(x, ","), lambda s: F.lower(F.trim(s)))
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_intersect(fold(pick([" SQL ,a", "b,c"])), fold(F.lit("sql,Python"))), "|").alias("shared"))
+    """Words that a message shares with the one before it, whatever their case."""
+    words = F.split(F.lower("text"), r"\s+")
+    before = F.lag(words).over(Window.partitionBy("conv_id").orderBy("turn", "text"))
+    said = table(spark, d, "conversations").select("conv_id", "turn", words.alias("a"), before.alias("b"))
+    shared = F.array_sort(F.array_remove(F.array_intersect("a", F.coalesce("b", F.array().cast("array<string>"))), ""))
+    return said.select("conv_id", "turn", F.array_join(shared, "|").alias("shared"))
 
 
 @query("sigmoid_scores", f"WITH {PROFILES_SQL} SELECT profile_id, round(1 / (1 + exp(-(reliability * 4 - 2))), 6) AS p FROM profiles")

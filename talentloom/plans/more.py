@@ -24,9 +24,11 @@ def line_shapes(spark, d):
     return docs(spark, d).select("doc_id", L.line_shape(raw).alias("shape"))
 
 
-@query("date_phrases", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Jan 2019 - Mar 2020' WHEN 1 THEN '03/2019 to present' WHEN 2 THEN '2015' END AS phrase FROM documents")
+@query("date_phrases", "SELECT o_orderkey, strftime(o_orderdate, '%b %Y') || ' to ' || strftime(o_orderdate, '%m/%Y') AS phrase, strftime(o_orderdate, '%Y') AS single FROM orders")
 def date_phrases(spark, d):
-    return docs(spark, d).select("doc_id", L.date_phrase(pick(["Acme, Jan 2019 - Mar 2020 Tunis", "from 03/2019 to present", "class of 2015", "no date"])).alias("phrase"))
+    at = lambda p: F.date_format("o_orderdate", p)
+    line = F.concat("o_orderpriority", F.lit(", "), at("MMM yyyy"), F.lit(" to "), at("MM/yyyy"), F.lit(" Tunis"))
+    return table(spark, d, "orders").select("o_orderkey", L.date_phrase(line).alias("phrase"), L.date_phrase(F.concat(F.lit("class of "), at("yyyy"))).alias("single"))
 
 
 @query("header_info", "SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'Ada Byron' END AS full_name, 'ada@x.org' AS email, CASE doc_id % 2 WHEN 0 THEN 'github.com/ada' END AS github FROM documents")
@@ -35,20 +37,28 @@ def header_info(spark, d):
     return docs(spark, d).select("doc_id", h["full_name"].alias("full_name"), h["email"].alias("email"), h["github"].alias("github"))
 
 
-@query("url_identity", "SELECT doc_id, 'github.com/ada' AS identity FROM documents")
+@query("url_identity", r"SELECT page_id, regexp_replace(lower(trim(url)), '^(https?://)?(www\.)?|[/.,);\]]+$', '', 'g') AS identity FROM pages")
 def url_identity(spark, d):
-    return docs(spark, d).select("doc_id", L.url_identity(pick(["https://www.GitHub.com/ada/", "http://github.com/ada", "www.github.com/Ada.", "github.com/ada"])).alias("identity"))
+    """The same for an address, and for it with www, capitals in the scheme and a slash behind."""
+    page = table(spark, d, "pages")
+    other = F.concat(F.regexp_replace("url", "^https?://(?:www[.])?", "HTTPS://www."), F.lit("/"))
+    return page.select("page_id", F.when(L.url_identity(C("url")) == L.url_identity(other), L.url_identity(C("url"))).alias("identity"))
 
 
-@query("best_url", "SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'github.com/ada' ELSE 'b.org' END AS url FROM documents")
+@query("best_url", r"""WITH u AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS u FROM pages),
+q AS (SELECT page_id, u, 1 + CASE WHEN regexp_matches(u, '(?i)linkedin\.com|github\.com') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(u, '\.[a-z]+/[^ \t\n\r\f\x0B]+') THEN 1 ELSE 0 END - CASE WHEN contains(u, ' ') THEN 1 ELSE 0 END AS q FROM u),
+b AS (SELECT page_id, u FROM q QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY q DESC, length(u) DESC, u DESC) = 1)
+SELECT p.page_id, b.u AS url FROM pages p LEFT JOIN b ON p.page_id = b.page_id""")
 def best_url(spark, d):
-    return docs(spark, d).select("doc_id", L.best_url(F.split(pick(["x.org;github.com/ada", "b.org"]), ";")).alias("url"))
+    links = F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))
+    return table(spark, d, "pages").select("page_id", L.best_url(links).alias("url"))
 
 
-@query("summary_sanitise", "SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'One. Two!' ELSE 'Results-driven expert in things' END AS short, doc_id % 2 = 1 AS generic FROM documents")
+@query("summary_sanitise", r"""WITH c AS (SELECT doc_id, nullif(trim(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g')), '') AS t, lower(trim(text)) AS low FROM documents)
+SELECT doc_id, array_to_string(string_split(regexp_replace(t, '([.!?]) ', '\1' || chr(1), 'g'), chr(1))[1:2], ' ') AS short,
+ low <> '' AND (len(regexp_split_to_array(low, '[ \t\n\r\f\x0B]+')) < 4 OR contains(low, 'with experience in') OR contains(low, 'expertise in') OR contains(low, 'professional with') OR contains(low, 'results-driven') OR contains(low, 'highly motivated') OR contains(low, 'strong background')) AS generic FROM c""")
 def summary_sanitise(spark, d):
-    raw = pick(["One.  Two! Three.", "Results-driven expert in things"])
-    return docs(spark, d).select("doc_id", L.short_summary(raw).alias("short"), L.generic_summary(F.when(C("doc_id") % 2 == 0, F.lit("builds things that work well")).otherwise(raw)).alias("generic"))
+    return docs(spark, d).select("doc_id", L.short_summary(C("text")).alias("short"), L.generic_summary(C("text")).alias("generic"))
 
 
 @query("section_titles", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'experience' WHEN 1 THEN 'skills' END AS section FROM documents")
@@ -140,6 +150,8 @@ def provider_extraction(spark, d):
     return out.select("key", "provider", "attempts")
 
 
-@query("masked_uris", "SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'db://***@host/x' ELSE 'db://host/x' END AS uri FROM documents")
+@query("masked_uris", "SELECT page_id, regexp_replace(url, '://([^/@]+@)?', '://***@') AS uri, regexp_replace(url, '://[^/@]+@', '://***@', 'g') AS open_uri FROM pages")
 def masked_uris(spark, d):
-    return docs(spark, d).select("doc_id", P.masked_uri(pick(["db://user:pass@host/x", "db://host/x"])).alias("uri"))
+    """Addresses with a user and a password put in, and as they are."""
+    secret = F.regexp_replace("url", "^([a-z]+)://(?:[^/@]+@)?", "$1://user:pass@")
+    return table(spark, d, "pages").select("page_id", P.masked_uri(secret).alias("uri"), P.masked_uri(C("url")).alias("open_uri"))
\ No newline at end of file

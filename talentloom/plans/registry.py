@@ -13,7 +13,6 @@ ORACLES: dict[str, str] = {}
 #: Result columns that SQL literals would make decimals.
 DOUBLES = {
     "risk_encoding": ["encoded"],
-    "experience_phrases": ["years"],
     "entity_resolution": ["dedup_confidence"],
     "job_profiles": ["years"],
     "ground_profiles": ["score"],
