@@ -139,3 +139,35 @@ def paged_route(pages: Column, chars: Column, words: Column, text_pages: Column,
     facts = [("pages", pages.cast("string")), ("chars", chars.cast("string")), ("words", words.cast("string")), ("mean_chars", F.format_string("%.1f", mean)), ("text_share", F.format_string("%.2f", text_share)), ("image_share", F.format_string("%.2f", image_share))]
     reasons = F.array(*[F.concat(F.lit(k + "="), v) for k, v in facts], reason)
     return F.struct(route.alias("route"), (route != "native").alias("ocr"), reasons.alias("reasons"))
+
+
+# Signs of a form that was never filled in, by name.
+TEMPLATE_SIGNS = [
+    ("email@youremail.com", r"\bemail@youremail\.com\b"),
+    ("first.last@", r"\bfirst\.last@"),
+    ("FIRSTLAST", r"\bfirst\s*last\b"),
+    ("info@qwikresume.com", r"\binfo@qwikresume\.com\b"),
+    ("info@resumeworded.com", r"\binfo@resumeworded\.com\b"),
+    ("info@resumekraft.com", r"\binfo@resumekraft\.com\b"),
+    ("example.com", r"\bexample\.com\b"),
+    ("qwikresume", r"\bqwikresume\b"),
+    ("resumeworded", r"\bresumeworded\b"),
+    ("resumekraft", r"\bresumekraft\b"),
+    ("resumesample", r"\bresume\s*sample\b|\bresumesample\b"),
+    ("null_text", r'(?<!\w)"?null"?(?!\w)'),
+    ("000-000-0000", r"\b0{3}[- .]?0{3}[- .]?0{4}\b"),
+]
+
+
+def template_signs(x: Column) -> Column:
+    """Names of the template signs in a text, in their order; none for null. Letters of all alphabets bound words."""
+    return F.array_compact(F.array(*[F.when(x.rlike("(?iU)" + p), name) for name, p in TEMPLATE_SIGNS]))
+
+
+def nullify_templates(fields: dict[str, Column]) -> tuple[dict[str, Column], Column]:
+    """The fields without values that hold a template sign, and the paths of what went."""
+    kept, paths = {}, []
+    for name, x in fields.items():
+        kept[name] = F.when(F.size(template_signs(x)) == 0, x)
+        paths.append(F.when(F.size(template_signs(x)) > 0, name))
+    return kept, F.array_compact(F.array(*paths))

@@ -277,11 +277,27 @@ def canonical_json_distinct(spark, d):
     return table(spark, d, "documents").agg(F.count_distinct(F.sha2(F.to_json(F.struct("lang", "source")), 256)).alias("n"))
 
 
-@query("template_flags", "SELECT doc_id, concat_ws('|', CASE WHEN contains(lower(text), 'lorem') THEN 'lorem' END, CASE WHEN contains(text, '@') THEN 'contact' END, CASE WHEN contains(text, '|') THEN 'table' END) AS flags FROM documents")
+def _sign_sql(name, pattern, x):
+    """A sign's test for DuckDB, whose \b and \w know ASCII only and which has no lookbehind."""
+    edge, end = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
+    if name == "null_text":
+        p = edge + '"?null"?' + end
+    else:
+        p = "|".join(edge + one.removeprefix(r"\b").removesuffix(r"\b") + (end if one.endswith(r"\b") else "") for one in pattern.split("|"))
+    return f"CASE WHEN regexp_matches({x}, '(?i){p}') THEN '{name}' END"
+
+
+SIGNS_SQL = "concat_ws('|', " + ", ".join(_sign_sql(n, p, "t") for n, p in Q.TEMPLATE_SIGNS) + ")"
+
+
+@query("template_flags", f"""WITH t AS (SELECT 'page' AS kind, page_id AS id, url || chr(10) || html AS t FROM pages UNION ALL SELECT 'document', doc_id, text FROM documents UNION ALL
+SELECT 'benchmark', item_id, CASE item_id % 4 WHEN 0 THEN text || ' First  Last' WHEN 1 THEN '000 000-0000 ' || text WHEN 2 THEN text || ' "NULL"' ELSE text || ' nullable info@ResumeWorded.com' END FROM benchmark) SELECT kind, id, {SIGNS_SQL} AS flags FROM t""")
 def template_flags(spark, d):
-    flag = lambda c, name: F.when(c, name)
-    flags = F.array_compact(F.array(flag(F.lower("text").contains("lorem"), "lorem"), flag(C("text").contains("@"), "contact"), flag(C("text").contains("|"), "table")))
-    return table(spark, d, "documents").select("doc_id", F.concat_ws("|", flags).alias("flags"))
+    """Whole pages with their addresses, documents, and benchmark items with signs put in."""
+    put = F.when(C("item_id") % 4 == 0, F.concat("text", F.lit(" First  Last"))).when(C("item_id") % 4 == 1, F.concat(F.lit("000 000-0000 "), "text")).when(C("item_id") % 4 == 2, F.concat("text", F.lit(' "NULL"'))).otherwise(F.concat("text", F.lit(" nullable info@ResumeWorded.com")))
+    kind = lambda rows, name, i, text: rows.select(F.lit(name).alias("kind"), C(i).alias("id"), text.alias("t"))
+    texts = kind(table(spark, d, "pages"), "page", "page_id", F.concat("url", F.lit("\n"), "html")).unionByName(kind(table(spark, d, "documents"), "document", "doc_id", C("text"))).unionByName(kind(table(spark, d, "benchmark"), "benchmark", "item_id", put))
+    return texts.select("kind", "id", F.array_join(Q.template_signs(C("t")), "|").alias("flags"))
 
 
 @query("char_error_rate", "WITH p AS (SELECT item_id, text AS truth, replace(replace(text, 'e', 'c'), 'th', 'h') AS said FROM benchmark) SELECT item_id, round(CAST(levenshtein(truth, said) AS DOUBLE) / greatest(length(truth), 1), 6) AS cer FROM p")

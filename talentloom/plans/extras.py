@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from talentloom.functions import repair
+from talentloom.functions import quality, repair
 from talentloom.functions import scoring as S
 from talentloom.operators import grounding, jobs, render, rerank
 from talentloom.plans.registry import PROFILES_SQL, profiles, query, table
@@ -148,11 +148,13 @@ def nested_projection(spark, d):
     return nested.select("doc_id", "profile.bio.lang", "profile.bio.source", F.get(C("profile.items"), F.lit(0))["name"].alias("label"))
 
 
-@query("nullify_templates", "SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN 'Ann' END AS name, CASE WHEN doc_id % 2 = 0 THEN 'name' ELSE '' END AS nullified FROM documents")
+@query("nullify_templates", r"SELECT page_id, CASE WHEN regexp_matches(url, '(?i)(^|[^\p{L}\p{N}_])example\.com($|[^\p{L}\p{N}_])') THEN NULL ELSE url END AS url, CASE WHEN regexp_matches(path, '(?i)(^|[^\p{L}\p{N}_])\"?null\"?($|[^\p{L}\p{N}_])') THEN NULL ELSE path END AS path, concat_ws('|', CASE WHEN regexp_matches(url, '(?i)(^|[^\p{L}\p{N}_])example\.com($|[^\p{L}\p{N}_])') THEN 'url' END, CASE WHEN regexp_matches(path, '(?i)(^|[^\p{L}\p{N}_])\"?null\"?($|[^\p{L}\p{N}_])') THEN 'path' END) AS nullified FROM (SELECT page_id, url, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '^/fr/', '/null/') AS path FROM pages)")
 def nullify_templates(spark, d):
-    name = pick(["FIRST LAST", "Ann"])
-    bad = name.rlike(r"(?i)\bfirst\s*last\b")
-    return table(spark, d, "documents").select("doc_id", F.when(~bad, name).alias("name"), F.concat_ws("|", F.when(bad, "name")).alias("nullified"))
+    """Addresses, and their paths with one folder named null."""
+    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/]*", ""), "^/fr/", "/null/")
+    rows = table(spark, d, "pages").select("page_id", "url", path.alias("path"))
+    kept, gone = quality.nullify_templates({"url": C("url"), "path": C("path")})
+    return rows.select("page_id", *[v.alias(k) for k, v in kept.items()], F.concat_ws("|", gone).alias("nullified"))
 
 
 @query("job_decisions", f"""WITH {SCORED_SQL}, g AS (SELECT job_id, count(*) AS n, count(*) FILTER (WHERE coverage > 0) AS k_any, count(*) FILTER (WHERE coverage >= 0.5) AS k_half, count(*) FILTER (WHERE coverage >= 0.8) AS k_most FROM final GROUP BY job_id),

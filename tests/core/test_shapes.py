@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from talentloom.functions import dates as D
 from talentloom.functions import lines as L
-from talentloom.functions import repair
+from talentloom.functions import quality, repair
 from talentloom.functions import text as X
 from talentloom.operators import grounding
 from talentloom.operators import profiles as P
@@ -46,3 +46,11 @@ def test_fixed_cases(spark, name):
 
 def test_order_coherence_of_short_arrays(spark):
     assert [round(x, 6) for x in _apply(spark, W.order_coherence, [[], [3], [0, 2, 3, 1], [2, 1, 0]], "array<int>")] == [0.0, 1.0, round(4 / 6, 6), 0.0]
+
+
+def test_template_signs_and_what_they_nullify(spark):
+    values = ["Mail email@YourEmail.com", "first.last@x.org", "FIRST LAST", "see www.example.com/a", "Resume  Sample", 'x: "null"', "nullable énull", "call 000-000-0000", "Ada", "", None]
+    want = [["email@youremail.com"], ["first.last@"], ["FIRSTLAST"], ["example.com"], ["resumesample"], ["null_text"], [], ["000-000-0000"], [], [], []]
+    assert _apply(spark, quality.template_signs, values) == want
+    kept, gone = quality.nullify_templates({"name": F.lit("First Last"), "city": F.lit("Tunis"), "none": F.lit(None).cast("string")})
+    assert tuple(spark.range(1).select(*[v.alias(k) for k, v in kept.items()], gone.alias("gone")).first()) == (None, "Tunis", None, ["name"])
