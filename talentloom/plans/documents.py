@@ -278,7 +278,7 @@ def canonical_json_distinct(spark, d):
 
 
 def _sign_sql(name, pattern, x):
-    """A sign's test for DuckDB, whose \b and \w know ASCII only and which has no lookbehind."""
+    r"""A sign's test for DuckDB, whose \b and \w know ASCII only and which has no lookbehind."""
     edge, end = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
     if name == "null_text":
         p = edge + '"?null"?' + end
