@@ -98,14 +98,18 @@ def normalised_quality(templates: Column, missing_sections: Column, words: Colum
     return round4(clip01(1 - 0.15 * templates - 0.10 * missing_sections - F.when(words < 80, 0.20).otherwise(0.0)))
 
 
-def field_support(value: Column, source: Column) -> Column:
-    """supported / weakly_supported (0.8 of its words occur) / unsupported / missing."""
-    compact = lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]+", "")
+def compact(x: Column) -> Column:
+    return F.regexp_replace(F.lower(x), "[^a-z0-9]+", "")
+
+
+def field_support(value: Column, source: Column, low: Column | None = None, tight: Column | None = None) -> Column:
+    """supported / weakly_supported (0.8 of its words occur) / unsupported / missing. low, tight: the source's lower-case and compact forms, where many values share them."""
+    low, tight = F.lower(source) if low is None else low, compact(source) if tight is None else tight
     words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(value), F.lit("([a-z0-9][a-z0-9+.#/@-]*)"), F.lit(1)), lambda t: (F.length(t) > 1) & ~t.isin("and", "the", "with", "for", "from")))
-    present = F.size(F.filter(words, lambda t: F.lower(source).contains(t)))
+    present = F.size(F.filter(words, lambda t: low.contains(t)))
     return (
         F.when(value.isNull() | (F.trim(value) == ""), "missing")
-        .when((compact(value) != "") & compact(source).contains(compact(value)), "supported")
+        .when((compact(value) != "") & tight.contains(compact(value)), "supported")
         .when(F.size(words) == 0, "missing")
         .when(present / F.size(words) >= 0.8, "weakly_supported")
         .otherwise("unsupported")
