@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talentloom.functions.text import stable_id
+from talentloom.sources.io import written
 
 # small helpers travel with the tasks, so that workers need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+#: Names less alike than this are materially different.
+CONFLICT = 0.62
 CONFIDENCE = {"real_email": 0.98, "real_phone": 0.95, "linkedin_url": 0.99, "github_url": 0.99}
 
 
@@ -34,30 +37,73 @@ def name_similarity(a: Column, b: Column) -> Column:
     return F.when(same, 1.0).otherwise(_ratios(F.when(~same, a), F.when(~same, b)))
 
 
+#: Up to this length the matcher leaves out no common characters, so the longest block is at least the common prefix.
+_PLAIN = 199
+
+
+def _common_prefix(a: str, b: str) -> int:
+    n = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def alike_classes(names: list[str], least: float) -> list[tuple[int, int, str, int]]:
+    """Runs of sorted names that are alike by their common prefix alone: (start, end, prefix, longest).
+
+    The matched characters of two names are at least their common prefix, so a run whose prefix makes up `least` of its longest name holds no conflict.
+    """
+    out, start, longest = [], 0, 0
+    for i, name in enumerate(names):
+        grown = max(longest, len(name)) if i > start else len(name)
+        if i > start and (grown > _PLAIN or _common_prefix(names[start], name) < least * grown):
+            out.append((start, i, names[start][: _common_prefix(names[start], names[i - 1])], longest))
+            start, grown = i, len(name)
+        longest = grown
+    if names:
+        out.append((start, len(names), names[start][: _common_prefix(names[start], names[-1])], longest))
+    return out
+
+
 def worst_pair(names: list[str], least: float) -> tuple[str, str, float] | None:
-    """The first pair of names (in order) that differ materially."""
-    for i, a in enumerate(names):
-        for b in names[i + 1 :]:
-            if a not in b and b not in a and (ratio := blocks_ratio(a, b)) < least:
-                return a, b, ratio
+    """The first pair of sorted names (in order) that differ materially. Runs of names that are alike by their common prefixes are passed over as a whole."""
+    runs = alike_classes(names, least)
+    for k, (start, end, prefix, longest) in enumerate(runs):
+        apart = [r for r in runs[k + 1 :] if max(longest, r[3]) > _PLAIN or 2.0 * _common_prefix(prefix, r[2]) < least * (longest + r[3])]
+        if not apart:
+            continue
+        for a in names[start:end]:
+            for low, high, _, _ in apart:
+                for b in names[low:high]:
+                    if a not in b and b not in a and (ratio := blocks_ratio(a, b)) < least:
+                        return a, b, ratio
     return None
 
 
-def name_conflicts(rows: DataFrame, key: str, name: str, least: float = 0.62) -> DataFrame:
+def name_conflicts(rows: DataFrame, key: str, name: str, least: float = CONFLICT) -> DataFrame:
     """(key, left, right, similarity): of each key whose members' names differ materially one pair that does.
 
-    Names are compared once each, however many members share them. Each is first held against the key's least name, a join-free
-    aggregation that settles most keys; only keys whose names are all near to the least one
-    are looked at pair by pair, up to the first conflict, so no group is turned into pairs.
+    Names are compared once each, however many members share them: distinct names are written first. Each is held against the key's least name, an
+    aggregation that settles most keys; of keys whose names are all near to the least one, runs of names with a long common prefix
+    are passed over as a whole and only the rest is compared, up to the first conflict.
     """
-    named = rows.where(F.col(name).isNotNull() & (F.col(name) != "")).select(key, name).distinct()
+    named = written(rows.where(F.col(name).isNotNull() & (F.col(name) != "")).select(key, name).distinct())
+    return _conflicts_of_names(named, key, name, least)
+
+
+def _conflicts_of_names(named: DataFrame, key: str, name: str, least: float) -> DataFrame:
+    """name_conflicts of written, distinct (key, name) rows."""
     low = named.groupBy(key).agg(F.min(name).alias("_low"), F.count("*").alias("_n")).where("_n > 1").withColumnRenamed(key, "_key")
     pairs = named.join(low, F.col(key) == F.col("_key")).where(F.col(name) != F.col("_low")).withColumn("_s", name_similarity(F.col("_low"), F.col(name)))
-    judged = pairs.groupBy(key).agg(F.min(F.struct("_s", name)).alias("_worst"), F.first("_low").alias("_low"))
+    judged = written(pairs.groupBy(key).agg(F.min(F.struct("_s", name)).alias("_worst"), F.min("_low").alias("_low")))
     told = judged.where(F.col("_worst._s") < least).select(key, F.col("_low").alias("left"), F.col(f"_worst.{name}").alias("right"), F.round("_worst._s", 4).alias("similarity"))
     near = judged.where(F.col("_worst._s") >= least).select(F.col(key).alias("_near"))
+    if near.isEmpty():
+        return told
     rest = named.join(near, F.col(key) == F.col("_near"), "left_semi")
-    kind = rows.schema[key].dataType.simpleString()
+    kind = named.schema[key].dataType.simpleString()
 
     def look(group: pd.DataFrame) -> pd.DataFrame:
         found = worst_pair(sorted(group[name]), least)
@@ -66,7 +112,7 @@ def name_conflicts(rows: DataFrame, key: str, name: str, least: float = 0.62) ->
     return told.unionByName(rest.groupBy(key).applyInPandas(look, f"{key} {kind}, left string, right string, similarity double"))
 
 
-def conflicting_keys(rows: DataFrame, key: str, name: str, least: float = 0.62) -> DataFrame:
+def conflicting_keys(rows: DataFrame, key: str, name: str, least: float = CONFLICT) -> DataFrame:
     """Keys whose members' names differ materially."""
     return name_conflicts(rows, key, name, least).select(key)
 
@@ -76,13 +122,16 @@ def resolve(profiles: DataFrame, evidence: list[tuple[str, str]], name: str, id_
 
     evidence: (type, key column) by priority. A pass groups the rows not yet assigned by its key; groups of
     two or more without a name conflict merge. Greedy by priority, not a transitive closure; one
-    aggregation by key and pass.
+    aggregation by key and pass. Each pass is written, so that plans do not grow with the number of evidence types.
     """
     out = profiles.withColumn("entity_id", F.lit(None).cast("string")).withColumn("dedup_status", F.lit(None).cast("string")).withColumn("dedup_confidence", F.lit(None).cast("double")).withColumn("evidence_type", F.lit(None).cast("string"))
     for kind, key in evidence:
-        free = out.where(F.col("entity_id").isNull() & F.col(key).isNotNull()).select(key, name)
-        groups = free.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-        bad = conflicting_keys(free, key, name).withColumn("_bad", F.lit(True))
+        out = written(out)
+        free = out.where(F.col("entity_id").isNull() & F.col(key).isNotNull())
+        named = written(free.groupBy(key, name).agg(F.count(F.lit(1)).alias("_n")))
+        groups = named.groupBy(key).agg(F.sum("_n").alias("_n")).where("_n > 1")
+        valid = named.where(F.col(name).isNotNull() & (F.col(name) != "")).select(key, name)
+        bad = _conflicts_of_names(valid, key, name, CONFLICT).select(key).withColumn("_bad", F.lit(True))
         merged = groups.join(bad, key, "left").select(F.col(key).alias("_k"), F.coalesce("_bad", F.lit(False)).alias("_conflict"))
         joined = out.join(merged, (F.col(key) == F.col("_k")) & F.col("entity_id").isNull(), "left")
         hit = F.col("_k").isNotNull() & ~F.col("_conflict")

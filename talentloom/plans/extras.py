@@ -36,9 +36,14 @@ def tech_term_repair(spark, d):
     return table(spark, d, "documents").select("doc_id", repair.merged_words(repair.tech_terms(raw)).alias("fixed"))
 
 
-@query("address_repair", "SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'mail a.b@x.org now' ELSE 'see https://x.org/a' END AS fixed FROM documents")
+@query("address_repair", r"""WITH p AS (SELECT page_id, rtrim(url, '/') AS url, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages)
+SELECT page_id, 'see ' || url || ' or write to a.b' || CAST(page_id AS VARCHAR) || '@' || host || ' or github.com/x/y today' AS fixed FROM p""")
 def address_repair(spark, d):
-    return table(spark, d, "documents").select("doc_id", repair.repair_addresses(pick(["mail a . b @ x . org now", "see https : / / x.org / a"])).alias("fixed"))
+    """Addresses of pages, with spaces put in where recognition puts them, come back."""
+    url, host = F.rtrim(C("url"), F.lit("/")), F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1)
+    loose = F.replace(F.replace(url, F.lit("/"), F.lit(" / ")), F.lit(":"), F.lit(" : "))
+    text = F.concat(F.lit("see "), loose, F.lit(" or write to a . b"), C("page_id").cast("string"), F.lit(" @ "), F.replace(host, F.lit("."), F.lit(" . ")), F.lit(" or github . com / x / y today"))
+    return table(spark, d, "pages").select("page_id", repair.repair_addresses(text).alias("fixed"))
 
 
 @query("spaced_letters", r"WITH t AS (SELECT p_partkey, replace(p_name, ' ', '') AS w FROM part) SELECT p_partkey, CASE WHEN length(w) BETWEEN 3 AND 16 THEN w ELSE trim(regexp_replace(w, '(.)', '\1 ', 'g')) END AS fixed FROM t")

@@ -17,8 +17,13 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder (spark.checkpoint.dir). Where that is unset: an own one in local mode, an error on a cluster."""
     given = spark.conf.get("spark.checkpoint.dir", None)
-    return given.rstrip("/") if given else _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="talentloom-"))
+    if given:
+        return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="talentloom-"))
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

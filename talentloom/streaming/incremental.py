@@ -25,4 +25,6 @@ def processed_in_batches(spark: SparkSession, source: str, key: str) -> DataFram
     stream = spark.readStream.schema(schema).option("pathGlobFilter", source.rsplit("/", 1)[1]).parquet(folder)
     q = stream.select(key).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+    if q.exception():
+        raise q.exception()
     return spark.read.schema(f"{key} string").parquet(target).groupBy(key).agg(F.count("*").alias("n"))
