@@ -10,6 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talentloom.operators.metrics import binary_metrics
+from talentloom.operators.windows import agreement, rank_by
+from talentloom.sources.io import written
+
+#: Models are fitted one after the other, one for each group left out.
+MAX_FOLDS = 64
 
 FORBIDDEN = {"job_id", "query_group", "candidate_id", "profile_id", "rank", "label", "label_binary", "label_type", "labeling_strategy", "split"}
 
@@ -42,27 +47,59 @@ def positive_score(scored: DataFrame) -> DataFrame:
     return scored.withColumn("ml_score", vector_to_array("probability")[1])
 
 
-def leave_one_group_out(rows: DataFrame, features: list[str], label: str, group: str, names: tuple[str, ...] = ("logistic", "forest", "boosted"), trees: int = 200, rounds: int = 120) -> DataFrame:
-    """Metrics of each model and left-out group: trained on all other groups, tried on that one. Folds whose training rows have one class only are left out.
+def folds_of(rows: DataFrame, group: str) -> list[str]:
+    """The groups to leave out, one model each: annotated jobs, few by nature; null is one. Their number is checked."""
+    found = [r[0] for r in rows.select(F.coalesce(F.col(group).cast("string"), F.lit("")).alias("g")).distinct().limit(MAX_FOLDS + 1).collect()]
+    if len(found) > MAX_FOLDS:
+        raise ValueError(f"more than {MAX_FOLDS} groups: a model for each would be too many")
+    return sorted(found)
+
+
+def out_of_fold(rows: DataFrame, features: list[str], label: str, group: str, names: tuple[str, ...] = ("logistic", "forest", "boosted"), trees: int = 200, rounds: int = 120) -> DataFrame:
+    """rows once for each model with model, left_out and ml_score, the score by a model that was trained on all other groups.
 
-    Groups are few by nature (jobs that were annotated); null is one.
+    Rows of groups whose training rows have one class only are left out.
     """
-    rows = rows.withColumn("_group", F.coalesce(F.col(group).cast("string"), F.lit("")))
-    folds = [r[0] for r in rows.select("_group").distinct().orderBy("_group").collect()]
+    rows = rows.withColumn("left_out", F.coalesce(F.col(group).cast("string"), F.lit("")))
     out = None
-    for held in folds:
-        train = balanced(rows.where(F.col("_group") != held), label)
+    for held in folds_of(rows, group):
+        train = balanced(rows.where(F.col("left_out") != held), label)
         if train.select(label).distinct().count() < 2:
             continue
-        test = rows.where(F.col("_group") == held).withColumn("weight", F.lit(1.0))
+        test = rows.where(F.col("left_out") == held).withColumn("weight", F.lit(1.0))
         for name in names:
             scored = positive_score(models(features, label, trees, rounds)[name].fit(train).transform(test))
-            part = scored.select(F.col(label), (F.col("ml_score") >= 0.5).cast("int").alias("_p"))
+            part = scored.select(*rows.columns, F.lit(name).alias("model"), "ml_score")
+            out = part if out is None else out.unionByName(part)
+    return out if out is not None else rows.limit(0).withColumn("model", F.lit("")).withColumn("ml_score", F.lit(0.0))
+
+
+def leave_one_group_out(rows: DataFrame, features: list[str], label: str, group: str, names: tuple[str, ...] = ("logistic", "forest", "boosted"), trees: int = 200, rounds: int = 120) -> DataFrame:
+    """Metrics of each model and left-out group: trained on all other groups, tried on that one."""
+    scored = written(out_of_fold(rows, features, label, group, names, trees, rounds))
+    out = None
+    for held in folds_of(scored, "left_out"):
+        for name in names:
+            part = scored.where((F.col("left_out") == held) & (F.col("model") == name)).select(F.col(label), (F.col("ml_score") >= 0.5).cast("int").alias("_p"))
             m = binary_metrics(part, label, "_p").withColumn("model", F.lit(name)).withColumn("left_out", F.lit(held))
             out = m if out is None else out.unionByName(m)
     return out if out is not None else rows.sparkSession.createDataFrame([], "accuracy double, precision double, recall double, macro_f1 double, model string, left_out string")
 
 
+def model_ranks(scored: DataFrame, group: str, ident: str, base: str) -> DataFrame:
+    """out_of_fold's rows of the forest and the boosted trees as one row each: base_rank, forest_rank, boosted_rank in the group, rank_shift and agreement.
+
+    Ranks are by falling score, ties by the smaller id. A row that a model lacks is an error.
+    """
+    wide = scored.groupBy(group, ident).agg(F.max(base).alias("base_score"), *[F.max(F.when(F.col("model") == m, F.col("ml_score"))).alias(f"{m}_score") for m in ("forest", "boosted")])
+    missing = F.col("forest_score").isNull() | F.col("boosted_score").isNull()
+    wide = wide.withColumn("boosted_score", F.when(missing, F.raise_error(F.lit("a row without a model's score")).cast("double")).otherwise(F.col("boosted_score")))
+    for name in ("base", "forest", "boosted"):
+        wide = wide.withColumn(f"{name}_rank", rank_by(group, [F.desc(f"{name}_score"), F.col(ident)]))
+    ranks = [F.col(f"{n}_rank") for n in ("base", "forest", "boosted")]
+    return wide.withColumn("rank_shift", ranks[0] - ranks[1]).withColumn("agreement", agreement(*ranks))
+
+
 def mean_metrics(folds: DataFrame) -> DataFrame:
     """Each model's mean over the folds."""
     return folds.groupBy("model").agg(F.count("*").alias("folds"), *[F.avg(c).alias(c) for c in ("accuracy", "precision", "recall", "macro_f1")])

@@ -53,3 +53,12 @@ def feature_importance(spark, d):
 @query("file_round_trip", "SELECT source, count(*) AS n FROM documents GROUP BY source")
 def file_round_trip(spark, d):
     return round_trip(table(spark, d, "documents").select("doc_id", "source")).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("model_rank_agreement")
+def model_rank_agreement(spark, d):
+    """Ranks by rules and by two models that did not see the job they rank, with shifts and agreement."""
+    langs = table(spark, d, "documents").select(C("doc_id").alias("_d"), C("lang").alias("job"))
+    rows = written(labelled(spark, d).join(langs, C("profile_id") == C("_d")).drop("_d"))
+    scored = written(learning.out_of_fold(rows, FEATURES, "label_binary", "job", names=("forest", "boosted"), trees=10, rounds=5))
+    return learning.model_ranks(scored, "left_out", "profile_id", "final_score_v3").withColumnRenamed("left_out", "job")

@@ -314,3 +314,15 @@ def word_error_rate(spark, d):
 
     said = F.replace(C("text"), F.lit("the "), F.lit(""))
     return table(spark, d, "benchmark").select("item_id", F.round(wer(C("text"), said), 6).alias("wer"))
+
+
+@query("word_edit_counts", r"""WITH w AS (SELECT item_id, len(regexp_extract_all(text, '[^ \t\n\r\f\x0B]+')) AS n FROM benchmark)
+SELECT item_id, n AS words, n // 7 - n // 35 AS substituted, n // 5 AS lost, CAST(0 AS BIGINT) AS added, round((n // 7 - n // 35 + n // 5) / greatest(n, 1), 9) AS rate FROM w""")
+def word_edit_counts(spark, d):
+    """Items read with every fifth word lost and every seventh of the others misread: what the alignment finds."""
+    from talentloom.operators.ocr import word_counts
+
+    words = F.regexp_extract_all("text", F.lit(r"([^ \t\n\r\f\x0B]+)"), F.lit(1))
+    heard = F.transform(words, lambda x, i: F.when((i + 1) % 5 == 0, "").when((i + 1) % 7 == 0, "@#").otherwise(x))
+    rows = table(spark, d, "benchmark").select("item_id", word_counts(C("text"), F.array_join(F.filter(heard, lambda x: x != ""), " ")).alias("c"))
+    return rows.select("item_id", "c.words", "c.substituted", "c.lost", "c.added", F.round("c.rate", 9).alias("rate"))

@@ -8,6 +8,7 @@ from talentloom.operators import vector_index
 from talentloom.plans.ranking import VEC_SQL, K
 from talentloom.plans.registry import query, table
 from talentloom.sources.io import fresh_path
+from talentloom.sources.versioned import VersionedTable
 from talentloom.streaming.stage import PROVIDER_ERROR, Stage
 
 C = F.col
@@ -57,3 +58,13 @@ def stage_ledger(spark, d):
     stage.run("first")
     stage.resume_failed("again")
     return stage.states().select("item", "state", "attempts")
+
+
+@query("versioned_upsert", """WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS quality FROM documents)
+SELECT coalesce(n.doc_id, l.doc_id) AS doc_id, CAST(coalesce(n.quality, l.quality) AS BIGINT) AS quality, CASE WHEN l.doc_id IS NOT NULL THEN 1 ELSE 2 END AS created_at, CASE WHEN n.doc_id IS NOT NULL THEN 2 ELSE 1 END AS updated_at FROM n FULL JOIN labels l ON n.doc_id = l.doc_id""")
+def versioned_upsert(spark, d):
+    """Labels committed as a first version, lengths of all documents as a second; the newest version is read."""
+    kept = VersionedTable(spark, fresh_path(spark, "versioned"), "doc_id long, quality long, created_at int, updated_at int")
+    kept.upsert(table(spark, d, "labels").select("doc_id", C("quality").cast("long").alias("quality")), "doc_id", F.lit(1))
+    kept.upsert(table(spark, d, "documents").select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("quality")), "doc_id", F.lit(2))
+    return kept.read()
