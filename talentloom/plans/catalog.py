@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from talentloom.plans import analysis, documents, entities, explained, extras, graphs, more, nested, ranking, scores, stages, summaries  # noqa: F401
+from talentloom.plans import analysis, copilot, documents, entities, explained, extras, graphs, more, nested, ranking, scores, stages, summaries  # noqa: F401
 from talentloom.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 #: Earlier names of queries that read whole tables and texts under their plain names too.
