@@ -41,12 +41,29 @@ def delete_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def clean(spark: SparkSession) -> None:
-    """Delete all intermediate tables of this application; results that still read them must have been written before."""
-    for path, ident in _made.pop(spark.sparkContext.applicationId, []):
+def made(spark: SparkSession) -> int:
+    """How many intermediate tables of this application there are: a mark for clean."""
+    return len(_made.get(spark.sparkContext.applicationId, []))
+
+
+def clean(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete this application's intermediate tables, those made after the mark `since` without the last `keep`; results that still read them must have been written before."""
+    tables = _made.get(spark.sparkContext.applicationId, [])
+    end = len(tables) - keep
+    for path, ident in tables[since:end]:
         if ident:
             spark.sql(f"DROP TABLE IF EXISTS {ident}")
         delete_path(spark, path)
+    if since < end:
+        del tables[since:end]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with more underscores in front where df has such a column (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -31,10 +31,8 @@ from talentloom.llm.common import bucketed, shuffle_partitions, table
 
 END, START = textnp.U(0x5E1D_0FFE_0000_0001), textnp.U(0x57A2_7000_0000_0003)
 COUNTS = np.dtype([("kept", "<u8"), ("cut", "<u8")])
-#: The order of an n-gram stands in the last bits of its name.
+#: The order of an n-gram stands in the last bits of its name; the other 61 are a hash, at every size of the input.
 ORDER, ORDER_BITS = 3, 3
-#: Names of n-grams have so many bits more than the count of n-grams has, and at least LEAST_BITS; words have 64.
-SPARE_BITS, LEAST_BITS = 10, 40
 BLOCK_BYTES = 4 << 20
 EM_ROUNDS, STEP = 60, 2
 HELD, KEPT, CUT = 0, 1, 2
@@ -44,7 +42,7 @@ U = textnp.U
 class _Tokens:
     """Tokens of a block's rows (words, then one end) and their distinct n-gram keys."""
 
-    def __init__(self, part: pa.Table, column: str, order: int, shift: int) -> None:
+    def __init__(self, part: pa.Table, column: str, order: int) -> None:
         data, offsets = textnp.buffers(part.column(column))
         words, rows = textnp.word_hashes(data, offsets, lower=True)
         n = part.num_rows
@@ -62,7 +60,7 @@ class _Tokens:
             before[1:] = gram[:-1]
             before[self.first] = textnp.mix(np.array([START + U(k)]))[0]
             gram = textnp.mix(textnp.mix(before ^ U(0x1F83D9ABFB41BD6B)) + tokens)
-            grams.append(((gram >> U(shift + ORDER_BITS) << U(ORDER_BITS)) | U(k)) << U(shift))
+            grams.append(gram >> U(ORDER_BITS) << U(ORDER_BITS) | U(k))
         self.longer, more = np.unique(np.concatenate([np.zeros(0, np.uint64), *grams]), return_inverse=True)
         #: For each order the place of each token's n-gram in words, then longer.
         self.at = np.concatenate([place, more + len(self.words)]).reshape(order, -1)
@@ -85,7 +83,7 @@ class _Tokens:
         return out
 
 
-def count_cells(blocks: DataFrame, column: str, parts: tuple[int, int], order: int, shift: int) -> DataFrame:
+def count_cells(blocks: DataFrame, column: str, parts: tuple[int, int], order: int) -> DataFrame:
     """Counts of words in the first parts[0] ranges, of longer n-grams in the next parts[1]."""
 
     def run(batches):
@@ -94,11 +92,11 @@ def count_cells(blocks: DataFrame, column: str, parts: tuple[int, int], order: i
                 part = B.from_payload(row["payload"])
                 if not part.num_rows:
                     continue
-                tokens = _Tokens(part, column, order, shift)
+                tokens = _Tokens(part, column, order)
                 counts = tokens.counts(part)
                 n = len(tokens.words)
                 yield B.cell_rows(row["block"], tokens.words, counts[:n], parts[0])
-                yield B.cell_rows(row["block"], tokens.longer, counts[n:], parts[1], parts[0], shift)
+                yield B.cell_rows(row["block"], tokens.longer, counts[n:], parts[1], parts[0])
 
     return blocks.select("block", "payload").mapInArrow(run, B.CELL_SCHEMA)
 
@@ -180,7 +178,7 @@ def _floor(word: np.ndarray, n: float, v: float) -> np.ndarray:
     return (word + 0.5) / (n + 0.5 * (v + 1))
 
 
-def held_out_events(blocks: DataFrame, counts: DataFrame, column: str, order: int, shift: int) -> DataFrame:
+def held_out_events(blocks: DataFrame, counts: DataFrame, column: str, order: int) -> DataFrame:
     """How often each quantised (context bucket, word count, estimates of orders 2 and up) occurs in the cut part."""
     names = ["bucket", *(f"q{k}" for k in range(1, order + 1))]
 
@@ -190,7 +188,7 @@ def held_out_events(blocks: DataFrame, counts: DataFrame, column: str, order: in
             part = B.from_payload(row["payload"])
             if not part.num_rows:
                 continue
-            tokens = _Tokens(part, column, order, shift)
+            tokens = _Tokens(part, column, order)
             c = _Counts(tokens, tokens.counts(part, B.replies_of(replies, COUNTS)), everything=False)
             mine = tokens.part_of_rows(part.column("_fold").to_numpy()) == CUT
             event = np.stack([c.buckets()[mine], _levels(c.word[mine]), *(_levels(r[mine]) for r in c.ratios())])
@@ -251,12 +249,11 @@ def lm_score(docs: DataFrame, train: F.Column, cut: F.Column, column: str = "tex
     n_buckets = B.buckets_for(size, BLOCK_BYTES * grown)
     blocks = B.write_blocks(docs.withColumn("_fold", fold.cast("int")), "lm_blocks", column, BLOCK_BYTES * grown, buckets=n_buckets)
     parts = tuple(B.parts_for(n, shuffle_partitions(spark), grown) for n in (size // 24, size * (order - 1) // 6))
-    shift = max(0, 64 - ORDER_BITS - max(LEAST_BITS, SPARE_BITS + (size * order // 6).bit_length()))
-    replies = corpus_counts(count_cells(blocks, column, parts, order, shift), parts[0], sum(parts))
+    replies = corpus_counts(count_cells(blocks, column, parts, order), parts[0], sum(parts))
     counts = bucketed(replies.repartition(n_buckets, "block"), "block", "lm_counts", n_buckets)
     n, v, n_kept, v_kept = corpus_sums(counts.where("block = -1"))
     answers = counts.where("block >= 0")
-    events = held_out_events(blocks, answers, column, order, shift)
+    events = held_out_events(blocks, answers, column, order)
     weights = learn_weights(np.array([tuple(r) for r in events.collect()], np.int64).reshape(-1, order + 2), n_kept, v_kept, order)
     fields = [f for f in docs.schema.fields if f.name != column]
     more = [T.StructField(x, T.LongType()) for x in ("n_tokens", "n_known", "train_tokens")] + [T.StructField(x, T.DoubleType()) for x in ("base_score", "score")]
@@ -266,7 +263,7 @@ def lm_score(docs: DataFrame, train: F.Column, cut: F.Column, column: str = "tex
         out = []
         for row in block.to_pylist():
             part = B.from_payload(row["payload"])
-            tokens = _Tokens(part, column, order, shift)
+            tokens = _Tokens(part, column, order)
             c = _Counts(tokens, tokens.counts(part, B.replies_of(replies, COUNTS)), everything=True)
             add = lambda x: np.add.reduceat(x, tokens.first)
             base, score = add(np.log10(_floor(c.word, n, v))), add(np.log10(mixture(c, weights, n, v)))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talentloom.llm.common import materialize, table
+from talentloom.llm.common import free_name, materialize, table
 from talentloom.llm.components import connected_components
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
@@ -64,15 +64,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
 
 
-def with_fingerprints(docs: DataFrame, column: str = "text", keep_text: bool = False) -> DataFrame:
-    """docs (without the text, unless kept) with _fp long."""
+def with_fingerprints(docs: DataFrame, column: str = "text", keep_text: bool = False, name: str = "_fp") -> DataFrame:
+    """docs (without the text, unless kept) with the fingerprint as a long under `name`."""
     names = [c for c in docs.columns if c != column or keep_text]
-    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("_fp", T.LongType())])
+    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField(name, T.LongType())])
 
     def run(batches):
         for batch in batches:
             fps = pa.array([fingerprint(x.as_py()) for x in batch.column(column)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), fps], names=[*names, "_fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), fps], names=[*names, name])
 
     return docs.mapInArrow(run, schema)
 
@@ -217,16 +217,17 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", column: str = "text")
 
     Classes are named by fingerprints here, not by ids: unrelated texts stay apart where ids are null or repeated.
     """
-    kept = docs.columns
-    marked = materialize(with_fingerprints(docs, column, keep_text=True), "simhash_docs")
-    nodes = materialize(marked.groupBy("_fp").agg(F.min(id_column).alias("_low")), "fingerprints")
+    fp, place = free_name(docs, "_fp"), free_name(docs, "_n")
+    marked = materialize(with_fingerprints(docs, column, keep_text=True, name=fp), "simhash_docs")
+    nodes = materialize(marked.groupBy(F.col(fp).alias("_fp")).agg(F.min(id_column).alias("_low")), "fingerprints")
     found = connected_components(links(nodes.select("_fp", F.col("_fp").alias("_id"))))
     named = nodes.join(found, nodes["_fp"] == found["node"], "left").withColumn("_c", F.coalesce("component", "_fp"))
     best = F.min(F.struct(F.col("_low").isNull().alias("_none"), "_low", "_fp")).alias("_best")
-    first = named.groupBy("_c").agg(best).select(F.col("_best._low").alias("_keep"), F.col("_best._fp").alias("_keep_fp"))
-    out = marked.join(first, marked[id_column].eqNullSafe(first["_keep"]) & (marked["_fp"] == first["_keep_fp"]), "left_semi")
-    one = Window.partitionBy("_fp").orderBy(F.xxhash64(column))  # each class has one fingerprint left
-    return out.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*kept)
+    low, low_fp = free_name(docs, "_keep"), free_name(docs, "_keep_fp")
+    first = named.groupBy("_c").agg(best).select(F.col("_best._low").alias(low), F.col("_best._fp").alias(low_fp))
+    out = marked.join(first, F.col(id_column).eqNullSafe(F.col(low)) & (F.col(fp) == F.col(low_fp)), "left_semi")
+    one = Window.partitionBy(fp).orderBy(F.xxhash64(column))  # each class has one fingerprint left
+    return out.withColumn(place, F.row_number().over(one)).where(F.col(place) == 1).select(*docs.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,10 @@ occur more than once. An entry knows whether it occurred once or more often, and
 repeat, and which of history, alone until now, do so from now on. The windows under both are
 verified: they are merge-joined with the window runs by the full hashes, which gives every
 place, in the batch or in history, where a window begins that occurs elsewhere too. These places
-are appended; old blocks are read again only where the batch hit them. ``compact``
-merges the runs of each key range, entry by entry, and widens the number of ranges as the index grows.
+are appended; old blocks are read again only where the batch hit them. Before a batch the last two runs are merged, range by range and entry by entry, while the older
+stands for no more than ``GROWTH`` times the text of the newer, so runs grow like powers and an entry is rewritten a logarithm of the batches' number of times; ``compact``
+merges all runs, also where the number of ranges is widened as the index grows.
+Equal windows are told by 96 bits of hash over all their words; the words themselves are not compared again.
 A manifest in the index's folder names all parts after each change, so ``FingerprintIndex.open`` goes on
 where a lost driver stopped.
 
@@ -46,8 +48,10 @@ from talentloom.llm.common import fresh_path, shuffle_partitions, table
 WINDOW = 35
 BLOCK_BYTES = 4 << 20
 ANCHOR_WORDS = 11
-#: Batches of the query and the pipeline's stage, and the number of runs that are merged into one.
-BATCHES, FAN = 3, 2
+#: Batches of the query and the pipeline's stage.
+BATCHES = 3
+#: How many times the text of the run behind it a run must stand for, to be left as it is.
+GROWTH = 2
 #: Numbers of hit blocks that are sent to every task; more are joined by a shuffle.
 BROADCAST_BLOCKS = 1 << 20
 CELL, PLACES, RUN = 0, 1, 2
@@ -282,7 +286,7 @@ class FingerprintIndex:
         self.spark, self.column, self.window, self.parts = spark, column, window, parts
         self.path = path or fresh_path(spark, "substring_index")
         self.blocks: list[DataFrame] = []
-        self.state = {"step": 0, "bytes": 0, "blocks": [], "anchors": [], "windows": [], "places": []}
+        self.state = {"step": 0, "bytes": 0, "blocks": [], "anchors": [], "windows": [], "sizes": [], "places": []}
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> FingerprintIndex:
@@ -319,9 +323,11 @@ class FingerprintIndex:
         want = B.parts_for((self.state["bytes"] + size) // 12, shuffle_partitions(self.spark))
         if self.parts is None:
             self.parts = want
-        if want > 2 * self.parts or len(self.state["anchors"]) >= FAN:
-            self.parts = max(self.parts, want)
+        if want > 2 * self.parts:  # ranges are widened for all runs together, each time for an index of twice the size
+            self.parts = want
             self.compact(commit=False)
+        while len(self.state["sizes"]) > 1 and self.state["sizes"][-2] <= GROWTH * self.state["sizes"][-1]:
+            self._merge_last(2)
         batch, n = len(self.blocks), B.buckets_for(size, BLOCK_BYTES)
         location = f"{self.path}/blocks-{uuid.uuid4().hex[:12]}"
         blocks = B.write_blocks(docs, "substring_blocks", self.column, BLOCK_BYTES, batch, n, location)
@@ -335,17 +341,23 @@ class FingerprintIndex:
         self.state["bytes"] += size
         for level, at in (("anchors", found), ("windows", verified), ("places", verified)):
             self.state[level].append(at)
+        self.state["sizes"].append(size)
         self._commit()
         return self._found(verified).select("block").distinct()
 
-    def compact(self, commit: bool = True) -> None:
-        """Merge all runs of each kind into one: equal entries become one, in ranges of the present width."""
-        parts = self.parts
+    def _merge_last(self, n: int) -> None:
+        """Make one run of the last n of each kind, of all their text: equal entries become one, in ranges of the present width."""
+        parts, sizes = self.parts, self.state["sizes"]
         for level in ("anchors", "windows"):
-            runs = self.runs(level)
-            if runs:
-                one = B.by_part(_union(runs), parts).groupBy("part").applyInArrow(lambda rows: pa.Table.from_batches([_entries(_Column(rows.to_pylist()).run(parts))]), ENTRY_SCHEMA)
-                self.state[level] = [self._write(one, level)]
+            runs = self.runs(level)[-n:]
+            one = B.by_part(_union(runs), parts).groupBy("part").applyInArrow(lambda rows: pa.Table.from_batches([_entries(_Column(rows.to_pylist()).run(parts))]), ENTRY_SCHEMA)
+            self.state[level] = [*self.state[level][:-n], self._write(one, level)]
+        self.state["sizes"] = [*sizes[:-n], sum(sizes[-n:])]
+
+    def compact(self, commit: bool = True) -> None:
+        """Merge all runs of each kind into one."""
+        if self.state["sizes"]:
+            self._merge_last(len(self.state["sizes"]))
         if commit:
             self._commit()
 

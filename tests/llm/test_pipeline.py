@@ -1,8 +1,10 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from talentloom.llm import simhash
-from talentloom.llm.common import materialize
+from talentloom.llm.common import made, materialize
 from tests.llm.conftest import prose
 from tests.llm.test_simhash import brute, plain
 
@@ -41,3 +43,35 @@ def test_run_gives_the_same(spark):
 def test_near_dedup_on_one_class(spark):
     rows = spark.createDataFrame([(i, "same text here now") for i in range(5)], "doc_id long, text string")
     assert [r["doc_id"] for r in simhash.near_dedup(rows).collect()] == [0]
+
+
+def test_columns_of_operators_names_come_through(spark, docs, tmp_path):
+    spark.createDataFrame([(1, prose(40, 777))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    names = ["score", "accepted", "lang_pred", "held_out", "n_words", "n_removed", "item_id", "_fp", "_n", "__waiting_0", "decoded_sha256"]
+    marked = docs
+    for n in [*names, "ids"]:
+        marked = marked.withColumn(n, F.concat(F.lit(n), F.col("block").cast("string")))
+    current = marked
+    for name, stage in corpus_pipeline.STAGES:
+        current = materialize(stage(spark, current, str(tmp_path)), "t")
+        if name != "BPE encoding":
+            assert current.columns == marked.columns
+    rows = current.collect()
+    assert rows and all(r[n] == f"{n}{r['block']}" for r in rows for n in names if n != "decoded_sha256")
+    assert all(r["ids_input"] == f"ids{r['block']}" and len(r["ids"]) == r["n_tokens"] and len(r["decoded_sha256"]) == 64 for r in rows)
+
+
+def test_empty_and_null_tables(spark, docs, tmp_path):
+    spark.createDataFrame([(1, prose(40, 777))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    blank = spark.createDataFrame([(None, None, None, None, None)] * 3, "doc_id long, text string, lang string, source string, n_chars long")
+    for k, rows in enumerate([docs.drop("block").limit(0), blank]):
+        folder = tmp_path / str(k)
+        rows.write.parquet(str(folder / "documents.parquet"))
+        spark.read.parquet(str(tmp_path / "benchmark.parquet")).write.parquet(str(folder / "benchmark.parquet"))
+        assert corpus_pipeline.run(spark, str(folder)).collect() == []
+
+
+def test_run_leaves_only_what_its_result_reads(spark):
+    before = made(spark)
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert made(spark) - before == 1 and out.count() > 0

@@ -119,3 +119,13 @@ def test_split_keeps_every_link_together(spark):
         df = S.split(df, level, S.RADIUS)
         met = {r["_id"] for r in df.groupBy("shard", "_id").count().where("count = 2").collect()}
         assert met == set(range(40))
+
+
+def test_near_dedup_with_columns_of_every_internal_name(spark):
+    names = ["_fp", "_n", "_keep", "_keep_fp", "_id", "_low", "_c", "component", "node", "shard", "__n"]
+    rows = [(i, f"one two three four five {i // 2} six seven eight", *(f"{n}{i}" for n in names)) for i in range(6)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    out = S.near_dedup(docs)
+    assert out.columns == docs.columns
+    kept = {r["doc_id"]: tuple(r) for r in out.collect()}
+    assert {0, 2, 4} >= set(kept) and all(kept[i] == rows[i] for i in kept)

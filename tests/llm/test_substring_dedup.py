@@ -1,4 +1,5 @@
 import hashlib
+import pathlib
 from collections import Counter
 
 import numpy as np
@@ -7,6 +8,7 @@ import pyarrow as pa
 from talentloom.llm import blocks as B
 from talentloom.llm import textnp
 from talentloom.llm.substring_dedup import FingerprintIndex, kept_texts, op10_substring_dedup, substring_dedup
+from tests.llm.conftest import prose
 
 
 def brute(corpus, window):
@@ -105,3 +107,30 @@ def test_texts_and_other_columns(docs, corpus):
 
 def test_empty_table(empty):
     assert substring_dedup(empty).collect() == []
+
+
+def size_of_all(index):
+    """Bytes of the anchors of all batches in one run."""
+    index.compact()
+    return sum(f.stat().st_size for f in pathlib.Path(index.state["anchors"][-1]).rglob("part-*"))
+
+
+def test_sixteen_batches_rewrite_each_entry_a_few_times(spark):
+    """Bytes of merged runs over 16 batches of the same size are at most about log2(16) times the index."""
+    index = FingerprintIndex(spark, window=12, parts=2)
+    size = lambda at: sum(f.stat().st_size for f in pathlib.Path(at).rglob("part-*"))
+    merge, rewritten = index._merge_last, []
+
+    def counted(n):
+        merge(n)
+        rewritten.append(size(index.state["anchors"][-1]))
+
+    index._merge_last = counted
+    for k in range(16):
+        rows = [(100 * k + i, prose(120, 1000 * k + i)) for i in range(4)]
+        index.add(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 1 << 10)
+        sizes = index.state["sizes"]
+        assert sum(sizes) == (k + 1) << 10 and len(sizes) <= 4
+    before = sum(rewritten)
+    assert before <= 4 * size_of_all(index)
+    assert answers(index)
