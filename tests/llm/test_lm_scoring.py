@@ -173,15 +173,3 @@ def test_a_score_does_not_depend_on_the_tables_size(spark, corpus):
     few, many = score(rows), score(rows + more)
     assert few.keys() == many.keys() and all(math.isclose(few[i], many[i], rel_tol=1e-9) for i in few)
 
-
-def test_names_of_ngrams_keep_all_their_bits():
-    """Of 200,000 names no two are equal once the bits of the order are left out."""
-    import pyarrow as pa
-
-    rng = np.random.default_rng(2)
-    text = " ".join(f"w{x}" for x in rng.integers(0, 5000, 70_000))
-    tokens = L._Tokens(pa.RecordBatch.from_pydict({"text": [text]}), "text", 3)
-    words = text.split() + [None]
-    pairs = {(a, b) for a, b in zip([None, *words[:-1]], words, strict=True)}
-    triples = {(a, b, c) for a, b, c in zip([None, None, *words[:-2]], [None, *words[:-1]], words, strict=True)}
-    assert len(tokens.words) == len(set(words)) and len(tokens.longer) == len(pairs) + len(triples)
