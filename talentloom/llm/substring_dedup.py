@@ -274,6 +274,11 @@ def covered(n: int, places: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
+def ripe(sizes: list[int]) -> bool:
+    """Whether the last two runs are to be merged; sizes: the text that each run stands for, oldest first."""
+    return len(sizes) > 1 and sizes[-2] <= GROWTH * sizes[-1]
+
+
 class FingerprintIndex:
     """The index: blocks of documents, runs of anchors and windows, and places found, in one folder (of the shared folder, unless given).
 
@@ -326,7 +331,7 @@ class FingerprintIndex:
         if want > 2 * self.parts:  # ranges are widened for all runs together, each time for an index of twice the size
             self.parts = want
             self.compact(commit=False)
-        while len(self.state["sizes"]) > 1 and self.state["sizes"][-2] <= GROWTH * self.state["sizes"][-1]:
+        while ripe(self.state["sizes"]):
             self._merge_last(2)
         batch, n = len(self.blocks), B.buckets_for(size, BLOCK_BYTES)
         location = f"{self.path}/blocks-{uuid.uuid4().hex[:12]}"

@@ -6,7 +6,7 @@ import pyarrow as pa
 
 from talentloom.llm import blocks as B
 from talentloom.llm import textnp
-from talentloom.llm.substring_dedup import FingerprintIndex, kept_texts, op10_substring_dedup, substring_dedup
+from talentloom.llm.substring_dedup import FingerprintIndex, kept_texts, op10_substring_dedup, ripe, substring_dedup
 from tests.llm.conftest import prose
 
 
@@ -108,22 +108,26 @@ def test_empty_table(empty):
     assert substring_dedup(empty).collect() == []
 
 
-def test_sixteen_batches_rewrite_each_entry_a_few_times(spark):
-    """Entries of merged runs over 16 batches of the same size are at most about log2(16) times those of the index."""
+def test_batches_rewrite_each_entry_a_logarithm_of_times():
+    """Text of merged runs over n batches is at most log_1.5(n) times all text (over 16 equal ones: at most 4 times), and runs stay few."""
+    rng = np.random.default_rng(1)
+    for n, draw in ((16, lambda: 1), (1000, lambda: 1), (1000, lambda: int(rng.integers(1, 100)))):
+        sizes, moved, total = [], 0, 0
+        for _ in range(n):
+            while ripe(sizes):
+                sizes[-2:] = [sizes[-2] + sizes[-1]]
+                moved += sizes[-1]
+            sizes.append(draw())
+            total += sizes[-1]
+            assert len(sizes) <= 3 + np.log2(total)
+        assert moved <= np.log(n) / np.log(1.5) * total and sum(sizes) == total
+        assert n != 16 or moved <= 4 * total
+
+
+def test_runs_are_merged_by_size(spark):
     index = FingerprintIndex(spark, window=12, parts=4)
-    size = lambda: sum(len(textnp.unpack(r["keys"], np.uint64, delta=True)) for r in index.runs("anchors")[-1].collect())
-    merge, rewritten = index._merge_last, []
-
-    def counted(n):
-        merge(n)
-        rewritten.append(size())
-
-    index._merge_last = counted
-    for k in range(16):
-        rows = [(100 * k + i, prose(120, 1000 * k + i)) for i in range(4)]
-        index.add(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 1 << 10)
-        sizes = index.state["sizes"]
-        assert sum(sizes) == (k + 1) << 10 and len(sizes) <= 4
-    before = sum(rewritten)
-    index.compact()
-    assert before <= 4 * rewritten[-1]  # the last of which is the whole index
+    for k in range(3):
+        index.add(spark.createDataFrame([(k, prose(120, k))], "doc_id long, text string"), 1 << 10)
+    assert index.state["sizes"] == [2 << 10, 1 << 10] and len(index.runs("anchors")) == len(index.runs("windows")) == 2
+    again = FingerprintIndex.open(spark, index.path)
+    assert again.state["sizes"] == index.state["sizes"]
