@@ -118,7 +118,19 @@ def entity_resolution(spark, d):
     return out.select("id", "entity_id", "dedup_status", "dedup_confidence")
 
 
-@query("entity_resolution_whole")
+@query("entity_resolution_whole", f"""WITH {RES_SQL}, e AS (SELECT email, count(*) AS n, count(DISTINCT name) AS names FROM p WHERE email IS NOT NULL GROUP BY email HAVING count(*) > 1),
+a AS (SELECT p.*, CASE WHEN e.names = 1 THEN 'candidate_' || substr(sha1('A|real_email|' || p.email), 1, 12) END AS ent, e.names > 1 AS clash FROM p LEFT JOIN e ON p.email = e.email),
+f AS (SELECT phone, count(*) AS n, count(DISTINCT name) AS names FROM a WHERE ent IS NULL AND phone IS NOT NULL GROUP BY phone HAVING count(*) > 1),
+b AS (SELECT a.*, CASE WHEN a.ent IS NULL AND f.names = 1 THEN 'candidate_' || substr(sha1('A|real_phone|' || a.phone), 1, 12) END AS ent2, (a.ent IS NULL AND f.names > 1) AS clash2 FROM a LEFT JOIN f ON a.phone = f.phone),
+r AS (SELECT id, name, CASE WHEN id % 7 = 0 THEN 'g' || CAST(id % 21 AS VARCHAR) END AS generic, coalesce(ent, ent2, 'candidate_' || substr(sha1('single|' || CAST(id AS VARCHAR)), 1, 12)) AS entity_id,
+    CASE WHEN ent IS NOT NULL OR ent2 IS NOT NULL THEN 'auto_merged' WHEN coalesce(clash, false) OR coalesce(clash2, false) THEN 'conflict_detected_no_merge' ELSE 'unique_candidate' END AS status,
+    CASE WHEN ent IS NOT NULL THEN 'real_email' WHEN ent2 IS NOT NULL THEN 'real_phone' ELSE 'none' END AS evidence, CASE WHEN ent IS NOT NULL THEN 0.98 WHEN ent2 IS NOT NULL THEN 0.95 ELSE 1.0 END AS confidence FROM b),
+g AS (SELECT generic, min(name) <> max(name) AS clash FROM r WHERE generic IS NOT NULL GROUP BY generic HAVING min(entity_id) <> max(entity_id) OR min(name) <> max(name)),
+s AS (SELECT r.* EXCLUDE (status, evidence, confidence), CASE WHEN status <> 'unique_candidate' OR g.generic IS NULL THEN status WHEN clash THEN 'conflict_detected_no_merge' ELSE 'possible_duplicate_needs_review' END AS status,
+    CASE WHEN status <> 'unique_candidate' OR g.generic IS NULL THEN evidence WHEN clash THEN 'generic_email_conflict' ELSE 'generic_email_group' END AS evidence, CASE WHEN status <> 'unique_candidate' OR g.generic IS NULL THEN confidence WHEN clash THEN 0.0 ELSE 0.4 END AS confidence FROM r LEFT JOIN g ON r.generic = g.generic),
+n AS (SELECT name FROM s GROUP BY name HAVING min(entity_id) <> max(entity_id))
+SELECT id, entity_id, CASE WHEN status = 'unique_candidate' AND n.name IS NOT NULL THEN 'possible_duplicate_needs_review' ELSE status END AS dedup_status, CASE WHEN status = 'unique_candidate' AND n.name IS NOT NULL THEN 0.4 ELSE confidence END AS dedup_confidence,
+ CASE WHEN status = 'unique_candidate' AND n.name IS NOT NULL THEN 'same_normalized_name' ELSE evidence END AS evidence_type FROM s LEFT JOIN n ON s.name = n.name""")
 def entity_resolution_whole(spark, d):
     """entity_resolution, then generic e-mails and same names among the rows still unique."""
     rows = evidence_rows(spark, d).withColumn("generic", F.when(C("id") % 7 == 0, F.concat(F.lit("g"), (C("id") % 21).cast("string"))))

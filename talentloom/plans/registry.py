@@ -14,6 +14,7 @@ ORACLES: dict[str, str] = {}
 DOUBLES = {
     "risk_encoding": ["encoded"],
     "entity_resolution": ["dedup_confidence"],
+    "entity_resolution_whole": ["dedup_confidence"],
     "job_profiles": ["years"],
     "ground_profiles": ["score"],
     "assistant_scenario_score": ["score"],
