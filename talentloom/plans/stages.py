@@ -68,3 +68,21 @@ def versioned_upsert(spark, d):
     kept.upsert(table(spark, d, "labels").select("doc_id", C("quality").cast("long").alias("quality")), "doc_id", F.lit(1))
     kept.upsert(table(spark, d, "documents").select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("quality")), "doc_id", F.lit(2))
     return kept.read()
+
+
+@query("benchmark_bootstrap", r"""WITH w AS (SELECT item_id, len(regexp_extract_all(text, '[^ \t\n\r\f\x0B]+')) AS n FROM benchmark)
+SELECT 'truth_' || item_id || '__' || CASE WHEN item_id % 2 = 0 THEN 'Truth ' || item_id ELSE 'scan' || (item_id * 7 + 3) END AS sample_id, CASE WHEN item_id % 2 = 0 THEN 'pdf' ELSE 'image' END AS source_kind,
+'proxy_ground_truth_by_' || CASE WHEN item_id % 2 = 0 THEN 'stem' ELSE 'text' END AS notes FROM w WHERE n > 0""")
+def benchmark_bootstrap(spark, d):
+    """Items as ground truths; as sources, read with every ninth word lost, under like names or as numbered scans: the manifest of the pairs found."""
+    from talentloom.operators import benchmarking as M
+
+    rows = table(spark, d, "benchmark").select("item_id", "text")
+    i = C("item_id").cast("string")
+    words = F.regexp_extract_all("text", F.lit(r"([^ \t\n\r\f\x0B]+)"), F.lit(1))
+    heard = F.array_join(F.filter(F.transform(words, lambda x, k: F.when((k + 1) % 9 != 0, x)), lambda x: x.isNotNull()), " ")
+    path = F.when(C("item_id") % 2 == 0, F.concat(F.lit("raw/Truth "), i, F.lit(".pdf"))).otherwise(F.concat(F.lit("raw/scan"), (C("item_id") * 7 + 3).cast("string"), F.lit(".png")))
+    truths = rows.select(C("item_id").alias("truth_id"), F.concat(F.lit("gt/truth_"), i, F.lit(".txt")).alias("path"), "text")
+    sources = rows.select((C("item_id") + 1_000_000).alias("source_id"), path.alias("path"), heard.alias("text"))
+    pairs, _ = M.match_samples(sources, truths)
+    return M.manifest(pairs, sources, truths).select("sample_id", "source_kind", "notes")
