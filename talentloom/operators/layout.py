@@ -122,7 +122,7 @@ def sectioned(b: DataFrame, key: str = "doc_id", by_index: bool = False) -> Data
 
     With geometry a block belongs to the nearest heading at or above it in its own column of the page, else in any column of the page, else to
     the header. A keyword inside a line opens a section too, and that line stays content. Without geometry sections run on until the next short
-    heading or line with a degree and a year.
+    heading or line with a degree and a year; a bare section name is passed over there and opens none.
     """
     text = F.col("text")
     titled = is_title(text)

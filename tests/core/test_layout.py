@@ -150,10 +150,10 @@ def test_uses_beyond_the_last_block_rest_on_it(spark):
 
 
 def test_without_geometry_sections_run_on(spark):
-    texts = ["Ann Lee", "Experience", "Data Intern", "2020", "- Built x", "Master degree 2019", "kept", "Languages", "French", None, ""]
+    texts = ["Ann Lee", "Experience", "Data Intern", "2020", "- Built x", "Master degree 2019", "kept", "Languages", "stays", "Spoken languages", "French", None, ""]
     blocks = spark.createDataFrame([(1, 1, k, t) + (None,) * 6 for k, t in enumerate(texts)], SCHEMA)
     s = {r["section"]: r for r in L.logical_sections(L.evidence(L.fragments(blocks, by_index=True), blocks, by_index=True)).collect()}
-    assert s["HEADER"]["lines"] == ["Ann Lee"] and s["LANGUAGES"]["lines"] == ["French"] and s["EDUCATION"]["lines"] == ["Master degree 2019", "kept"]
+    assert s["HEADER"]["lines"] == ["Ann Lee"] and s["LANGUAGES"]["lines"] == ["French"] and s["EDUCATION"]["lines"] == ["Master degree 2019", "kept", "stays"]
     assert [tuple(i) for i in s["PROFESSIONAL EXPERIENCE"]["items"]] == [("Data Intern", "2020", None, ["Built x"])]
     assert sorted(s, key=lambda n: s[n]["rank"]) == ["HEADER", "PROFESSIONAL EXPERIENCE", "EDUCATION", "LANGUAGES"]
 
