@@ -9,6 +9,9 @@ from talentloom.functions.text import collapse
 
 MONTHS = "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+# The shape of a place in a header, and the countries that name one by themselves.
+HEADER_PLACE = r"\b[A-Z][A-Za-z .'-]+,\s*[A-Z][A-Za-z .'-]+\b"
+COUNTRIES = ["Tunisia", "France", "Germany", "USA", "United States", "Canada", "Ireland", "India", "UK", "United Kingdom"]
 # Phrases that make a summary generic.
 GENERIC_PHRASES = ["with experience in", "expertise in", "professional with", "results-driven", "highly motivated", "strong background"]
 SECTION_RULES = [
@@ -56,15 +59,20 @@ def line_shape(x: Column) -> Column:
 
 
 def header_info(text: Column) -> Column:
-    """struct(full_name, email, phone, linkedin, github) of the first ten lines."""
+    """struct(full_name, email, phone, location, linkedin, github) of the first ten lines; the location is the first line with a place that holds neither address nor number."""
     lines = F.filter(F.transform(F.slice(F.split(text, "\n"), 1, 10), lambda s: F.trim(F.regexp_replace(s, r"^[#*\- ]+|[#*\- ]+$", ""))), lambda s: s != "")
     head = F.array_join(lines, "\n")
     name = F.filter(lines, lambda s: s.rlike(r"^[A-ZÀ-Ý][\w'À-ÿ-]+( [A-ZÀ-Ý][\w'À-ÿ-]+){1,3}$") & ~s.rlike(r"(?i)\b(engineer|manager|developer|scientist|analyst|summary|skills|experience|university)\b"))
     get = lambda p: F.nullif(F.regexp_extract(head, p, 1), F.lit(""))
+    email, phone = get(rf"\b({EMAIL})\b"), get(r"(\+?[0-9][0-9 .()/-]{7,}[0-9])")
+    named = lambda s: s.rlike(HEADER_PLACE) | s.rlike(rf"(?i)\b({'|'.join(COUNTRIES)})\b")
+    holds = lambda s, x: F.coalesce(s.contains(x), F.lit(False))
+    places = F.transform(F.filter(lines, lambda s: named(s) & ~holds(s, email) & ~holds(s, phone)), lambda s: F.regexp_replace(s, r"^[ |-]+|[ |-]+$", ""))
     return F.struct(
         F.get(name, F.lit(0)).alias("full_name"),
-        get(rf"\b({EMAIL})\b").alias("email"),
-        get(r"(\+?[0-9][0-9 .()/-]{7,}[0-9])").alias("phone"),
+        email.alias("email"),
+        phone.alias("phone"),
+        F.get(places, F.lit(0)).alias("location"),
         get(r"(?i)((?:https?://)?(?:www\.)?linkedin\.com/[^\s,;]+)").alias("linkedin"),
         get(r"(?i)((?:https?://)?(?:www\.)?github\.com/[^\s,;]+)").alias("github"),
     )
