@@ -81,9 +81,9 @@ def job_texts(spark, d):
     )
 
 
-HEADERS_SQL = r"""WITH c AS (SELECT c_custkey, '+216 ' || lpad(CAST(c_custkey AS VARCHAR), 12, '7') AS phone, c_acctbal < 0 AS bare, array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS nation, array_to_string(list_transform(string_split(lower(r_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS region,
+HEADERS_SQL = r"""WITH c AS (SELECT c_custkey, '+216 ' || lpad(CAST(c_custkey AS VARCHAR), 12, '7') AS phone, c_acctbal < 0 AS bare, n_nationkey AS nation, array_to_string(list_transform(string_split(lower(r_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS region,
  upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS family FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey)
-SELECT c_custkey, CASE WHEN NOT bare THEN 'Anna ' || family END AS full_name, 'c' || c_custkey || '@mail.org' AS email, phone, CASE WHEN NOT bare THEN nation || ', ' || region WHEN nation IN ('France', 'Germany', 'United States', 'Canada', 'India', 'United Kingdom') THEN 'from ' || nation END AS location,
+SELECT c_custkey, CASE WHEN NOT bare THEN 'Anna ' || family END AS full_name, 'c' || c_custkey || '@mail.org' AS email, phone, CASE WHEN NOT bare THEN region || ', ' || family WHEN nation < 10 THEN 'from ' || (['Tunisia', 'France', 'Germany', 'USA', 'United States', 'Canada', 'Ireland', 'India', 'UK', 'United Kingdom'])[nation + 1] END AS location,
  CASE WHEN c_custkey % 2 = 0 THEN 'https://linkedin.com/in/c' || c_custkey END AS linkedin, CASE WHEN c_custkey % 2 = 1 THEN 'github.com/c' || c_custkey END AS github FROM c"""
 
 
@@ -91,12 +91,13 @@ SELECT c_custkey, CASE WHEN NOT bare THEN 'Anna ' || family END AS full_name, 'c
 def customer_headers(spark, d):
     """Headers written from customers, their nations and regions, read back."""
     c = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), C("n_nationkey") == C("c_nationkey")).join(F.broadcast(table(spark, d, "region")), C("r_regionkey") == C("n_regionkey"))
-    bare, key, nation = C("c_acctbal") < 0, C("c_custkey").cast("string"), F.initcap("n_name")
+    bare, key = C("c_acctbal") < 0, C("c_custkey").cast("string")
+    country = F.coalesce(F.get(F.array(*[F.lit(x) for x in L.COUNTRIES]), C("n_nationkey").cast("int")), F.initcap("n_name"))
     text = F.concat_ws(
         "\n",
         F.when(bare, "DATA SCIENTIST 2").otherwise(F.concat(F.lit("# Anna "), F.initcap("c_mktsegment"))),
         F.concat(F.lit("c"), key, F.lit("@mail.org | +216 "), F.lpad(key, 12, "7")),
-        F.when(bare, F.concat(F.lit("from "), nation)).otherwise(F.concat(F.lit("- "), nation, F.lit(", "), F.initcap("r_name"))),
+        F.when(bare, F.concat(F.lit("from "), country)).otherwise(F.concat(F.lit("- "), F.initcap("r_name"), F.lit(", "), F.initcap("c_mktsegment"))),
         F.when(C("c_custkey") % 2 == 0, F.concat(F.lit("https://linkedin.com/in/c"), key)).otherwise(F.concat(F.lit("github.com/c"), key)),
     )
     return c.select("c_custkey", L.header_info(text).alias("h")).select("c_custkey", "h.full_name", "h.email", "h.phone", "h.location", "h.linkedin", "h.github")
