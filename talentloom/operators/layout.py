@@ -1,7 +1,8 @@
 """Layout of pages: columns, sections, their items, and the block that each fragment of a section rests on.
 
 Blocks are rows (key, page_no, idx, text, l, r, t, b, page_width, page_height); y grows upwards. Everything is windows by document or page,
-which spill, and one equi-join: no document is gathered before its sections are built.
+which spill: no document is gathered before its sections are built. All windows hold the document in their key, so blocks are shuffled by
+document, and nothing is joined.
 """
 
 from __future__ import annotations
@@ -106,7 +107,7 @@ def located(blocks: DataFrame, key: str = "doc_id", by_index: bool = False) -> D
     page = Window.partitionBy(key, "page_no")
     num = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
     b = blocks.select(key, F.greatest(F.coalesce(F.col("page_no").cast("int"), F.lit(1)), F.lit(1)).alias("page_no"), "idx", F.trim("text").alias("text"), *[num(c).alias(c) for c in ("l", "r", "t", "b", "page_width", "page_height")])
-    b = b.where("text <> ''").withColumns({"x": (F.col("l") + F.col("r")) / 2, "y": (F.col("t") + F.col("b")) / 2})
+    b = b.where("text <> ''").repartition(key).withColumns({"x": (F.col("l") + F.col("r")) / 2, "y": (F.col("t") + F.col("b")) / 2})
     b = b.withColumns({"nth": F.row_number().over(page.orderBy("x", "idx")), "of": F.count(F.lit(1)).over(page)})
     b = b.withColumn("mid", F.max(F.when(F.col("nth") == F.floor(F.col("of") / 2) + 1, F.col("x"))).over(page))
     top = (F.col("page_height") > 0) & (F.col("y") >= 0.9 * F.col("page_height"))
@@ -126,18 +127,25 @@ def sectioned(b: DataFrame, key: str = "doc_id", by_index: bool = False) -> Data
     """
     text = F.col("text")
     titled = is_title(text)
-    b = b.withColumn("opens", F.coalesce(F.when(titled, F.upper(text)), named_section(text)))
+    found = lambda c: F.when(c.isNotNull(), F.struct(c.alias("section"), "rank"))
     if by_index:
         short = F.when(~titled, short_heading(text))
         degree = _any(F.lower(text), DEGREE_WORDS) & (text.contains("20") | text.contains("19")) & ~titled & ~((F.col("side") == "right") & (is_date(text) | is_place(text)))
-        so_far = Window.partitionBy(key).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-        b = b.withColumn("anchor", F.coalesce(short, F.when(degree, "EDUCATION")))
-        section = F.last("anchor", ignorenulls=True).over(so_far)
-        b = b.withColumns({"content": ~titled & short.isNull(), "opens": F.coalesce(F.col("opens"), F.col("anchor")), "section": F.coalesce(section, F.lit(HEADER))})
-        return b.drop("anchor")
-    rank = F.when(F.col("opens").isNotNull(), F.struct("y", "place"))
-    above = lambda *cols: F.min_by("opens", rank).over(Window.partitionBy(key, "page_no", *cols).orderBy(F.desc("y")).rangeBetween(Window.unboundedPreceding, 0))
-    return b.withColumns({"section": F.coalesce(above("side"), above(), F.lit(HEADER)), "content": ~titled})
+        anchor = F.coalesce(short, F.when(degree, "EDUCATION"))
+        b = b.withColumns({"content": ~titled & short.isNull(), "anchor": anchor, "opens": F.coalesce(F.when(titled, F.upper(text)), named_section(text))})
+        # a line may name one section and open another: ranks are those of the names that open
+        b = b.withColumn("opens", F.coalesce("anchor", "opens"))
+        b = b.withColumn("rank", F.min("place").over(Window.partitionBy(key, "opens")))
+        into = F.last(found(F.col("anchor")), ignorenulls=True).over(Window.partitionBy(key).orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    else:
+        b = b.withColumns({"content": ~titled, "opens": F.coalesce(F.when(titled, F.upper(text)), named_section(text))})
+        b = b.withColumn("rank", F.min("place").over(Window.partitionBy(key, "opens")))
+        nearest = F.when(F.col("opens").isNotNull(), F.struct("y", "place"))
+        above = lambda *cols: F.min_by(found(F.col("opens")), nearest).over(Window.partitionBy(key, "page_no", *cols).orderBy(F.desc("y")).rangeBetween(Window.unboundedPreceding, 0))
+        into = F.coalesce(above("side"), above())
+    summary = F.max(F.when(F.col("opens") == "PROFESSIONAL SUMMARY", F.col("rank"))).over(Window.partitionBy(key))
+    b = b.withColumns({"into": into, "summary_rank": summary})
+    return b.withColumns({"section": F.coalesce(F.col("into.section"), F.lit(HEADER)), "rank": F.coalesce(F.col("into.rank"), F.lit(0))}).drop("into", "anchor")
 
 
 def _nearest(b: DataFrame, key: str, item: Column) -> Column:
@@ -161,8 +169,7 @@ def fragments(blocks: DataFrame, key: str = "doc_id", by_index: bool = False) ->
     """
     text = F.col("text")
     b = sectioned(located(blocks, key, by_index), key, by_index)
-    first = b.where("opens is not null").groupBy(key, F.col("opens").alias("section")).agg(F.min("place").alias("rank"))
-    b = b.where("content").join(first, [key, "section"], "left").withColumn("rank", F.coalesce("rank", F.lit(0)))
+    b = b.where("content")
     loose = F.when(F.col("side") == "right", F.when(is_date(text), "date").when(is_place(text), "location"))
     b = b.withColumn("loose", loose)
     held = F.col("section").isin(ITEM_SECTIONS) & F.col("loose").isNull()
@@ -172,9 +179,6 @@ def fragments(blocks: DataFrame, key: str = "doc_id", by_index: bool = False) ->
     titled = (F.col("slot") == "title") & F.col("loose").isNull()
     work = titled & F.col("section").isin(WORK_SECTIONS)
     b = b.withColumns({"near": _nearest(b, key, titled), "near_work": _nearest(b, key, work)})
-    # the summary may hold nothing but its heading
-    named = first.where("section = 'PROFESSIONAL SUMMARY'").select(key, F.col("rank").alias("summary_rank"))
-    b = b.join(named, key, "left")
     to_item = F.col("loose").isNotNull() & F.col("near").isNotNull()
     to_summary = F.col("loose").isNull() & (F.col("section") == HEADER) & F.col("summary_rank").isNotNull() & (F.length("text") > 80) & ~text.contains("@") & ~text.contains("http")
     to_work = F.col("loose").isNull() & F.col("section").isin(SKILL_SECTIONS) & F.col("near_work").isNotNull() & is_work_detail(text) & ~is_skill_line(text)
@@ -210,23 +214,23 @@ def fragments(blocks: DataFrame, key: str = "doc_id", by_index: bool = False) ->
 def evidence(parts: DataFrame, blocks: DataFrame, key: str = "doc_id", by_index: bool = False) -> DataFrame:
     """Fragments of sections with the block they rest on: page_no, idx, box, offset in the text read in order; a fallback on page 1 where none says the same.
 
-    The nth fragment with a text rests on the nth block with that text, further ones on the last. The join's key holds the number of the use, so
-    a phrase that repeats without end makes no hot key.
+    The nth fragment with a text rests on the nth block with that text, further ones on the last: fragments and blocks go by
+    their numbers in one window, each fragment behind the block it rests on.
     """
     said = located(blocks, key, by_index).withColumn("said", collapse(F.col("text")))
-    of_text = Window.partitionBy(key, "said")
     start = F.coalesce(F.sum(F.length("said") + 1).over(Window.partitionBy(key).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     box = F.struct(F.least("l", "r").alias("left"), F.least("t", "b").alias("top"), F.greatest("l", "r").alias("right"), F.greatest("t", "b").alias("bottom"))
-    spots = said.withColumns({"start": start, "nth": F.row_number().over(of_text.orderBy("place")), "uses": F.count(F.lit(1)).over(of_text), "box": box})
-    counts = spots.where("nth = 1").select(key, F.col("said").alias("text"), "uses")
+    spots = said.withColumn("start", start)
+    spots = spots.select(key, F.col("said").alias("text"), "place", F.struct("page_no", "idx", box.alias("box"), "start").alias("spot"))
     slot = F.coalesce(*[F.when(F.col("slot") == s, i) for i, s in enumerate(SLOTS)])
-    order = ["rank", "item", slot, "moved", "place"]
-    used = parts.where("slot is not null and text <> ''").withColumn("use", F.row_number().over(Window.partitionBy(key, "text").orderBy(*order)))
-    used = used.join(counts, [key, "text"], "left").withColumn("nth", F.least("use", "uses"))
-    spots = spots.select(key, F.col("said").alias("text"), "nth", F.col("page_no").alias("at_page"), "idx", "box", "start")
-    return used.join(spots, [key, "text", "nth"], "left").select(
-        key, "rank", "section", "item", "slot", "moved", "place", "text", F.coalesce("at_page", F.lit(1)).alias("page_no"), "idx", "box", "start", F.col("idx").isNull().alias("fallback")
-    )
+    both = parts.where("slot is not null and text <> ''").unionByName(spots, allowMissingColumns=True).repartition(key)
+    both = both.withColumn("nth", F.row_number().over(Window.partitionBy(key, "text", F.col("spot").isNull()).orderBy("rank", "item", slot, "moved", "place")))
+    last = F.last("spot", ignorenulls=True).over(Window.partitionBy(key, "text").orderBy("nth", F.col("spot").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+    used = both.withColumns({"at": last, "is_part": F.col("spot").isNull()}).where("is_part")
+    return used.select(
+        key, "rank", "section", "item", "slot", "moved", "place", "text", F.coalesce("at.page_no", F.lit(1)).alias("page_no"), F.col("at.idx").alias("idx"), F.col("at.box").alias("box"), F.col("at.start").alias("start"),
+        F.col("at").isNull().alias("fallback"),
+    )
 
 
 def logical_sections(spans: DataFrame, key: str = "doc_id") -> DataFrame:
