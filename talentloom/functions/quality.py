@@ -116,12 +116,17 @@ def field_support(value: Column, source: Column, low: Column | None = None, tigh
     )
 
 
+# Folders named after formats, and extensions.
+FORMAT_FOLDERS = ["pdf", "docx", "images", "scans"]
+FORMAT_EXTENSIONS = {"pdf": ["pdf"], "docx": ["docx"], "images": ["png", "jpg", "jpeg", "tif", "tiff", "bmp"]}
+
+
 def source_format(path: Column) -> Column:
-    """From folder names first, then from the extension."""
-    parts = F.transform(F.split(F.lower(path), "/"), F.trim)
-    has = lambda *names: F.arrays_overlap(parts, F.array(*[F.lit(n) for n in names]))
-    ext = F.regexp_extract(F.lower(path), r"\.([a-z0-9]+)$", 1)
-    return F.when(has("scans"), "scans").when(has("images"), "images").when(has("docx"), "docx").when(has("pdf"), "pdf").when(ext == "pdf", "pdf").when(ext == "docx", "docx").when(ext.isin("png", "jpg", "jpeg", "tif", "tiff"), "images").otherwise("unknown")
+    """The deepest folder named after a format, else what the extension says, else unknown."""
+    folder = F.filter(F.split(F.lower(path), "/"), lambda p: p.isin(FORMAT_FOLDERS))
+    ext = F.regexp_extract(F.lower(path), r"[^/]\.([a-z0-9]+)$", 1)
+    named = [F.when(ext.isin(known), label) for label, known in FORMAT_EXTENSIONS.items()]
+    return F.coalesce(F.try_element_at(folder, F.lit(-1)), *named, F.lit("unknown"))
 
 
 # Limits of the text layer of paged files.

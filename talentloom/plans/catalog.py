@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from talentloom.plans import analysis, copilot, corpora, documents, entities, explained, extras, graphs, layouts, more, nested, ranking, scores, stages, summaries, textual, transfers  # noqa: F401
+from talentloom.plans import analysis, copilot, corpora, documents, entities, explained, extras, graphs, identities, layouts, more, nested, ranking, scores, stages, summaries, textual, transfers  # noqa: F401
 from talentloom.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 #: Earlier names of queries that read whole tables and texts under their plain names too.
