@@ -68,22 +68,25 @@ def handoff(state: Column, source_format: Column, was_repaired: Column | None =
 
 def markdown_signals(text: Column) -> dict[str, Column]:
     """Signals of a markdown text: sizes, sections found, odd characters, noisy and broken lines."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim), lambda x: x != "")
+    # F.trim takes what to trim as a second argument, which transform would fill with the place of the line
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     body = F.array_join(lines, "\n")
     words = F.regexp_extract_all(body, F.lit("([A-Za-z0-9]{2,})"), F.lit(1))
     # words are letters and digits: translate counts both without a regular expression per word
     letters = F.filter(F.transform(F.filter(words, lambda w: F.length(w) >= 8), lambda w: F.translate(w, "0123456789", "")), lambda w: F.length(w) >= 8)
     noisy = F.filter(letters, lambda w: (F.length(w) - F.length(F.translate(w, "aeiouyAEIOUY", ""))) / F.length(w) < 0.2)
     glued = lambda x: (F.length(x) >= 18) & (x.rlike("[A-Za-z]{14,}") | x.rlike("(?i)[a-z]{5,}(with|and|from|to|of|in)[a-z]{5,}"))
+    # halves go by the product in doubles, as SQL rounds them, not by the quotient's decimal digits
+    share = lambda n, of: F.round(n / F.greatest(of, F.lit(1)) * 10000) / 10000
     sections = [body.rlike(p).cast("int") for p in SECTION_PATTERNS.values()]
     return {
         "chars": F.length(body),
         "words": F.size(words),
         "useful_sections": sections[0] + sections[1] + sections[2],
-        "weird_ratio": F.round(F.length(F.regexp_replace(body, r"[\x00-\x7F]", "")) / F.greatest(F.length(body), F.lit(1)), 4),
+        "weird_ratio": share(F.length(F.regexp_replace(body, r"[\x00-\x7F]", "")), F.length(body)),
         "glued_lines": F.size(F.filter(lines, glued)),
         "broken_lines": F.size(F.filter(lines, lambda x: x.rlike(r"\b\w{1,3}-$"))),
-        "noise_ratio": F.round(F.size(noisy) / F.greatest(F.size(words), F.lit(1)), 4),
+        "noise_ratio": share(F.size(noisy), F.size(words)),
     }
 
 
