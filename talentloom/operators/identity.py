@@ -91,6 +91,11 @@ def skill_label(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, "^[ ,:;.-]+|[ ,:;.-]+$", ""), " +/ +", "/")
 
 
+def capitals(x: Column) -> Column:
+    """Each letter as its one capital, ß as ẞ; letters whose capital is several letters stay, so that no other label comes about."""
+    return F.array_join(F.transform(F.split(F.replace(x, F.lit("ß"), F.lit("ẞ")), ""), lambda c: F.when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(c)), "")
+
+
 def match_key(x: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), "[^a-z0-9@]+", "")
 

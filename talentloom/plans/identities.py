@@ -80,5 +80,7 @@ k AS (SELECT doc_id, list_filter(labels, lambda s: {_TRUE} AND lower(s) NOT IN (
 SELECT doc_id, {_ONCE("hard")} AS hard, {_ONCE("soft")} AS soft FROM k""")
 def skill_labels(spark, d):
     """Claimed labels that the whole text holds, as hard and as soft skills."""
-    rows = table(spark, d, "documents").select("doc_id", I.match_key(F.concat(C("text"), F.lit(" big data, motivated"))).alias("low"), F.array(*[F.expr(x) for x in LABELS]).alias("labels"))
+    # upper() would spell ß with two letters, SQL's does not
+    labels = [I.capitals(F.expr(x[6:-1])) if x.startswith("upper(") else F.expr(x) for x in LABELS]
+    rows = table(spark, d, "documents").select("doc_id", I.match_key(F.concat(C("text"), F.lit(" big data, motivated"))).alias("low"), F.array(*labels).alias("labels"))
     return rows.select("doc_id", *[F.array_join(I.clean_skills(C("labels"), C("low"), hard), "|").alias(name) for name, hard in (("hard", True), ("soft", False))])
