@@ -38,8 +38,11 @@ def strata_sample(rows: DataFrame, group: str, order: list[Column], n: int) -> D
 
 
 def union_length(rows: DataFrame, group: str, start: str, end: str) -> DataFrame:
-    """Total length of the union of closed integer intervals by group; neighbours touch (gaps and islands)."""
-    w = Window.partitionBy(group).orderBy(start, end)
+    """Total length of the union of closed integer intervals by group; neighbours touch (gaps and islands).
+
+    Intervals without a start or an end stand last, so that they open no island before known ones.
+    """
+    w = Window.partitionBy(group).orderBy(F.asc_nulls_last(start), F.asc_nulls_last(end))
     before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = rows.withColumn("_new", F.when(before.isNull() | (F.col(start) > before + 1), 1).otherwise(0))
     island = marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
