@@ -1,11 +1,14 @@
 """How far people can move to the role of a job: target role, source role, ways between roles, gaps and what is said of them.
 
 A graph is a stated list of (role, core skills, adjacent skills, ways) as `sources.io.read_graph` gives it, a way being a dictionary of role, condition_skills and
-rationale. It goes into expressions as literals, so nothing is joined or shuffled here; skills are compared by `graph_skill`.
+rationale. It goes into expressions as literals, so nothing is joined or shuffled here; skills are compared by `graph_skill`. What the graph alone tells is worked out
+once, before the rows: a row looks up the skills and ways of its own roles and normalises only its own texts.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,15 +44,34 @@ def _keyed(key: Column, values: dict[str, Column], otherwise: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), key), otherwise) if pairs else otherwise
 
 
+def _plain(value: object) -> str:
+    """graph_skill of a stated text."""
+    return re.sub("[^a-z0-9+#/]+", " ", str(value).strip(" ").lower().replace(".", "")).strip(" ")
+
+
+def _distinct(values: list) -> list[str]:
+    """distinct_skills of stated texts."""
+    out: dict[str, str] = {}
+    for v in values:
+        out.setdefault(_plain(v), str(v))
+    return [v for k, v in out.items() if k]
+
+
+def _once(value: Column, then) -> Column:
+    """then(value), for which value is worked out once however often it is used."""
+    return F.transform(F.array(value), lambda x: then(x))[0]
+
+
 def distinct_skills(values: Column) -> Column:
     """The first spelling of each skill, in order; null and empty ones go."""
-    known = F.filter(F.coalesce(values, F.array().cast(_NONE)), lambda v: graph_skill(v) != "")
-    keys = F.transform(known, graph_skill)
-    return F.filter(known, lambda v, i: F.array_position(keys, graph_skill(v)) == i + 1)
+    keys = F.transform(values, graph_skill)
+    pair = F.struct(values.alias("values"), keys.alias("keys"))
+    first = lambda x: F.filter(x["values"], lambda v, i: (F.get(x["keys"], i) != "") & (F.array_position(x["keys"], F.get(x["keys"], i)) == i + 1))
+    return F.when(values.isNotNull(), _once(pair, first)).otherwise(F.array().cast(_NONE))
 
 
 def normal_skills(values: Column) -> Column:
-    return F.array_distinct(F.transform(distinct_skills(values), graph_skill))
+    return F.array_distinct(F.filter(F.transform(F.coalesce(values, F.array().cast(_NONE)), graph_skill), lambda k: k != ""))
 
 
 def target_role(graph: Graph, *named: Column) -> Column:
@@ -65,17 +87,16 @@ def source_role(graph: Graph, norms: Column, titles: Column) -> Column:
 
     norms: normalised skills; titles: all titles as one text.
     """
-    said = graph_skill(titles)
-    lit = lambda values: normal_skills(_texts(values))
+    lit = lambda values: _texts(dict.fromkeys(k for k in map(_plain, values) if k))
 
-    def score(role: str, core: list[str], adjacent: list[str]) -> Column:
-        aliases = [said.contains(alias) for alias, of in ROLE_ALIASES.items() if of == role]
+    def score(x: Column, role: str, core: list[str], adjacent: list[str]) -> Column:
+        aliases = [x["said"].contains(alias) for alias, of in ROLE_ALIASES.items() if of == role]
         alias = F.coalesce(*[F.when(a, 1) for a in aliases], F.lit(0))
-        named = said.contains(graph_skill(F.lit(role))).cast("int")
-        return F.size(F.array_intersect(norms, lit(core))) + 0.5 * F.size(F.array_intersect(norms, lit(adjacent))) + named + alias
+        named = x["said"].contains(_plain(role)).cast("int")
+        return F.size(F.array_intersect(x["norms"], lit(core))) + 0.5 * F.size(F.array_intersect(x["norms"], lit(adjacent))) + named + alias
 
-    rated = [F.struct(score(*r[:3]).cast("double").alias("score"), F.lit(-i).alias("ord"), F.lit(r[0]).alias("role")) for i, r in enumerate(graph)]
-    return F.array_max(F.array(*rated))["role"]
+    rated = lambda x: F.array(*[F.struct(score(x, *r[:3]).cast("double").alias("score"), F.lit(-i).alias("ord"), F.lit(r[0]).alias("role")) for i, r in enumerate(graph)])
+    return _once(F.struct(norms.alias("norms"), graph_skill(titles).alias("said")), lambda x: F.array_max(rated(x))["role"])
 
 
 def with_targets(jobs: DataFrame, graph: Graph, title: str, domain: str, job_id: str, required: str, nice: str) -> DataFrame:
@@ -86,23 +107,27 @@ def with_targets(jobs: DataFrame, graph: Graph, title: str, domain: str, job_id:
     return out.withColumns({"target_core": distinct_skills(F.concat(part(1), given(required))), "target_adjacent": distinct_skills(F.concat(part(2), given(nice)))})
 
 
-def _ways(rows: list[tuple[str, dict]], norms: Column) -> Column:
-    """Stated ways (source, way) some condition of which is met, with what is met."""
-    told = [
-        F.struct(
-            F.lit(source).alias("from_role"), F.lit(str(w.get("role"))).alias("to_role"), _texts(w.get("condition_skills") or []).alias("condition_skills"),
-            F.lit(str(w.get("rationale") or "")).alias("rationale"),
-        )
-        for source, w in rows
-    ]
-    met = lambda w: F.filter(w["condition_skills"], lambda s: F.array_contains(norms, graph_skill(s)))
-    full = F.transform(F.array(*told), lambda w: F.struct(
+def _told(rows: list[tuple[str, dict]]) -> Column:
+    """Stated ways (source, way), with the normalised conditions."""
+    told = []
+    for source, w in rows:
+        conditions = w.get("condition_skills") or []
+        told.append(F.struct(F.lit(source).alias("from_role"), F.lit(str(w.get("role"))).alias("to_role"), _texts(conditions).alias("condition_skills"), F.lit(str(w.get("rationale") or "")).alias("rationale"), _texts(map(_plain, conditions)).alias("keys")))
+    return F.array(*told).cast(_TOLD)
+
+
+def _ways(key: Column, stated: dict[str, list[tuple[str, dict]]], norms: Column) -> Column:
+    """The ways stated under key some condition of which is met, with what is met."""
+    ways = _keyed(key, {k: _told(v) for k, v in stated.items() if v}, F.array().cast(_TOLD))
+    met = lambda w: F.filter(w["condition_skills"], lambda s, i: F.array_contains(norms, F.get(w["keys"], i)))
+    full = F.transform(ways, lambda w: F.struct(
         w["from_role"].alias("from_role"), w["to_role"].alias("to_role"), w["condition_skills"].alias("condition_skills"), met(w).alias("matched_condition_skills"),
         F.round(F.size(met(w)) / F.greatest(F.size(w["condition_skills"]), F.lit(1)), 4).alias("condition_coverage"), w["rationale"].alias("rationale"),
     ))
-    return F.filter(full, lambda w: w["condition_coverage"] > 0)
+    return F.filter(full, lambda w: w["condition_coverage"] > 0).cast(_WAYS)
 
 
+_TOLD = "array<struct<from_role:string,to_role:string,condition_skills:array<string>,rationale:string,keys:array<string>>>"
 _WAYS = "array<struct<from_role:string,to_role:string,condition_skills:array<string>,matched_condition_skills:array<string>,condition_coverage:double,rationale:string>>"
 
 
@@ -116,12 +141,13 @@ def _helps(adjacent: str, ways: str) -> Column:
 
 
 def _parted(wanted: str, norms: str, helps: str) -> dict[str, Column]:
-    """matched, missing, compensable and blocking skills of those wanted, in their order."""
-    held = lambda s: F.array_contains(norms, graph_skill(s))
-    eased = lambda s: F.array_contains(helps, graph_skill(s))
+    """matched, missing, compensable and blocking skills of those wanted, in their order; _keys holds the wanted ones normalised."""
+    keys = lambda i: F.get(F.col("_keys"), i)
+    held = lambda i: F.array_contains(norms, keys(i))
+    eased = lambda i: F.array_contains(helps, keys(i))
     return {
-        "_matched": F.filter(wanted, held), "_missing": F.filter(wanted, lambda s: ~held(s)), "_compensable": F.filter(wanted, lambda s: ~held(s) & eased(s)),
-        "_blocking": F.filter(wanted, lambda s: ~held(s) & ~eased(s)),
+        "_matched": F.filter(wanted, lambda s, i: held(i)), "_missing": F.filter(wanted, lambda s, i: ~held(i)), "_compensable": F.filter(wanted, lambda s, i: ~held(i) & eased(i)),
+        "_blocking": F.filter(wanted, lambda s, i: ~held(i) & ~eased(i)),
     }
 
 
@@ -133,9 +159,9 @@ def reports(pairs: DataFrame, graph: Graph, skills: str, source: str, required:
     """
     rows = pairs.withColumn("_norms", normal_skills(C(skills)))
     to = {f"{a} > {b[0]}": [(s, w) for s, w in _all_ways(graph) if s == a and str(w.get("role")).strip().lower() == b[0].strip().lower()] for a in [r[0] for r in graph] for b in graph}
-    ways = {k: _ways(v, C("_norms")).cast(_WAYS) for k, v in to.items() if v}
-    rows = rows.withColumn("transitions", _keyed(F.concat_ws(" > ", source, "target_role"), ways, F.array().cast(_WAYS)))
-    rows = rows.withColumn("_helps", _helps("target_adjacent", "transitions")).withColumns(_parted("target_core", "_norms", "_helps"))
+    rows = rows.withColumn("transitions", _ways(F.concat_ws(" > ", source, "target_role"), to, C("_norms")))
+    rows = rows.withColumns({"_helps": _helps("target_adjacent", "transitions"), "_keys": F.transform("target_core", graph_skill)})
+    rows = rows.withColumns(_parted("target_core", "_norms", "_helps"))
     held = lambda c: F.filter(F.coalesce(c, F.array().cast(_NONE)), lambda s: F.array_contains("_norms", graph_skill(s)))
     part = lambda some, all_: F.when(F.size(all_) > 0, F.size(some) / F.size(all_)).otherwise(F.lit(0.0))
     rows = rows.withColumns({"_fit": part(held(C(required)), C(required)), "matched_adjacent": held(C("target_adjacent"))})
@@ -157,11 +183,12 @@ def reports(pairs: DataFrame, graph: Graph, skills: str, source: str, required:
 
 def role_coverage(people: DataFrame, graph: Graph, skills: str, target: str) -> DataFrame:
     """Each person against the graph's role named in `target`: coverage of its core, gaps, ways into it from any role, and an explanation; other columns stay."""
-    part = lambda at: _keyed(C(target), {r[0]: distinct_skills(_texts(r[at])) for r in graph}, _texts([]))
+    part = lambda at: _keyed(C(target), {r[0]: _texts(_distinct(r[at])) for r in graph}, _texts([]))
     rows = people.withColumn("_norms", normal_skills(C(skills))).withColumns({"_core": part(1), "adjacent": part(2)})
     into = {b[0]: [(s, w) for s, w in _all_ways(graph) if str(w.get("role")) == b[0]] for b in graph}
-    rows = rows.withColumn("transitions", _keyed(C(target), {k: _ways(v, C("_norms")).cast(_WAYS) for k, v in into.items() if v}, F.array().cast(_WAYS)))
-    rows = rows.withColumn("_helps", _helps("adjacent", "transitions")).withColumns(_parted("_core", "_norms", "_helps"))
+    rows = rows.withColumn("transitions", _ways(C(target), into, C("_norms")))
+    rows = rows.withColumns({"_helps": _helps("adjacent", "transitions"), "_keys": F.transform("_core", graph_skill)})
+    rows = rows.withColumns(_parted("_core", "_norms", "_helps"))
     rows = rows.withColumn("_part", F.when(F.size("_core") > 0, F.size("_matched") / F.size("_core")).otherwise(F.lit(0.0)))
     listed = lambda c: F.array_join(c, ", ")
     said = (
