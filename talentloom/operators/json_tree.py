@@ -32,7 +32,9 @@ UNFILLED = ['""', "0", "0.0", "false", "[]", "{}", "null"]
 def values(rows: DataFrame, ident: str, document: str) -> DataFrame:
     """(ident, path, depth, v) of every value of every document, v being VARIANT; document: a column of JSON text."""
     spark = rows.sparkSession
-    level = written(rows.select(ident, F.lit("").alias("path"), F.lit(0).alias("depth"), F.try_parse_json(document).alias("v")).where("v is not null"))
+    # documents are small to read and dear to explode: dealt to all cores first, where the input's few files would keep most idle at every level
+    dealt = rows.select(ident, document).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
+    level = written(dealt.select(ident, F.lit("").alias("path"), F.lit(0).alias("depth"), F.try_parse_json(document).alias("v")).where("v is not null"))
     levels = []
     while not level.isEmpty():
         levels.append(level)
