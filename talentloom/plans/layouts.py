@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from talentloom.functions.lines import trim_spaces
 from talentloom.operators import layout
 from talentloom.plans.registry import query, table
 
@@ -26,7 +27,7 @@ BLOCKS = [
 
 def page_blocks(spark, d):
     """Whole texts of `documents` as blocks of pages of two columns, twenty lines each."""
-    said = F.filter(F.transform(F.split(F.regexp_replace("text", r"([.!?]) +", "$1\n"), "\n"), lambda s: F.trim(s)), lambda s: s != "")
+    said = F.filter(F.transform(F.split(F.regexp_replace("text", r"([.!?]) +", "$1\n"), "\n"), lambda s: trim_spaces(s)), lambda s: s != "")
     return table(spark, d, "documents").select("doc_id", F.posexplode(said).alias("pos", "s")).selectExpr(*BLOCKS)
 
 
