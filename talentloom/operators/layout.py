@@ -2,7 +2,7 @@
 
 Blocks are rows (key, page_no, idx, text, l, r, t, b, page_width, page_height); y grows upwards. Everything is windows by document or page,
 which spill: no document is gathered before its sections are built. All windows hold the document in their key, so blocks are shuffled by
-document, and nothing is joined.
+document, and nothing is joined. The parts of that shuffle grow with the blocks' bytes, so that a task's memory does not.
 """
 
 from __future__ import annotations
@@ -43,6 +43,9 @@ DATE_SIGN = r"(?i)(?:19|20)\d{2}\s*[-–]\s*(?:19|20)\d{2}|\b(?:19|20)\d{2}\b|\b
 PLACE_SIGN = r"\b[A-Z][a-zA-Z]+,\s*[A-Z][a-zA-Z]+"
 DATE_THEN_PLACE = r"^(.+?\d)\s+([A-Z][^,]+,\s*[A-Z][^,]+)$"
 
+#: Bytes of blocks in one part: every window sorts a part again, so a task holds several times that.
+PART_BYTES, BLOCK_BYTES = 96 << 20, 256
+
 HEADER = "HEADER"
 SLOTS = ["line", "title", "date", "location", "detail"]
 
@@ -98,16 +101,24 @@ def is_work_detail(text: Column) -> Column:
     return _any(text, DETAIL_VERBS) | _any(F.lower(text), DETAIL_HINTS)
 
 
-def located(blocks: DataFrame, key: str = "doc_id", by_index: bool = False) -> DataFrame:
+def parts_of(blocks: DataFrame) -> int:
+    """How many parts the blocks are dealt to: enough that one holds about PART_BYTES, a block weighing its text and BLOCK_BYTES for the rest."""
+    size = blocks.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(BLOCK_BYTES)).alias("n")).first()["n"] or 0
+    return max(int(size) // PART_BYTES + 1, blocks.sparkSession.sparkContext.defaultParallelism)
+
+
+def located(blocks: DataFrame, key: str = "doc_id", by_index: bool = False, parts: int | None = None) -> DataFrame:
     """Blocks that say something, with centre, side (`full`, `left`, `right`) and place in reading order.
 
     A block is `full` if it is as wide as 85 % of its page or stands in the top tenth; others go by the middle one of the page's centres.
-    Missing coordinates count as 0, a missing page as 1; ties go by idx. With by_index the place follows idx alone.
+    Missing coordinates count as 0, a missing page as 1; ties go by idx. With by_index the place follows idx alone. parts: as parts_of counts them,
+    which is done here where they are not given.
     """
+    parts = parts or parts_of(blocks)
     page = Window.partitionBy(key, "page_no")
     num = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
     b = blocks.select(key, F.greatest(F.coalesce(F.col("page_no").cast("int"), F.lit(1)), F.lit(1)).alias("page_no"), "idx", F.trim("text").alias("text"), *[num(c).alias(c) for c in ("l", "r", "t", "b", "page_width", "page_height")])
-    b = b.where("text <> ''").repartition(key).withColumns({"x": (F.col("l") + F.col("r")) / 2, "y": (F.col("t") + F.col("b")) / 2})
+    b = b.where("text <> ''").repartition(parts, key).withColumns({"x": (F.col("l") + F.col("r")) / 2, "y": (F.col("t") + F.col("b")) / 2})
     b = b.withColumns({"nth": F.row_number().over(page.orderBy("x", "idx")), "of": F.count(F.lit(1)).over(page)})
     b = b.withColumn("mid", F.max(F.when(F.col("nth") == F.floor(F.col("of") / 2) + 1, F.col("x"))).over(page))
     top = (F.col("page_height") > 0) & (F.col("y") >= 0.9 * F.col("page_height"))
@@ -160,7 +171,7 @@ def _nearest(b: DataFrame, key: str, item: Column) -> Column:
     return F.when(over.isNull() | (near < far) | ((near == far) & first), under).otherwise(over)
 
 
-def fragments(blocks: DataFrame, key: str = "doc_id", by_index: bool = False) -> DataFrame:
+def fragments(blocks: DataFrame, key: str = "doc_id", by_index: bool = False, parts: int | None = None) -> DataFrame:
     """One row per fragment: key, rank and name of its section, item (0: none), slot (line, title, date, location, detail), place, moved, text.
 
     Dates and places in the right column go to the nearest item that has none yet; a date with a place behind it is split where the item has no
@@ -168,7 +179,7 @@ def fragments(blocks: DataFrame, key: str = "doc_id", by_index: bool = False) ->
     that no item takes, or that a later one of their item replaces, keep a row whose slot and section are null: no block is lost.
     """
     text = F.col("text")
-    b = sectioned(located(blocks, key, by_index), key, by_index)
+    b = sectioned(located(blocks, key, by_index, parts), key, by_index)
     b = b.where("content")
     loose = F.when(F.col("side") == "right", F.when(is_date(text), "date").when(is_place(text), "location"))
     b = b.withColumn("loose", loose)
@@ -203,27 +214,28 @@ def fragments(blocks: DataFrame, key: str = "doc_id", by_index: bool = False) ->
     fused = F.col("stays") & (F.col("slot") == "date") & (has_place == 0) & text.rlike(DATE_THEN_PLACE)
     b = b.withColumn("fused", fused)
     part = lambda slot, t: F.struct(slot.alias("slot"), t.alias("text"))
-    parts = F.when(
+    pieces = F.when(
         F.col("fused"), F.array(*[part(F.lit(s), F.trim(F.regexp_extract("text", DATE_THEN_PLACE, i))) for i, s in ((1, "date"), (2, "location"))])
     ).otherwise(F.array(part(F.when(F.col("stays"), F.col("slot")), F.when(F.col("stays") & (F.col("slot") == "detail") & (F.col("moved") == 0), F.trim(F.regexp_replace("text", r"^(-[- ]*)", ""))).otherwise(text))))
-    b = b.withColumn("part", F.explode(parts))
+    b = b.withColumn("part", F.explode(pieces))
     keep = lambda c: F.when(F.col("stays"), F.col(c))
     return b.select(key, keep("rank").alias("rank"), keep("section").alias("section"), keep("item").alias("item"), F.col("part.slot").alias("slot"), "place", "moved", F.coalesce(collapse(F.col("part.text")), F.lit("")).alias("text"))
 
 
-def evidence(parts: DataFrame, blocks: DataFrame, key: str = "doc_id", by_index: bool = False) -> DataFrame:
+def evidence(found: DataFrame, blocks: DataFrame, key: str = "doc_id", by_index: bool = False, parts: int | None = None) -> DataFrame:
     """Fragments of sections with the block they rest on: page_no, idx, box, offset in the text read in order; a fallback on page 1 where none says the same.
 
     The nth fragment with a text rests on the nth block with that text, further ones on the last: fragments and blocks go by
     their numbers in one window, each fragment behind the block it rests on.
     """
-    said = located(blocks, key, by_index).withColumn("said", collapse(F.col("text")))
+    parts = parts or parts_of(blocks)
+    said = located(blocks, key, by_index, parts).withColumn("said", collapse(F.col("text")))
     start = F.coalesce(F.sum(F.length("said") + 1).over(Window.partitionBy(key).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     box = F.struct(F.least("l", "r").alias("left"), F.least("t", "b").alias("top"), F.greatest("l", "r").alias("right"), F.greatest("t", "b").alias("bottom"))
     spots = said.withColumn("start", start)
     spots = spots.select(key, F.col("said").alias("text"), "place", F.struct("page_no", "idx", box.alias("box"), "start").alias("spot"))
     slot = F.coalesce(*[F.when(F.col("slot") == s, i) for i, s in enumerate(SLOTS)])
-    both = parts.where("slot is not null and text <> ''").unionByName(spots, allowMissingColumns=True).repartition(key)
+    both = found.where("slot is not null and text <> ''").unionByName(spots, allowMissingColumns=True).repartition(parts, key)
     both = both.withColumn("nth", F.row_number().over(Window.partitionBy(key, "text", F.col("spot").isNull()).orderBy("rank", "item", slot, "moved", "place")))
     last = F.last("spot", ignorenulls=True).over(Window.partitionBy(key, "text").orderBy("nth", F.col("spot").isNull()).rowsBetween(Window.unboundedPreceding, 0))
     used = both.withColumns({"at": last, "is_part": F.col("spot").isNull()}).where("is_part")

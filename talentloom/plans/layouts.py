@@ -54,5 +54,6 @@ def layout_sections(spark, d):
 def layout_evidence(spark, d):
     """Sections of whole texts with lines, items and counts of spans; held against a plain state machine in the tests."""
     blocks = page_blocks(spark, d)
-    s = layout.logical_sections(layout.evidence(layout.fragments(blocks), blocks))
+    n = layout.parts_of(blocks)
+    s = layout.logical_sections(layout.evidence(layout.fragments(blocks, parts=n), blocks, parts=n))
     return s.select("doc_id", "rank", "section", F.size("lines").alias("n_lines"), F.size("items").alias("n_items"), "n_spans", "n_fallback", F.sha2(F.to_json(F.struct("lines", "items")), 256).alias("digest"))
