@@ -121,7 +121,7 @@ def ground_nested(rows: DataFrame, profile: str, source: str, rules: dict[str, S
     """
     kind = rows.schema[profile].dataType
     # the judged tree is a column of its own, so that no leaf is judged for each use
-    forms = rows.withColumn("_low", F.lower(source)).withColumn("_tight", compact(F.col(source)))
+    forms = rows.withColumn("_low", F.lower(source)).withColumn("_tight", F.regexp_replace("_low", "[^a-z0-9]+", ""))
     judged = forms.withColumn("_judged", _judged(F.col(profile), kind, F.lit(""), "", (F.col(source), F.col("_low"), F.col("_tight")), rules or {}))
     judged = judged.withColumn("_leaves", _leaves(F.col("_judged"), kind))
     paths = lambda *states: F.array_sort(F.array_distinct(F.transform(F.filter("_leaves", lambda x: x["state"].isin(*states)), lambda x: x["path"])))

@@ -104,6 +104,8 @@ def _claims_sql():
     2 - (SELECT count(*) FROM items i WHERE i.doc_id = d.doc_id AND item LIKE 'exp%') AS experiences_left FROM documents d"""
 
 
+#: The claims of _CLAIMS are made of that many words at the start of each text.
+CLAIMED_WORDS = 16
 RULES = {"expertise.summary": grounding.summary_support, "experiences[].responsibilities[]": grounding.duty_support}
 
 
@@ -119,7 +121,8 @@ def claimed_profiles(spark, d):
     follow = inside.join(F.broadcast(heads), C("_p") == C("_q"), "left").select("doc_id", F.coalesce("_next", "_head").alias("_n"))
     other = docs.select(C("doc_id").alias("_o"), C("text").alias("_next"))
     rows = docs.join(follow, "doc_id").join(other, C("_n") == C("_o"), "left").withColumn("_next", F.coalesce("_next", "text"))
-    words = lambda c: F.regexp_extract_all(c, F.lit(r"([^ \t\n\r\f\x0B]+)"), F.lit(1))
+    # claims take no word behind the sixteenth: the rest of a text stays one piece, a blank start is an empty one
+    words = lambda c: F.slice(F.filter(F.split(c, r"[ \t\n\r\f\x0B]+", CLAIMED_WORDS + 2), lambda w: w != ""), 1, CLAIMED_WORDS)
     rows = rows.withColumn("own", words("text")).withColumn("other", words("_next"))
     some = lambda name, a, b: F.array_join(F.slice(name, a, b - a + 1), " ")
     one = lambda name, i: F.get(C(name), F.lit(i - 1))
