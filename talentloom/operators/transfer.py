@@ -100,11 +100,20 @@ def source_role(graph: Graph, norms: Column, titles: Column) -> Column:
 
 
 def with_targets(jobs: DataFrame, graph: Graph, title: str, domain: str, job_id: str, required: str, nice: str) -> DataFrame:
-    """jobs with target_role, target_core (the role's core skills, then the required ones) and target_adjacent (the role's, then the nice ones)."""
+    """jobs with target_role, target_core (the role's core skills, then the required ones), target_adjacent (the role's, then the nice ones) and target_keys.
+
+    target_keys holds core, adjacent and required skills normalised: once for the job, not again for each person held against it.
+    """
     part = lambda at: _keyed(C("target_role"), {r[0]: _texts(r[at]) for r in graph}, _texts([]))
     given = lambda c: F.coalesce(C(c), F.array().cast(_NONE))
     out = jobs.withColumn("target_role", target_role(graph, C(title), C(domain), C(job_id)))
-    return out.withColumns({"target_core": distinct_skills(F.concat(part(1), given(required))), "target_adjacent": distinct_skills(F.concat(part(2), given(nice)))})
+    out = out.withColumns({"target_core": distinct_skills(F.concat(part(1), given(required))), "target_adjacent": distinct_skills(F.concat(part(2), given(nice)))})
+    return out.withColumn("target_keys", _target_keys(required))
+
+
+def _target_keys(required: str) -> Column:
+    keys = {"core": "target_core", "adjacent": "target_adjacent", "required": required}
+    return F.struct(*[F.transform(c, graph_skill).alias(name) for name, c in keys.items()])
 
 
 def _told(rows: list[tuple[str, dict]]) -> Column:
@@ -117,27 +126,33 @@ def _told(rows: list[tuple[str, dict]]) -> Column:
 
 
 def _ways(key: Column, stated: dict[str, list[tuple[str, dict]]], norms: Column) -> Column:
-    """The ways stated under key some condition of which is met, with what is met."""
+    """The ways stated under key some condition of which is met, with what is met; keys holds the normalised conditions."""
     ways = _keyed(key, {k: _told(v) for k, v in stated.items() if v}, F.array().cast(_TOLD))
     met = lambda w: F.filter(w["condition_skills"], lambda s, i: F.array_contains(norms, F.get(w["keys"], i)))
     full = F.transform(ways, lambda w: F.struct(
         w["from_role"].alias("from_role"), w["to_role"].alias("to_role"), w["condition_skills"].alias("condition_skills"), met(w).alias("matched_condition_skills"),
-        F.round(F.size(met(w)) / F.greatest(F.size(w["condition_skills"]), F.lit(1)), 4).alias("condition_coverage"), w["rationale"].alias("rationale"),
+        F.round(F.size(met(w)) / F.greatest(F.size(w["condition_skills"]), F.lit(1)), 4).alias("condition_coverage"), w["rationale"].alias("rationale"), w["keys"].alias("keys"),
     ))
-    return F.filter(full, lambda w: w["condition_coverage"] > 0).cast(_WAYS)
+    return F.filter(full, lambda w: w["condition_coverage"] > 0).cast(_MET)
+
+
+def _shown(ways: str) -> Column:
+    """Ways without keys."""
+    names = ["from_role", "to_role", "condition_skills", "matched_condition_skills", "condition_coverage", "rationale"]
+    return F.transform(ways, lambda w: F.struct(*[w[n].alias(n) for n in names]))
 
 
 _TOLD = "array<struct<from_role:string,to_role:string,condition_skills:array<string>,rationale:string,keys:array<string>>>"
-_WAYS = "array<struct<from_role:string,to_role:string,condition_skills:array<string>,matched_condition_skills:array<string>,condition_coverage:double,rationale:string>>"
+_MET = "array<struct<from_role:string,to_role:string,condition_skills:array<string>,matched_condition_skills:array<string>,condition_coverage:double,rationale:string,keys:array<string>>>"
 
 
 def _all_ways(graph: Graph) -> list[tuple[str, dict]]:
     return [(r[0], w) for r in graph for w in r[3] if isinstance(w, dict)]
 
 
-def _helps(adjacent: str, ways: str) -> Column:
-    """Normalised skills that can make up for a missing one."""
-    return F.transform(F.concat(C(adjacent), F.flatten(C(f"{ways}.condition_skills"))), graph_skill)
+def _helps(adjacent: Column, ways: str) -> Column:
+    """Normalised skills that can make up for a missing one; adjacent: normalised."""
+    return F.concat(adjacent, F.flatten(C(f"{ways}.keys")))
 
 
 def _parted(wanted: str, norms: str, helps: str) -> dict[str, Column]:
@@ -151,21 +166,22 @@ def _parted(wanted: str, norms: str, helps: str) -> dict[str, Column]:
     }
 
 
-def reports(pairs: DataFrame, graph: Graph, skills: str, source: str, required: str) -> DataFrame:
+def reports(pairs: DataFrame, graph: Graph, skills: str, source: str, required: str, norms: str | None = None) -> DataFrame:
     """Each (person, job) row with scores, ways, gaps and an explanation; other columns stay.
 
     pairs: skills (array of raw names), source (the person's own role), required (the job's array) and the columns of with_targets. Only ways from
-    the person's role into the target count. A job that requires nothing is fitted by 0.
+    the person's role into the target count. A job that requires nothing is fitted by 0. norms: normal_skills of the skills, where the caller has them.
     """
-    rows = pairs.withColumn("_norms", normal_skills(C(skills)))
+    rows = pairs if "target_keys" in pairs.columns else pairs.withColumn("target_keys", _target_keys(required))
+    rows = rows.withColumns({"_norms": C(norms) if norms else normal_skills(C(skills)), "_keys": C("target_keys.core")})
     to = {f"{a} > {b[0]}": [(s, w) for s, w in _all_ways(graph) if s == a and str(w.get("role")).strip().lower() == b[0].strip().lower()] for a in [r[0] for r in graph] for b in graph}
-    rows = rows.withColumn("transitions", _ways(F.concat_ws(" > ", source, "target_role"), to, C("_norms")))
-    rows = rows.withColumns({"_helps": _helps("target_adjacent", "transitions"), "_keys": F.transform("target_core", graph_skill)})
+    rows = rows.withColumn("_ways", _ways(F.concat_ws(" > ", source, "target_role"), to, C("_norms")))
+    rows = rows.withColumn("_helps", _helps(C("target_keys.adjacent"), "_ways"))
     rows = rows.withColumns(_parted("target_core", "_norms", "_helps"))
-    held = lambda c: F.filter(F.coalesce(c, F.array().cast(_NONE)), lambda s: F.array_contains("_norms", graph_skill(s)))
+    held = lambda c, of: F.filter(F.coalesce(c, F.array().cast(_NONE)), lambda s, i: F.array_contains("_norms", F.get(C(f"target_keys.{of}"), i)))
     part = lambda some, all_: F.when(F.size(all_) > 0, F.size(some) / F.size(all_)).otherwise(F.lit(0.0))
-    rows = rows.withColumns({"_fit": part(held(C(required)), C(required)), "matched_adjacent": held(C("target_adjacent"))})
-    best = F.coalesce(F.array_max("transitions.condition_coverage"), F.lit(0.0))
+    rows = rows.withColumns({"_fit": part(held(C(required), "required"), C(required)), "matched_adjacent": held(C("target_adjacent"), "adjacent")})
+    best = F.coalesce(F.array_max("_ways.condition_coverage"), F.lit(0.0))
     score = WEIGHT_CORE * part(C("_matched"), C("target_core")) + WEIGHT_ADJACENT * part(C("matched_adjacent"), C("target_adjacent")) + WEIGHT_TRANSITION * best - WEIGHT_BLOCKING * part(C("_blocking"), C("target_core"))
     rows = rows.withColumn("_score", F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)))
     two = lambda c: F.format_number(c, 2)
@@ -175,29 +191,32 @@ def reports(pairs: DataFrame, graph: Graph, skills: str, source: str, required:
         .otherwise(F.format_string(OPEN, source, "target_role", two("_score")))
     )
     return rows.select(
-        *[c for c in pairs.columns if c not in ("target_core", "target_adjacent")], F.round("_fit", 4).alias("direct_fit_score"), (C("_fit") >= DIRECT_FIT).alias("fit_direct"), F.round("_score", 4).alias("transferability_score"),
-        "transitions", C("_matched").alias("matched_core"), C("_missing").alias("missing_core"), "matched_adjacent", C("_compensable").alias("gaps_compensable"),
+        *[c for c in pairs.columns if c not in ("target_core", "target_adjacent", "target_keys")], F.round("_fit", 4).alias("direct_fit_score"), (C("_fit") >= DIRECT_FIT).alias("fit_direct"), F.round("_score", 4).alias("transferability_score"),
+        _shown("_ways").alias("transitions"), C("_matched").alias("matched_core"), C("_missing").alias("missing_core"), "matched_adjacent", C("_compensable").alias("gaps_compensable"),
         C("_blocking").alias("gaps_blocking"), said.alias("explanation"),
     )
 
 
-def role_coverage(people: DataFrame, graph: Graph, skills: str, target: str) -> DataFrame:
-    """Each person against the graph's role named in `target`: coverage of its core, gaps, ways into it from any role, and an explanation; other columns stay."""
-    part = lambda at: _keyed(C(target), {r[0]: _texts(_distinct(r[at])) for r in graph}, _texts([]))
-    rows = people.withColumn("_norms", normal_skills(C(skills))).withColumns({"_core": part(1), "adjacent": part(2)})
+def role_coverage(people: DataFrame, graph: Graph, skills: str, target: str, norms: str | None = None) -> DataFrame:
+    """Each person against the graph's role named in `target`: coverage of its core, gaps, ways into it from any role, and an explanation; other columns stay.
+
+    norms: normal_skills of the skills, where the caller has them.
+    """
+    part = lambda at, f=str: _keyed(C(target), {r[0]: _texts(map(f, _distinct(r[at]))) for r in graph}, _texts([]))
+    rows = people.withColumn("_norms", C(norms) if norms else normal_skills(C(skills))).withColumns({"_core": part(1), "_keys": part(1, _plain)})
     into = {b[0]: [(s, w) for s, w in _all_ways(graph) if str(w.get("role")) == b[0]] for b in graph}
-    rows = rows.withColumn("transitions", _ways(C(target), into, C("_norms")))
-    rows = rows.withColumns({"_helps": _helps("adjacent", "transitions"), "_keys": F.transform("_core", graph_skill)})
+    rows = rows.withColumn("_ways", _ways(C(target), into, C("_norms")))
+    rows = rows.withColumn("_helps", _helps(part(2, _plain), "_ways"))
     rows = rows.withColumns(_parted("_core", "_norms", "_helps"))
     rows = rows.withColumn("_part", F.when(F.size("_core") > 0, F.size("_matched") / F.size("_core")).otherwise(F.lit(0.0)))
     listed = lambda c: F.array_join(c, ", ")
     said = (
         F.when(C("_part") >= DIRECT_FIT, F.format_string(COVERED, target))
-        .when((F.size("transitions") > 0) & (F.size("_compensable") > 0), F.format_string(COMPENSABLE, target, listed("_compensable")))
+        .when((F.size("_ways") > 0) & (F.size("_compensable") > 0), F.format_string(COMPENSABLE, target, listed("_compensable")))
         .when(F.size("_blocking") > 0, F.format_string(BLOCKING, target, listed("_blocking")))
         .otherwise(F.format_string(NEUTRAL, target))
     )
     return rows.select(
-        *people.columns, F.round("_part", 4).alias("coverage_score"), C("_matched").alias("matched_skills"), C("_missing").alias("missing_skills"), "transitions",
+        *people.columns, F.round("_part", 4).alias("coverage_score"), C("_matched").alias("matched_skills"), C("_missing").alias("missing_skills"), _shown("_ways").alias("transitions"),
         C("_compensable").alias("gaps_compensable"), C("_blocking").alias("gaps_blocking"), said.alias("explanation"),
     )

@@ -26,11 +26,13 @@ MARKET = "CASE c_mktsegment WHEN 'BUILDING' THEN 'Backend Developer' WHEN 'MACHI
 def people(spark, d):
     """All customers with the brands of which they bought BULK pieces at least, their market as title and the role that fits them best."""
     o, li, p = table(spark, d, "orders").select("o_orderkey", "o_custkey"), table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity"), table(spark, d, "part").select("p_partkey", "p_brand")
-    bought = o.join(li, C("o_orderkey") == C("l_orderkey")).join(p, C("l_partkey") == C("p_partkey")).groupBy("o_custkey", "p_brand").agg(F.sum("l_quantity").alias("n"))
+    # orders are held by key and lines stream by, where a merge join would sort all lines
+    bought = li.join(o.hint("shuffle_hash"), C("o_orderkey") == C("l_orderkey")).join(p, C("l_partkey") == C("p_partkey")).groupBy("o_custkey", "p_brand").agg(F.sum("l_quantity").alias("n"))
     skills = bought.where(C("n") >= BULK).groupBy("o_custkey").agg(F.array_sort(F.collect_list("p_brand")).alias("skills"))
     them = table(spark, d, "customer").select(C("c_custkey").alias("cust"), "c_nationkey", F.expr(MARKET).alias("titles"))
     them = them.join(skills, C("cust") == C("o_custkey"), "left").withColumn("skills", F.coalesce("skills", F.array().cast("array<string>")))
-    return them.select("cust", "c_nationkey", "skills", T.source_role(GRAPH, T.normal_skills(C("skills")), C("titles")).alias("source_role"))
+    them = them.withColumn("norms", T.normal_skills(C("skills")))
+    return them.select("cust", "c_nationkey", "skills", "norms", T.source_role(GRAPH, C("norms"), C("titles")).alias("source_role"))
 
 
 def jobs(spark, d):
@@ -81,7 +83,7 @@ SELECT cust, job_id, source_role, target_role, round(fit, 4) AS direct_fit_score
 def transfer_reports(spark, d):
     """Each customer against the job of the customer's nation: fit, ways, gaps and the explanation."""
     pairs = people(spark, d).join(jobs(spark, d), C("c_nationkey") == C("n_nationkey"))
-    out = T.reports(pairs, GRAPH, "skills", "source_role", "required")
+    out = T.reports(pairs, GRAPH, "skills", "source_role", "required", "norms")
     lists = [F.array_join(c, "|").alias(c) for c in ("matched_core", "matched_adjacent", "gaps_compensable", "gaps_blocking")]
     return out.select("cust", "job_id", "source_role", "target_role", "direct_fit_score", "fit_direct", "transferability_score", F.size("transitions").alias("n_transitions"), *lists, "explanation")
 
@@ -94,5 +96,5 @@ SELECT cust, target_role, round(part, 4) AS coverage_score, CAST(n_ways AS INT)
  CASE WHEN part >= 0.7 THEN printf('{T.COVERED}', target_role) WHEN n_ways > 0 AND len(comp) > 0 THEN printf('{T.COMPENSABLE}', target_role, array_to_string(comp, ', ')) WHEN len(block) > 0 THEN printf('{T.BLOCKING}', target_role, array_to_string(block, ', ')) ELSE printf('{T.NEUTRAL}', target_role) END AS explanation FROM g""")
 def transfer_role_coverage(spark, d):
     """Each customer against the role that fits best: coverage, ways into it from any role, gaps and the explanation."""
-    out = T.role_coverage(people(spark, d), GRAPH, "skills", "source_role")
+    out = T.role_coverage(people(spark, d), GRAPH, "skills", "source_role", "norms")
     return out.select("cust", C("source_role").alias("target_role"), "coverage_score", F.size("transitions").alias("n_transitions"), F.array_join("missing_skills", "|").alias("missing"), F.array_join("gaps_compensable", "|").alias("gaps_compensable"), "explanation")
