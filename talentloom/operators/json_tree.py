@@ -1,7 +1,7 @@
 """Search and clearing of values anywhere in JSON documents of any shape.
 
 Documents are VARIANT values. The search goes down level by level: a frontier of values is exploded until nothing is left,
-each level written once, so neither plans nor recursion grow with depth and every value is read once. Paths are dotted, with places of
+each level (of `values`) or every few (of `find_objects`) written once, so neither plans nor recursion grow with depth. Paths are dotted, with places of
 lists in brackets: ``cards[2].profile.name``; keys are written as they are.
 
 Clearing rebuilds a document, which no built-in expression does at unknown depth: a small walk with its own stack, over Arrow batches.
@@ -12,6 +12,7 @@ filled; a document that is a single value has the empty path; of repeated keys i
 
 from __future__ import annotations
 
+import functools
 import json
 import sys
 from collections.abc import Callable
@@ -27,14 +28,21 @@ from talentloom.sources.io import written
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Renditions of values that count as not filled.
 UNFILLED = ['""', "0", "0.0", "false", "[]", "{}", "null"]
+#: Levels that find_objects goes down between two writes.
+LEVELS = 4
+_HITS = "array<struct<path:string,depth:int,v:variant>>"
+
+
+def _dealt(rows: DataFrame, ident: str, document: str) -> DataFrame:
+    """Documents are small to read and dear to take apart: dealt to all cores first, where the input's few files would keep most idle."""
+    spark = rows.sparkSession
+    return rows.select(ident, document).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
 
 
 def values(rows: DataFrame, ident: str, document: str) -> DataFrame:
     """(ident, path, depth, v) of every value of every document, v being VARIANT; document: a column of JSON text."""
     spark = rows.sparkSession
-    # documents are small to read and dear to explode: dealt to all cores first, where the input's few files would keep most idle at every level
-    dealt = rows.select(ident, document).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
-    level = written(dealt.select(ident, F.lit("").alias("path"), F.lit(0).alias("depth"), F.try_parse_json(document).alias("v")).where("v is not null"))
+    level = written(_dealt(rows, ident, document).select(ident, F.lit("").alias("path"), F.lit(0).alias("depth"), F.try_parse_json(document).alias("v")).where("v is not null"))
     levels = []
     while not level.isEmpty():
         levels.append(level)
@@ -50,9 +58,13 @@ def values(rows: DataFrame, ident: str, document: str) -> DataFrame:
     return out
 
 
+def _rendered(v: Column, key: str) -> Column:
+    return F.to_json(F.try_variant_get(v, f"$['{key}']", "variant"))
+
+
 def filled(v: Column, key: str) -> Column:
     """The value under key as JSON text, or null where it is missing, null, empty, zero or false."""
-    text = F.to_json(F.try_variant_get(v, f"$['{key}']", "variant"))
+    text = _rendered(v, key)
     return F.when(~text.isin(UNFILLED), text)
 
 
@@ -60,14 +72,39 @@ def text_of(v: Column, key: str) -> Column:
     return F.try_variant_get(v, f"$['{key}']", "string")
 
 
+def _deeper(level: DataFrame, ident: str, fits: Callable[[Column], Column]) -> DataFrame:
+    """The objects and lists right inside those of a level. hits holds what was found above: the first child carries it on, with v null where it is a plain value."""
+    v, hits = F.col("v"), F.col("hits")
+    told = level.withColumn("hits", F.when(fits(v), F.concat(hits, F.array(F.struct("path", "depth", "v")))).otherwise(hits))
+    below = level.sparkSession.sql(
+        f"""SELECT p.`{ident}`, CASE WHEN e.key IS NULL THEN concat(p.path, '[', e.pos, ']') WHEN p.path = '' THEN e.key ELSE concat(p.path, '.', e.key) END AS path, p.depth + 1 AS depth, e.value AS v,
+        CASE WHEN coalesce(e.pos, 0) = 0 THEN p.hits ELSE array() END AS hits FROM {{level}} p, LATERAL variant_explode_outer(p.v) e""",
+        level=told,
+    )
+    # casts that read nothing below the value
+    holds = F.try_variant_get(v, "$", "struct<>").isNotNull() | F.try_variant_get(v, "$", "array<struct<>>").isNotNull()
+    return below.withColumn("v", F.when(holds, v)).where(F.col("v").isNotNull() | (F.size("hits") > 0))
+
+
 def find_objects(rows: DataFrame, ident: str, document: str, needs: list[list[str]], fields: dict[str, list[str]]) -> DataFrame:
     """Objects anywhere in the documents that have, for each group of `needs`, some key of it filled.
 
     One row an object: ident, path, depth and each of `fields` as the text of its first filled key.
+
+    Only objects and lists are gone into, LEVELS of them at a time; only what is found and what is still to be gone into is written then.
     """
-    found = values(rows, ident, document)
-    for group in needs:
-        found = found.where(F.coalesce(*[filled(F.col("v"), k) for k in group]).isNotNull())
+    has = lambda v, group: functools.reduce(Column.__or__, [F.coalesce(~_rendered(v, k).isin(UNFILLED), F.lit(False)) for k in group])
+    fits = lambda v: functools.reduce(Column.__and__, [has(v, group) for group in needs])
+    root = {"path": F.lit(""), "depth": F.lit(0), "v": F.try_parse_json(document), "hits": F.array().cast(_HITS)}
+    level = _dealt(rows, ident, document).select(ident, *[c.alias(name) for name, c in root.items()])
+    parts = []
+    while not parts or not level.isEmpty():
+        for _ in range(LEVELS):
+            level = _deeper(level, ident, fits)
+        done = written(level)
+        parts.append(done.select(ident, F.inline("hits")))
+        level = done.where("v is not null").withColumn("hits", root["hits"])
+    found = functools.reduce(DataFrame.unionByName, parts)
     pick = lambda keys: F.coalesce(*[F.when(filled(F.col("v"), k).isNotNull(), text_of(F.col("v"), k)) for k in keys])
     return found.select(ident, "path", "depth", *[pick(keys).alias(name) for name, keys in fields.items()])
 
